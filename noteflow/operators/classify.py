@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteflow.functions import rules, text
+from noteflow.functions.let import add_once
 from noteflow.functions.urls import extract_urls
 from noteflow.operators.scoring import DEFAULT_SCORERS, score
 from noteflow.schema import FlowOptions
@@ -14,13 +15,10 @@ from noteflow.schema import FlowOptions
 def clean_notes(notes: DataFrame, options: FlowOptions) -> DataFrame:
     """Adds ``clean`` and ``is_empty``."""
     with_urls = notes.withColumn("urls", extract_urls(F.col("content")))
-    return (
-        with_urls.withColumn(
-            "clean", text.preprocess_text(F.col("content"), F.col("urls"), options.compat_greetings)
-        )
-        .withColumn("is_empty", text.is_empty_text(F.col("content"), F.col("urls")))
-        .drop("urls")
-    )
+    clean = text.preprocess_text(F.col("content"), F.col("urls"), options.compat_greetings)
+    is_empty = text.is_empty_text(F.col("content"), F.col("urls"))
+    with_empty = with_urls.withColumn("is_empty", is_empty)
+    return add_once(with_empty, "clean", clean).drop("urls")
 
 
 def _response(df: DataFrame, task: str, input_text: Column, default: Column, run_if: Column,
@@ -31,9 +29,8 @@ def _response(df: DataFrame, task: str, input_text: Column, default: Column, run
         df.withColumn("_input", F.when(run_if, input_text)), "_input", scorer, "_scored"
     )
     ran = F.col("_input").isNotNull()
-    return scored.withColumn(
-        task, F.when(ran, F.coalesce(F.col("_scored.data"), default))
-    ).drop("_input", "_scored")
+    response = F.when(ran, F.coalesce(F.col("_scored.data"), default))
+    return add_once(scored, task, response).drop("_input", "_scored")
 
 
 def detect_language(df: DataFrame, options: FlowOptions) -> DataFrame:

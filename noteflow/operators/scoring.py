@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteflow.functions import constants as K
+from noteflow.functions.let import let
 
 SALTS = 64
 
@@ -155,44 +156,64 @@ def _share(hits: Column, tokens: Column, scale: int) -> Column:
 
 def lexicon_language(text: Column) -> Column:
     """The language with most stop words; confidence is 500 times their share, at most 100."""
-    tokens = F.split(text, " ")
-    ranked = [
-        F.struct(_hits(tokens, words).alias("hits"), F.lit(-i).alias("rank"), F.lit(code).alias("code"))
-        for i, (code, words) in enumerate(sorted(K.STOP_WORDS.items()))
-    ]
-    best = F.greatest(*ranked)
-    confidence = F.least(F.lit(100.0), _share(best["hits"], tokens, 500))
-    return F.array(F.struct(confidence.alias("confidence"), best["code"].alias("language")))
+
+    def best(tokens: Column) -> Column:
+        return F.greatest(
+            *[
+                F.struct(
+                    _hits(tokens, words).alias("hits"), F.lit(-i).alias("rank"),
+                    F.lit(code).alias("code"), F.size(tokens).alias("n"),
+                )
+                for i, (code, words) in enumerate(sorted(K.STOP_WORDS.items()))
+            ]
+        )
+
+    def entry(b: Column) -> Column:
+        share = F.floor(b["hits"] * F.lit(5_000_000.0) / b["n"]) / F.lit(10_000.0)
+        return F.struct(F.least(F.lit(100.0), share).alias("confidence"), b["code"].alias("language"))
+
+    return F.array(let(let(F.split(text, " "), best), entry))
 
 
 def lexicon_toxicity(text: Column) -> Column:
-    s = F.least(F.lit(1.0), _hits(F.split(text, " "), K.TOXIC_WORDS) / F.lit(5.0))
-    values = {"insult": s / F.lit(2.0), "toxicity": s}
-    return F.create_map(
-        *[c for k in K.TOXICITY_LABELS for c in (F.lit(k), values.get(k, F.lit(0.0)))]
-    )
+    def scores(s: Column) -> Column:
+        values = {"insult": s / F.lit(2.0), "toxicity": s}
+        return F.create_map(
+            *[c for k in K.TOXICITY_LABELS for c in (F.lit(k), values.get(k, F.lit(0.0)))]
+        )
+
+    return let(F.least(F.lit(1.0), _hits(F.split(text, " "), K.TOXIC_WORDS) / F.lit(5.0)), scores)
 
 
 def lexicon_sentiment(text: Column) -> Column:
-    tokens = F.split(text, " ")
-    negative = _share(_hits(tokens, K.NEGATIVE_WORDS), tokens, 1)
-    positive = _share(_hits(tokens, K.POSITIVE_WORDS), tokens, 1)
-    return F.struct(
-        negative.alias("negative"),
-        (F.lit(1.0) - negative - positive).alias("neutral"),
-        positive.alias("positive"),
-    )
+    def found(tokens: Column) -> Column:
+        return F.struct(
+            _share(_hits(tokens, K.NEGATIVE_WORDS), tokens, 1).alias("negative"),
+            _share(_hits(tokens, K.POSITIVE_WORDS), tokens, 1).alias("positive"),
+        )
+
+    def scores(s: Column) -> Column:
+        return F.struct(
+            s["negative"].alias("negative"),
+            (F.lit(1.0) - s["negative"] - s["positive"]).alias("neutral"),
+            s["positive"].alias("positive"),
+        )
+
+    return let(let(F.split(text, " "), found), scores)
 
 
 def lexicon_topic(text: Column) -> Column:
-    tokens = F.split(text, " ")
-    scores = F.array(
-        *[
-            F.struct(F.lit(label).alias("label"), _share(_hits(tokens, words), tokens, 1).alias("score"))
-            for label, words in K.TOPIC_WORDS.items()
-        ]
-    )
-    return F.filter(scores, lambda t: t["score"] > 0)
+    def found(tokens: Column) -> Column:
+        return F.array(
+            *[
+                F.struct(
+                    F.lit(label).alias("label"), _share(_hits(tokens, words), tokens, 1).alias("score")
+                )
+                for label, words in K.TOPIC_WORDS.items()
+            ]
+        )
+
+    return F.filter(let(F.split(text, " "), found), lambda t: t["score"] > 0)
 
 
 DEFAULT_SCORERS = {

@@ -16,7 +16,7 @@ STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 PASS, QUARANTINE = "pass", "quarantine"
-# State outlives the ttl by this factor, so that a micro-batch running late still finds it.
+# State is freed once arrivals are this many ttls past it, so that late ones still find it.
 STATE_TTLS = 12
 
 
@@ -27,9 +27,11 @@ class FixedTtl(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.blocked_from = handle.getValueState(
-            "blocked_from", "ts bigint", ttlDurationMs=self.ttl_ms * STATE_TTLS
-        )
+        self.handle = handle
+        self.blocked_from = handle.getValueState("blocked_from", "ts bigint")
+
+    def _free_at(self, ts: int) -> int:
+        return ts + self.ttl_ms * STATE_TTLS
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Of the non-forged arrivals in one millisecond only the first can pass, so a hot id
@@ -43,20 +45,28 @@ class FixedTtl(StatefulProcessor):
         last = None if stored is None else int(stored[0])
         before, out = last, []
         for i, ts, valid, forged in zip(kept.index, kept["ts"], kept["valid"], kept["forged"]):
-            if last is not None and ts - last <= self.ttl_ms:
+            # An arrival from long before the last one is no repeat of it either.
+            if last is not None and abs(ts - last) <= self.ttl_ms:
                 continue
             if forged:
                 out.append((i, QUARANTINE))
                 continue
-            last = int(ts)
+            last = int(ts) if last is None else max(last, int(ts))
             if valid:
                 out.append((i, PASS))
         if last != before:
+            if before is not None:
+                self.handle.deleteTimer(self._free_at(before))
             self.blocked_from.update((last,))
+            self.handle.registerTimer(self._free_at(last))
         passed = kept.loc[[i for i, _ in out]]
-        yield pd.DataFrame({
-            "outcome": [o for _, o in out], "payload": passed["payload"].to_numpy(),
-        })
+        yield pd.DataFrame(
+            {"outcome": [o for _, o in out], "payload": list(passed["payload"])}, dtype=object
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.blocked_from.clear()
+        yield pd.DataFrame({"outcome": [], "payload": []}, dtype=object)
 
     def close(self) -> None:
         pass
@@ -74,8 +84,10 @@ def dedup_stream(
     valid = valid_structure() if check else F.lit(True)
     columns = events.columns
     keyed = (
-        events.withColumn("valid", valid)
+        events.withWatermark("arrival_ts", "0 seconds")
+        .withColumn("valid", valid)
         .withColumn("forged", F.when(F.col("valid"), ~intact(sig_ok)).otherwise(False) if check else F.lit(False))
+        # The clock column ends here: it drives the timers, but no late arrival is dropped.
         .select(
             F.coalesce("id", F.lit("undefined")).alias("key"),
             F.unix_millis("arrival_ts").alias("ts"),
@@ -91,7 +103,7 @@ def dedup_stream(
         statefulProcessor=FixedTtl(ttl_ms),
         outputStructType="outcome string, payload string",
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="EventTime",
     )
     event = F.from_json("payload", events.schema, {"timestampFormat": _TS, "timeZone": "UTC"})
     return outcomes.select("outcome", event.alias("event")).select("outcome", "event.*")
