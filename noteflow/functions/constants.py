@@ -45,10 +45,16 @@ MENTION = (
 )
 ORDINAL = r"(?i)\d+(st|nd|rd|th)"
 ZAP = r"(?i)(zaps?(athon)?)"
-HEX_RUN = r"(?i)(0x)?[0-9a-f]{6,}"
+HEX_RUN = r"(0[xX])?[0-9a-fA-F]{6,}"
 PUNCT = r"([#*!?:(){}|\[\].,+\-_–—=<>%@&$~;/\\\t\r\n]|\d+|[【】「」（）。°•…])"
 PUNCT_FULL = "([#*!?:(){}|\\[\\].,+\\-_–—=<>%@&$\"“”’'`~;/\\\\\\t\\r\\n]|\\d+|[【】「」（）。°•…])"
 TOKEN_BREAK = r"""[""" + SPACE + r""",.!?;:(\[\]'"¡¿)/]+"""
+# Every character of PUNCT and of TOKEN_BREAK.
+BREAKS = (
+    "#*!?:(){}|[].,+-_–—=<>%@&$~;/\\\t\r\n0123456789【】「」（）。°•…'\"¡¿"
+    "\x0B\f \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 # Obfuscated slurs and the one spelling each family is brought to.
 SLUR_DELIMITER = r"""([""" + SPACE + r"""]|\.|,|\?|!|'|"|\(|\)|\[|\]|\{|\}|\z)"""

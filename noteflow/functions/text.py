@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
+import re
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from noteflow.functions.urls import extract_urls
 
 
 def strip_mentions(text: Column) -> Column:
-    return F.regexp_replace(text, K.MENTION, " ")
+    # The look-ahead only turns most positions away early; a mention starts with n or @.
+    return F.regexp_replace(text, "(?=[nN@])" + K.MENTION, " ")
 
 
 def strip_urls(text: Column, urls: Column) -> Column:
@@ -28,7 +31,7 @@ def strip_ordinals(text: Column) -> Column:
 
 def squeeze_repeats(text: Column) -> Column:
     """Three or more equal letters, in any case, become the first two of the run."""
-    return F.regexp_replace(text, r"(?i)([a-z])(\1)\1+", "$1$2")
+    return F.regexp_replace(text, r"([a-zA-Z])(?i:(\1)\1+)", "$1$2")
 
 
 def split_camel_hashtags(text: Column) -> Column:
@@ -62,12 +65,12 @@ def tokenize_join(text: Column) -> Column:
 
 @lru_cache(maxsize=None)
 def _fold_table() -> tuple[str, str, str]:
-    """(letters, their bases, marks): each letter is one base plus marks U+0300..U+036F."""
+    """(letters, their bases, marks): canonical decomposition without the marks U+0300..U+036F."""
     letters, bases = [], []
     for cp in [*range(0xC0, 0x0300), *range(0x0370, 0x2000)]:
         nfd = unicodedata.normalize("NFD", chr(cp))
         base = "".join(c for c in nfd if not 0x0300 <= ord(c) <= 0x036F)
-        if len(base) == 1 and len(nfd) > 1:
+        if len(base) == 1 and base != chr(cp):
             letters.append(chr(cp))
             bases.append(base)
     marks = "".join(chr(cp) for cp in range(0x0300, 0x0370))
@@ -77,11 +80,8 @@ def _fold_table() -> tuple[str, str, str]:
 def normalize_text(text: Column) -> Column:
     """Fold accents away and lower-case. ASCII text skips the table."""
     letters, bases, marks = _fold_table()
-    folded = let(
-        text,
-        lambda t: F.when(
-            t.rlike(r"[^\x00-\x7F]"), F.translate(t, letters + marks, bases)
-        ).otherwise(t),
+    folded = _when(
+        text, lambda t: t.rlike(r"[^\x00-\x7F]"), lambda t: F.translate(t, letters + marks, bases)
     )
     return F.lower(folded)
 
@@ -106,7 +106,9 @@ def collapse_ws(text: Column) -> Column:
 
 
 def strip_emoji(text: Column) -> Column:
-    return F.regexp_replace(text, K.EMOJI, "")
+    # The look-ahead turns plain letters away before the long list of ranges is tried.
+    near = r"(?=[#*0-9\x{A9}\x{AE}\x{203C}-\x{3299}\x{E000}-\x{F8FF}\x{1F004}-\x{1FAF8}])"
+    return F.regexp_replace(text, near + K.EMOJI, "")
 
 
 def truncate_text(text: Column, n: int) -> Column:
@@ -117,7 +119,7 @@ def truncate_text(text: Column, n: int) -> Column:
 
 
 def is_empty_text(content: Column, urls: Column) -> Column:
-    return (F.regexp_replace(content, f"[{K.SPACE}]+", "") == "") & (F.size(urls) == 0)
+    return ~content.rlike(f"[^{K.SPACE}]") & (F.size(urls) == 0)
 
 
 def _when(text: Column, guard, step) -> Column:
@@ -125,31 +127,82 @@ def _when(text: Column, guard, step) -> Column:
     return let(text, lambda t: F.when(guard(t), step(t)).otherwise(t))
 
 
-def _break_at_punct(text: Column) -> Column:
-    """``tokenize_join(strip_punct(text))`` in one pass: both only turn breaks into blanks."""
-    breaks = "(?:" + K.PUNCT + "|" + K.TOKEN_BREAK + ")+"
-    return F.trim(F.regexp_replace(text, breaks, " "))
+def _mentions_any(text: Column, *parts: str) -> Column:
+    def found(low: Column) -> Column:
+        return reduce(operator.or_, [low.contains(p) for p in parts])
+
+    return let(F.lower(text), found)
+
+
+@lru_cache(maxsize=None)
+def _clean_table() -> tuple[str, str]:
+    """One table for the steps from ``strip_punct`` to ``strip_punct_full``.
+
+    Breaks become blanks and letters their bases. What is only to go after the blanks have
+    been collapsed becomes ``#``: every real ``#`` is a break, so none other is left.
+    """
+    letters, bases, marks = _fold_table()
+    stripped = re.compile(K.PUNCT_FULL)
+    table = {c: "#" if stripped.match(b) else b for c, b in zip(letters, bases)}
+    table.update(dict.fromkeys(marks + "“”’`", "#"))
+    table.update(dict.fromkeys(K.BREAKS, " "))
+    return "".join(table), "".join(table.values())
+
+
+def _break_fold_strip(text: Column) -> Column:
+    """``strip_punct``, ``tokenize_join``, ``normalize_text`` and ``strip_punct_full``."""
+    source, target = _clean_table()
+    x = _when(
+        F.translate(text, source, target),
+        lambda t: t.contains("  "), lambda t: F.regexp_replace(t, " +", " "),
+    )
+    return F.lower(
+        _when(F.trim(x), lambda t: t.contains("#"), lambda t: F.replace(t, F.lit("#"), F.lit("")))
+    )
+
+
+def _greet(text: Column, compat: bool) -> Column:
+    """``expand_greetings`` where plain blanks are the only white space."""
+    for word, phrase in K.GREETINGS:
+        if compat:
+            near = lambda t, w=word: t.contains(" " + w) | t.contains(w + " ")
+            step = lambda t, w=word, p=phrase: F.regexp_replace(t, f" {w}|{w} ", p)
+        else:
+            near = lambda t, w=word: t.contains(w)
+            step = lambda t, w=word, p=phrase: F.regexp_replace(t, rf"\b{w}\b", p)
+        text = _when(text, near, step)
+    return text
 
 
 def preprocess_text(text: Column, urls: Column | None = None, compat: bool = True) -> Column:
     """All cleaning steps in order.
 
-    Equal to chaining the single steps. Steps that are seldom needed are guarded by a
-    plain byte search, and neighbouring steps over the same characters share one pass.
+    Equal to chaining the single steps (the tests hold the two side by side). Steps that are
+    seldom needed are guarded by a plain byte search, and neighbouring steps over the same
+    characters share one pass.
     """
     if urls is None:
         urls = extract_urls(text)
     x = strip_urls(strip_mentions(text), urls)
     x = squeeze_repeats(strip_ordinals(x))
     x = _when(x, lambda t: t.contains("#"), split_camel_hashtags)
-    x = _when(x, lambda t: t.rlike(r"(?i)n[i1l|!]gg|fag|cunt"), normalize_slurs)
-    x = strip_hex(replace_zap(x))
-    x = strip_punct_full(normalize_text(_break_at_punct(x)))
-    x = _when(
-        x, lambda t: t.contains("gm") | t.contains("gn") | t.contains("pv"),
-        lambda t: expand_greetings(t, compat),
-    )
-    return collapse_ws(x)
+    x = _when(x, lambda t: _mentions_any(t, "gg", "fag", "cunt"), normalize_slurs)
+    x = strip_hex(_when(x, lambda t: _mentions_any(t, "zap"), replace_zap))
+    x = _greet(_break_fold_strip(x), compat)
+    # Stripped quotes and greetings may leave blanks in a row.
+    x = _when(x, lambda t: t.contains("  "), lambda t: F.regexp_replace(t, " +", " "))
+    return F.trim(x)
+
+
+def chain_steps(text: Column, compat: bool = True) -> Column:
+    """The cleaning steps one after the other, as they are defined."""
+    x = strip_urls(strip_mentions(text), extract_urls(text))
+    for step in (
+        strip_ordinals, squeeze_repeats, split_camel_hashtags, normalize_slurs, replace_zap,
+        strip_hex, strip_punct, tokenize_join, normalize_text, strip_punct_full,
+    ):
+        x = step(x)
+    return collapse_ws(expand_greetings(x, compat))
 
 
 def language_input(clean: Column, limit: int = K.TEXT_LIMIT) -> Column:

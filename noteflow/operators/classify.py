@@ -25,9 +25,8 @@ def _response(df: DataFrame, task: str, input_text: Column, default: Column, run
               options: FlowOptions) -> DataFrame:
     """Adds column ``task``: the response, the default after a failure, NULL if not run."""
     scorer = options.scorers.get(task, DEFAULT_SCORERS[task])
-    scored = score(
-        df.withColumn("_input", F.when(run_if, input_text)), "_input", scorer, "_scored"
-    )
+    with_input = add_once(df, "_input", F.when(run_if, input_text))
+    scored = score(with_input, "_input", scorer, "_scored")
     ran = F.col("_input").isNotNull()
     response = F.when(ran, F.coalesce(F.col("_scored.data"), default))
     return add_once(scored, task, response).drop("_input", "_scored")

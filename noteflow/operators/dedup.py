@@ -6,12 +6,14 @@ the first arrival more than ``ttl`` after the one before, so one id is sequentia
 It is cut as follows, since one id may hold a third of all rows:
 
 1. arrivals of an id in the same millisecond (the clock of the rule) collapse to one, with
-   map-side combine, so copies never travel;
+   map-side combine;
 2. an id is cut into chunks of time, so a group is bounded by the clock, not by the rows;
    each chunk works out, for whatever arrival was accepted last before it, what is accepted
    last when it ends (a short step table, as chains from different entries soon merge);
 3. one streaming pass per id over these tables gives each chunk its entry;
 4. the chunks then accept their arrivals independently of each other.
+
+All of this moves ids and times only; whole rows are joined to the outcome at the end.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteflow.functions import constants as K
 from noteflow.operators.ingest import intact, valid_structure
+from noteflow.staging import cut_lineage
 
 CHUNK_TTLS = 12
 SALTS = 64
@@ -113,28 +116,40 @@ def accepted_times(arrivals: DataFrame, ttl_ms: int) -> DataFrame:
     )
 
 
-def _arrivals(events: DataFrame, ttl_ms: int, key: str, ts: str) -> DataFrame:
-    order = F.struct(
-        F.coalesce(F.col("relay"), F.lit("")).alias("relay"),
-        F.xxhash64(*events.columns).alias("copy"),
-    )
-    return events.select(
+def _stage(events: DataFrame, key: str, ts: str, **verdicts: Column) -> DataFrame:
+    """Arrivals with key, time, order and a row number, written once.
+
+    All later steps but the last read narrow columns of it. The number, fixed by the write,
+    tells exact copies apart and joins without hot keys.
+    """
+    arrivals = events.select(
         F.coalesce(F.col(key), F.lit("undefined")).alias("key"),
         F.unix_millis(ts).alias("ts"),
-        order.alias("order"),
+        F.struct(
+            F.coalesce(F.col("relay"), F.lit("")).alias("relay"),
+            F.xxhash64(*events.columns).alias("copy"),
+            F.monotonically_increasing_id().alias("row_no"),
+        ).alias("order"),
+        *[v.alias(name) for name, v in verdicts.items()],
         F.struct(*events.columns).alias("row"),
     )
+    return cut_lineage(arrivals, "arrivals", ("forged",) if "forged" in verdicts else ())
 
 
-def _accept(arrivals: DataFrame, ttl_ms: int) -> DataFrame:
-    """Accepted arrivals as ``key, ts, order, row``; one wide shuffle, by ``(key, ts)``."""
-    first = arrivals.groupBy("key", "ts").agg(
-        F.min_by(F.struct("order", "row"), "order").alias("first")
-    )
+def _accepted(arrivals: DataFrame, ttl_ms: int, *keep: str) -> DataFrame:
+    """Accepted arrivals as ``key, ts, order`` and ``keep``; only narrow columns are moved."""
+    first = arrivals.groupBy("key", "ts").agg(F.min(F.struct("order", *keep)).alias("first"))
     times = accepted_times(arrivals.select("key", "ts").distinct(), ttl_ms)
     return first.join(times, ["key", "ts"], "left_semi").select("key", "ts", "first.*")
 
 
+def _rows_of(arrivals: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The whole rows of accepted arrivals: the one wide shuffle, by row number."""
+    numbers = accepted.select(F.col("order.row_no").alias("row_no"))
+    numbered = arrivals.select(F.col("order.row_no").alias("row_no"), "row")
+    return numbered.join(numbers, "row_no", "left_semi").select("row.*")
+
+
 def dedup_ttl(
     events: DataFrame,
     key: str = "id",
@@ -151,7 +166,8 @@ def dedup_ttl(
         return events.withWatermark(ts, f"{ttl_s} seconds").dropDuplicatesWithinWatermark([key])
     if events.isStreaming:
         raise ValueError("use noteflow.streaming.dedup_state for exact removal on a stream")
-    return _accept(_arrivals(events, ttl_s * 1000, key, ts), ttl_s * 1000).select("row.*")
+    arrivals = _stage(events, key, ts)
+    return _rows_of(arrivals, _accepted(arrivals, ttl_s * 1000))
 
 
 def ingress_fold(
@@ -163,20 +179,23 @@ def ingress_fold(
     id; a forged one goes to quarantine and does not block, so a good copy may follow.
     """
     ttl_ms = ttl_s * 1000
-    checked = events.withColumn("_valid", valid_structure())
-    # The hash is only needed, hence only computed, for well-shaped events.
-    checked = checked.withColumn("_forged", F.when(F.col("_valid"), ~intact(sig_ok)).otherwise(False))
-    arrivals = _arrivals(checked, ttl_ms, "id", "arrival_ts")
-    blocking = _accept(arrivals.filter(~F.col("row._forged")), ttl_ms)
-    good = blocking.select("row.*").filter("_valid").drop("_valid", "_forged")
+    valid = valid_structure()
+    arrivals = _stage(
+        events, "id", "arrival_ts",
+        valid=valid,
+        # The hash is only needed, hence only computed, for well-shaped events.
+        forged=F.when(valid, ~intact(sig_ok)).otherwise(False),
+        salt=F.pmod(F.spark_partition_id(), F.lit(SALTS)),
+    )
+    honest = arrivals.filter(~F.col("forged"))
+    blocking = cut_lineage(_accepted(honest, ttl_ms, "valid"), "blocking")
+    good = _rows_of(honest, blocking.filter("valid"))
 
     # Accepted arrivals lie more than a ttl apart: at most one per slot of that width, and
-    # only those of the same or the previous slot can block. Copies of one forged event may
-    # be many, so both sides carry the part of the input the copy came from.
+    # only those of the same or the previous slot can block. One forged event may have very
+    # many copies, so they are spread by salts, and the blocks go to the salts in use.
     slot = lambda t: F.floor(t / ttl_ms)
-    forged = arrivals.filter(F.col("row._forged")).select(
-        "*", slot(F.col("ts")).alias("slot"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")
-    )
+    forged = arrivals.filter("forged").withColumn("slot", slot(F.col("ts")))
     wanted = forged.select("key", "slot", "salt").distinct()
     blocks = (
         blocking.select(
@@ -186,11 +205,10 @@ def ingress_fold(
         .join(wanted, ["key", "slot"])
         .alias("b")
     )
-    f = forged.alias("f")
     hit = (
         (F.col("f.key") == F.col("b.key")) & (F.col("f.slot") == F.col("b.slot"))
         & (F.col("f.salt") == F.col("b.salt")) & (F.col("ts") - F.col("b_ts") <= ttl_ms)
-        & ((F.col("b_ts") < F.col("ts")) | ((F.col("b_ts") == F.col("ts")) & (F.col("b_order") < F.col("order"))))
+        & (F.struct("b_ts", "b_order") < F.struct("ts", "order"))
     )
-    quarantine = f.join(blocks, hit, "left_anti").select("row.*").drop("_valid", "_forged")
+    quarantine = forged.alias("f").join(blocks, hit, "left_anti").select("row.*")
     return good, quarantine

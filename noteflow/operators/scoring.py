@@ -29,14 +29,20 @@ def _outcome(ok: Column, data: Column, error: Column) -> Column:
 
 @dataclass(frozen=True)
 class NativeScorer:
-    """A Spark expression; stays inside the JVM."""
+    """A Spark expression; stays inside the JVM. A NULL response is a failure."""
 
     expr: Callable[[Column], Column]
 
     def apply(self, df: DataFrame, input_col: str, out: str) -> DataFrame:
         x = F.col(input_col)
-        ok = F.coalesce(x != "", F.lit(False))
-        return df.withColumn(out, _outcome(ok, self.expr(x), F.lit("Empty text")))
+        outcome = let(
+            F.when(x != "", self.expr(x)),
+            lambda data: _outcome(
+                data.isNotNull(), data,
+                F.when(x == "", "Empty text").when(x.isNotNull(), "scoring failed"),
+            ),
+        )
+        return df.withColumn(out, outcome)
 
 
 @dataclass(frozen=True)

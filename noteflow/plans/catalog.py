@@ -13,9 +13,10 @@ from noteflow.functions import constants as K
 from noteflow.functions import rules, tags, text, urls
 from noteflow.functions.jsonio import event_json
 from noteflow.operators import classify, dedup, ingest, media, records
-from noteflow.operators.scoring import ModelScorer, TableScorer, score
+from noteflow.operators.scoring import ModelScorer, NativeScorer, TableScorer, score
 from noteflow.plans import flow
 from noteflow.schema import FlowOptions
+from noteflow.staging import new_path
 from noteflow.sources import events as sources
 from noteflow.sources import views
 from noteflow.streaming import run as streams
@@ -358,10 +359,15 @@ def topic(spark, sf):
 # --- records, sinks and the whole flow -----------------------------------------------
 
 
+def _all_tasks() -> FlowOptions:
+    return FlowOptions.all_tasks(
+        scorers={"nsfw": NativeScorer(views.nsfw_response)}, note_delay_ms=0
+    )
+
+
 def _flow(spark, sf) -> flow.FlowResult:
     notes = views.notes(spark, sf)
-    options = FlowOptions.all_tasks(scorers={"nsfw": nsfw_scorer(notes)}, note_delay_ms=0)
-    return flow.run_flow(notes, options)
+    return flow.run_flow(notes, _all_tasks())
 
 
 @query
@@ -392,14 +398,10 @@ def audit_buckets(spark, sf):
     return _flow(spark, sf).audit.select("bucket", "value")
 
 
-def _fresh_folder(spark, name: str) -> str:
-    return os.path.join(flow.shared_folder(spark), "noteflow", f"{name}-{uuid.uuid4().hex}")
-
-
 @query
 def sink_idempotent(spark, sf):
     """A batch published twice, as after a replay, is there once."""
-    out = _fresh_folder(spark, "sink")
+    out = new_path(spark, "sink")
     found = _flow(spark, sf).records
     for _replay in range(2):
         sinks.publish(found, "records", 7, [sinks.file_target(out)])
@@ -409,7 +411,7 @@ def sink_idempotent(spark, sf):
 @query
 def reemit_order(spark, sf):
     """What the sinks hold, numbered in the order it was written."""
-    out, order = _fresh_folder(spark, "order"), []
+    out, order = new_path(spark, "order"), []
     write = sinks.file_target(out)
 
     def logged(df, output, batch_id):
@@ -445,7 +447,7 @@ def notes_end_to_end(spark, sf):
 
 
 def _as_stream(spark, sf) -> DataFrame:
-    folder = _fresh_folder(spark, "arrivals")
+    folder = new_path(spark, "arrivals")
     views.notes(spark, sf).write.json(
         folder, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
     )
@@ -456,7 +458,7 @@ def _as_stream(spark, sf) -> DataFrame:
 def relay_counts_stream(spark, sf):
     name = f"relay_counts_{uuid.uuid4().hex}"
     job = streams.count_stream(
-        _as_stream(spark, sf), name, _fresh_folder(spark, "counts"), available_now=True
+        _as_stream(spark, sf), name, new_path(spark, "counts"), available_now=True
     )
     job.awaitTermination()
     return spark.table(name)
@@ -465,11 +467,9 @@ def relay_counts_stream(spark, sf):
 @query
 def notes_stream_end_to_end(spark, sf):
     """The same flow as a stream over JSON files: rows per output."""
-    out = _fresh_folder(spark, "stream")
-    scorer = nsfw_scorer(views.notes(spark, sf))
-    options = FlowOptions.all_tasks(scorers={"nsfw": scorer}, note_delay_ms=0)
+    out = new_path(spark, "stream")
     streams.flow_stream(
-        _as_stream(spark, sf), options, _fresh_folder(spark, "state"),
+        _as_stream(spark, sf), _all_tasks(), new_path(spark, "state"),
         [sinks.file_target(out)], [sinks.file_target(out)], available_now=True,
     ).awaitTermination()
 

@@ -2,44 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from dataclasses import dataclass
-from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from noteflow.functions.constants import TASKS
 from noteflow.operators import classify, dedup, ingest, media, records
 from noteflow.schema import FlowOptions
+from noteflow.staging import cut_lineage
 
 LATE_TASKS = (TASKS["sentiment"], TASKS["topic"])
-CHECKPOINT_CONF = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a local one only for local masters."""
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-    return _local_folder()
-
-
-@lru_cache(maxsize=None)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="noteflow-")
-
-
-def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and go on from the files: column pruning works on them, and a lost
-    executor costs a re-read, not the shuffles before it."""
-    spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), "noteflow", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 @dataclass(frozen=True)
@@ -59,12 +31,11 @@ class FlowResult:
         return self.gating.unionByName(self.later)
 
 
-def enrich(fresh: DataFrame, quarantine: DataFrame, options: FlowOptions,
-           staged: bool = True) -> FlowResult:
-    """Classify what passed the ingress. ``staged`` writes the costly intermediates once."""
-    stage = cut_lineage if staged else (lambda df, name: df)
+def enrich(fresh: DataFrame, quarantine: DataFrame, options: FlowOptions) -> FlowResult:
+    """Classify what passed the ingress. ``fresh`` and ``quarantine`` are read several times,
+    so they are files; the costly intermediates are written once as well."""
     notes, others = ingest.route_by_kind(fresh)
-    classified = stage(classify.classify_text(notes, options), "classified")
+    classified = cut_lineage(classify.classify_text(notes, options), "classified")
     text_out = records.text_records(classified, options.publisher)
     messages = records.event_messages(fresh).unionByName(records.text_messages(text_out))
     audit = records.invalid_audit(quarantine)
@@ -73,7 +44,7 @@ def enrich(fresh: DataFrame, quarantine: DataFrame, options: FlowOptions,
     late = text_out["task"].isin(*LATE_TASKS)
     gating = text_out.filter(~late)
     if options.nsfw:
-        scored = stage(
+        scored = cut_lineage(
             media.nsfw_url_records(notes, options.scorers["nsfw"], options.media_patterns), "media"
         )
         nsfw_out = records.nsfw_records(scored, options.publisher)
@@ -86,7 +57,7 @@ def enrich(fresh: DataFrame, quarantine: DataFrame, options: FlowOptions,
 
 
 def run_flow(events: DataFrame, options: FlowOptions, sig_ok: str | None = None) -> FlowResult:
-    """Batch: the ingress, staged once, then every output of the flow."""
+    """Batch: the ingress, its results staged, then every output of the flow."""
     good, quarantine = dedup.ingress_fold(events, options.dedup_ttl_s, sig_ok)
     fresh = cut_lineage(ingest.freshness(good, options.fresh_minutes), "fresh")
-    return enrich(fresh, quarantine, options)
+    return enrich(fresh, cut_lineage(quarantine, "quarantine"), options)

@@ -7,7 +7,7 @@ The view texts serve Spark and the SQL check alike.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteflow.functions.jsonio import event_id
@@ -52,9 +52,6 @@ FROM {drafts} a JOIN {posts} p ON p.doc_id = a.k % (SELECT count(*) FROM {docume
 DAMAGED_AUTHOR = "CASE WHEN event_id % 17 = 3 THEN substring(pubkey, 1, 10) ELSE pubkey END"
 DAMAGED_CONTENT = "CASE WHEN event_id % 11 = 5 THEN concat(content, '!') ELSE content END"
 
-# Scores of a stand-in image model; fixed by the URL, some URLs fail.
-NSFW_NEUTRAL = "(length(url) * 37 % 101) / 100.0"
-NSFW_FAILED = "length(url) % 13 = 0"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,15 +59,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores if the files give fewer splits than there are cores.
+
+    Large tables have more splits than cores and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = POSTS.replace("{S}", "string")
-    return spark.sql(query, documents=table(spark, sf_dir, "documents"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spark.sql(query, documents=spread(documents, "doc_id"))
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     drafts = spark.sql(
         DRAFTS.replace("{S}", "string").replace("{DIV}", "e.event_id div 3"),
-        events=table(spark, sf_dir, "events"),
+        events=spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id"), "event_id"),
     )
     query = (
         NOTES.replace("{SHA}", "sha2(concat('u', cast(a.author AS string)), 256)")
@@ -93,14 +100,19 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nsfw_scores(urls: DataFrame) -> DataFrame:
-    """A score table for the distinct ``url`` of a frame."""
-    neutral = F.expr(NSFW_NEUTRAL).cast("double")
+def nsfw_response(url: Column) -> Column:
+    """What the stand-in model says about a URL; NULL where it fails."""
+    size = F.char_length(url)
+    neutral = (size * 37 % 101 / F.lit(100.0)).cast("double")
     data = F.struct(
         neutral.alias("neutral"),
         F.create_map(F.lit("neutral"), neutral).alias("scores"),
         F.when(neutral >= 0.5, "neutral").otherwise("sexy").alias("predictedLabel"),
-    ).cast(NSFW_RESPONSE)
-    return urls.select("url").distinct().select(
-        "url", (~F.expr(NSFW_FAILED)).alias("ok"), data.alias("data")
     )
+    return F.when(size % 13 != 0, data.cast(NSFW_RESPONSE))
+
+
+def nsfw_scores(urls: DataFrame) -> DataFrame:
+    """The same as a table of precomputed scores, for the distinct ``url`` of a frame."""
+    scored = urls.select("url").distinct().withColumn("data", nsfw_response(F.col("url")))
+    return scored.select("url", F.col("data").isNotNull().alias("ok"), "data")
