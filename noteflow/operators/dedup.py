@@ -91,10 +91,14 @@ def _carry(ttl: int, chunk_ms: int):
 
 
 def accepted_times(arrivals: DataFrame, ttl_ms: int) -> DataFrame:
-    """The accepted ``(key, ts)`` among distinct ``(key string, ts bigint)`` in ms."""
+    """The accepted ``(key, ts)``, each once, among rows of ``key string, ts bigint`` in ms."""
     chunk_ms = CHUNK_TTLS * ttl_ms
-    runs = arrivals.groupBy("key", F.floor(F.col("ts") / chunk_ms).alias("chunk")).agg(
-        F.array_sort(F.collect_list("ts")).alias("times")
+    # A set of milliseconds is bounded by the length of the chunk, before and after the shuffle.
+    # Stating that nothing is NULL keeps this shuffle equal in both places it is used, so that
+    # it is run once.
+    known = arrivals.filter("key IS NOT NULL AND ts IS NOT NULL")
+    runs = known.groupBy("key", F.floor(F.col("ts") / chunk_ms).alias("chunk")).agg(
+        F.array_sort(F.collect_set("ts")).alias("times")
     )
     steps = runs.mapInPandas(
         _steps(ttl_ms, chunk_ms), "key string, chunk bigint, upto array<bigint>, leave array<bigint>"
@@ -124,7 +128,7 @@ def _stage(events: DataFrame, key: str, ts: str, **verdicts: Column) -> DataFram
     """
     arrivals = events.select(
         F.coalesce(F.col(key), F.lit("undefined")).alias("key"),
-        F.unix_millis(ts).alias("ts"),
+        F.unix_millis(F.coalesce(F.col(ts), F.current_timestamp())).alias("ts"),
         F.struct(
             F.coalesce(F.col("relay"), F.lit("")).alias("relay"),
             F.xxhash64(*events.columns).alias("copy"),
@@ -139,8 +143,9 @@ def _stage(events: DataFrame, key: str, ts: str, **verdicts: Column) -> DataFram
 def _accepted(arrivals: DataFrame, ttl_ms: int, *keep: str) -> DataFrame:
     """Accepted arrivals as ``key, ts, order`` and ``keep``; only narrow columns are moved."""
     first = arrivals.groupBy("key", "ts").agg(F.min(F.struct("order", *keep)).alias("first"))
-    times = accepted_times(arrivals.select("key", "ts").distinct(), ttl_ms)
-    return first.join(times, ["key", "ts"], "left_semi").select("key", "ts", "first.*")
+    times = accepted_times(arrivals.select("key", "ts"), ttl_ms)
+    # Not a semi join: that would be moved below the aggregate, and copies would travel.
+    return first.join(times, ["key", "ts"]).select("key", "ts", "first.*")
 
 
 def _rows_of(arrivals: DataFrame, accepted: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from noteflow.functions import rules, tags
 from noteflow.functions.urls import extract_urls, media_urls
 from noteflow.operators.scoring import score_once
+from noteflow.staging import cut_lineage
 
 ROW_KEY = ("id", "arrival_ts", "relay")
 
@@ -35,9 +36,11 @@ def media_occurrences(notes: DataFrame, patterns: Sequence[str] = ()) -> DataFra
 def nsfw_url_records(notes: DataFrame, scorer, patterns: Sequence[str] = ()) -> DataFrame:
     """Per note with media URLs: its records in URL order, without the URLs that failed.
 
-    ``notes`` are unique by id, arrival and relay. Each distinct URL is scored once.
+    ``notes`` are unique by id, arrival and relay. Each distinct URL is scored once. The narrow
+    occurrences are written, so that the texts are read and searched once.
     """
-    scored = score_once(media_occurrences(notes, patterns), "url", scorer, ["id", "arrival_ts"])
+    occurrences = cut_lineage(media_occurrences(notes, patterns), "occurrences")
+    scored = score_once(occurrences, "url", scorer, ["id", "arrival_ts"])
     flags = rules.nsfw_url_flags(
         F.col("response.data.neutral"), F.col("has_content_warning"), F.col("has_nsfw_hashtag")
     )

@@ -65,14 +65,14 @@ def event_json(relay: bool = False) -> str:
 SPACE = f"[{K.SPACE}]"
 POSTS = views.POSTS.replace("{S}", "varchar").replace("{documents}", "documents")
 DRAFTS = (
-    views.DRAFTS.replace("{S}", "varchar").replace("{DIV}", "e.event_id // 3")
-    .replace("{events}", "events")
+    views.DRAFTS.replace("{S}", "varchar").replace("{DIV}", "(e.event_id // 3)")
+    .replace("{events}", "events").replace("{documents}", "documents")
 )
 WHOLE = (
     views.NOTES.replace("{SHA}", "sha256(concat('u', cast(a.author AS varchar)))")
     .replace("{EPOCH}", "cast(floor(epoch(a.first_ts)) AS bigint)")
     .replace("{TAGS}", "varchar[][]").replace("array(", "list_value(")
-    .replace("{drafts}", "drafts").replace("{posts}", "posts").replace("{documents}", "documents")
+    .replace("{drafts}", "drafts").replace("{posts}", "posts")
 )
 NOTES = f"""SELECT sha256({canonical()}) AS id, {views.DAMAGED_AUTHOR} AS pubkey, created_at, kind,
   tags, {views.DAMAGED_CONTENT} AS content, relay, epoch_us(arrival_ts) // 1000 AS arrival_ms FROM whole"""

@@ -10,9 +10,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # A broadcast happens only below this size, as measured after the shuffle.
+    # No broadcast on an estimate; below this size, as measured after the shuffle, there is one.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
-    "spark.sql.autoBroadcastJoinThreshold": "64m",
     # Cleaning text is CPU-bound: smaller splits spread it better and spill less.
     "spark.sql.files.maxPartitionBytes": "64m",
     "spark.sql.streaming.stateStore.providerClass":

@@ -29,7 +29,7 @@ FROM {documents}
 """
 
 DRAFTS = """
-SELECT e.event_id, {DIV} AS k, e.ts, f.ts AS first_ts, f.user_id AS author,
+SELECT e.event_id, {DIV} AS k, {DIV} % (SELECT count(*) FROM {documents}) AS doc_id, e.ts, f.ts AS first_ts, f.user_id AS author,
   concat('wss://relay-', cast(e.event_id % 3 AS {S}), '.example') AS relay
 FROM {events} e JOIN {events} f ON f.event_id = e.event_id - e.event_id % 3
 """
@@ -45,7 +45,7 @@ SELECT a.event_id, a.relay, a.ts AS arrival_ts, {SHA} AS pubkey,
     WHEN 4 THEN array(array('t'))
     ELSE cast(array() AS {TAGS}) END AS tags,
   CASE WHEN a.k % 50 = 13 THEN '  ' ELSE p.content END AS content
-FROM {drafts} a JOIN {posts} p ON p.doc_id = a.k % (SELECT count(*) FROM {documents})
+FROM {drafts} a JOIN {posts} p ON p.doc_id = a.doc_id
 """
 
 # Some relays deliver damaged copies: a cut author (bad shape) or a changed text (bad hash).
@@ -76,7 +76,8 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     drafts = spark.sql(
-        DRAFTS.replace("{S}", "string").replace("{DIV}", "e.event_id div 3"),
+        DRAFTS.replace("{S}", "string").replace("{DIV}", "(e.event_id div 3)"),
+        documents=table(spark, sf_dir, "documents"),
         events=spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id"), "event_id"),
     )
     query = (
@@ -84,10 +85,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .replace("{EPOCH}", "unix_timestamp(a.first_ts)")
         .replace("{TAGS}", "array<array<string>>")
     )
-    whole = spark.sql(
-        query, drafts=drafts, posts=posts(spark, sf_dir),
-        documents=table(spark, sf_dir, "documents"),
-    )
+    whole = spark.sql(query, drafts=drafts, posts=posts(spark, sf_dir))
     fields = ("pubkey", "created_at", "kind", "tags", "content")
     return whole.withColumn("id", event_id(*[F.col(c) for c in fields])).select(
         "id",
