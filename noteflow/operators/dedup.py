@@ -164,10 +164,12 @@ def dedup_ttl(
 ) -> DataFrame:
     """Drop repeats of ``key`` within ``ttl_s`` of the accepted arrival.
 
-    ``exact=False`` is the built-in watermark form. It also works on streams, but drops at
-    least as much: its clock only moves between micro-batches.
+    ``exact=False`` is the built-in watermark form for streams. It drops at least as much:
+    its clock only moves between micro-batches.
     """
     if not exact:
+        if not events.isStreaming:
+            raise ValueError("the watermark form works on streams only")
         return events.withWatermark(ts, f"{ttl_s} seconds").dropDuplicatesWithinWatermark([key])
     if events.isStreaming:
         raise ValueError("use noteflow.streaming.dedup_state for exact removal on a stream")

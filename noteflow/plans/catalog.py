@@ -17,6 +17,7 @@ from noteflow.operators.scoring import ModelScorer, NativeScorer, TableScorer, s
 from noteflow.plans import flow
 from noteflow.schema import FlowOptions
 from noteflow.staging import new_path
+from noteflow.session import state_partitions
 from noteflow.sources import events as sources
 from noteflow.sources import views
 from noteflow.streaming import run as streams
@@ -456,22 +457,23 @@ def _as_stream(spark, sf) -> DataFrame:
 
 @query
 def relay_counts_stream(spark, sf):
-    name = f"relay_counts_{uuid.uuid4().hex}"
-    job = streams.count_stream(
-        _as_stream(spark, sf), name, new_path(spark, "counts"), available_now=True
-    )
-    job.awaitTermination()
+    name, arrivals = f"relay_counts_{uuid.uuid4().hex}", _as_stream(spark, sf)
+    with state_partitions(spark):
+        streams.count_stream(
+            arrivals, name, new_path(spark, "counts"), available_now=True
+        ).awaitTermination()
     return spark.table(name)
 
 
 @query
 def notes_stream_end_to_end(spark, sf):
     """The same flow as a stream over JSON files: rows per output."""
-    out = new_path(spark, "stream")
-    streams.flow_stream(
-        _as_stream(spark, sf), _all_tasks(), new_path(spark, "state"),
-        [sinks.file_target(out)], [sinks.file_target(out)], available_now=True,
-    ).awaitTermination()
+    out, arrivals = new_path(spark, "stream"), _as_stream(spark, sf)
+    with state_partitions(spark):
+        streams.flow_stream(
+            arrivals, _all_tasks(), new_path(spark, "state"),
+            [sinks.file_target(out)], [sinks.file_target(out)], available_now=True,
+        ).awaitTermination()
 
     def rows(output, key):
         df = spark.read.parquet(os.path.join(out, output))

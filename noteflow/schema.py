@@ -51,5 +51,5 @@ class FlowOptions:
         for name in ("language_limit", "toxicity_limit", "sentiment_limit", "topic_limit"):
             if getattr(self, name) < 0:
                 raise ValueError(f"{name} must not be negative")
-        if self.nsfw and self.scorers and "nsfw" not in self.scorers:
+        if self.nsfw and "nsfw" not in self.scorers:
             raise ValueError("the nsfw task needs a scorer: there is no default without an image model")

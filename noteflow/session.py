@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 # Worth having on every session that runs the flow; all of them can be set at submit time.
@@ -15,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     # Cleaning text is CPU-bound: smaller splits spread it better and spill less.
     "spark.sql.files.maxPartitionBytes": "64m",
+    # Rows sent to Python may hold long arrays of times.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -36,3 +40,16 @@ def local_session(cpus: int | str = 8, memory: str = "12g") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """One state partition per core for streams started inside: adaptive execution does not
+    merge the shuffle partitions of a stream, and their number is fixed at its first start."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

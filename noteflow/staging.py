@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-_written: list[str] = []
+_written: list[str] = []  # outside of any scope
+_scopes = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,7 +33,8 @@ def _local_folder() -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = os.path.join(shared_folder(spark), "noteflow", f"{name}-{uuid.uuid4().hex}")
-    _written.append(path)
+    stack = getattr(_scopes, "stack", None)
+    (stack[-1] if stack else _written).append(path)
     return path
 
 
@@ -46,12 +50,27 @@ def cut_lineage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession):
+    """Delete at the end what this thread staged inside, e.g. for one micro-batch."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, stack.pop())
+
+
 def release(spark: SparkSession) -> int:
-    """Delete what this session has staged, once its results are written; how many it was."""
+    """Delete what was staged outside of scopes, once the results are written."""
+    return _delete(spark, _written)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     count = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         count += bool(path.getFileSystem(conf).delete(path, True))
     return count
