@@ -12,6 +12,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+WRITERS_CONF = "spark.sql.maxConcurrentOutputFileWriters"
 _written: list[str] = []  # outside of any scope
 _scopes = threading.local()
 
@@ -46,7 +47,13 @@ def cut_lineage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    # A writer per partition value, of which there are few, instead of a sort of whole rows.
+    before = spark.conf.get(WRITERS_CONF, "0")
+    spark.conf.set(WRITERS_CONF, "8" if partition_by else before)
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(WRITERS_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
