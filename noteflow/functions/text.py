@@ -127,6 +127,10 @@ def _when(text: Column, guard, step) -> Column:
     return let(text, lambda t: F.when(guard(t), step(t)).otherwise(t))
 
 
+def _single_blanks(text: Column) -> Column:
+    return _when(text, lambda t: t.contains("  "), lambda t: F.regexp_replace(t, " {2,}", " "))
+
+
 def _mentions_any(text: Column, *parts: str) -> Column:
     def found(low: Column) -> Column:
         return reduce(operator.or_, [low.contains(p) for p in parts])
@@ -152,10 +156,7 @@ def _clean_table() -> tuple[str, str]:
 def _break_fold_strip(text: Column) -> Column:
     """``strip_punct``, ``tokenize_join``, ``normalize_text`` and ``strip_punct_full``."""
     source, target = _clean_table()
-    x = _when(
-        F.translate(text, source, target),
-        lambda t: t.contains("  "), lambda t: F.regexp_replace(t, " +", " "),
-    )
+    x = _single_blanks(F.translate(text, source, target))
     return F.lower(
         _when(F.trim(x), lambda t: t.contains("#"), lambda t: F.replace(t, F.lit("#"), F.lit("")))
     )
@@ -190,8 +191,7 @@ def preprocess_text(text: Column, urls: Column | None = None, compat: bool = Tru
     x = strip_hex(_when(x, lambda t: _mentions_any(t, "zap"), replace_zap))
     x = _greet(_break_fold_strip(x), compat)
     # Stripped quotes and greetings may leave blanks in a row.
-    x = _when(x, lambda t: t.contains("  "), lambda t: F.regexp_replace(t, " +", " "))
-    return F.trim(x)
+    return F.trim(_single_blanks(x))
 
 
 def chain_steps(text: Column, compat: bool = True) -> Column:
@@ -207,5 +207,5 @@ def chain_steps(text: Column, compat: bool = True) -> Column:
 
 def language_input(clean: Column, limit: int = K.TEXT_LIMIT) -> Column:
     """Input of language detection: cleaned text, emoji out, blanks collapsed, cut."""
-    blank = F.trim(F.regexp_replace(strip_emoji(clean), f"[{K.SPACE}]+", " "))
-    return truncate_text(blank, limit)
+    # A cleaned text has no other white space than single blanks.
+    return truncate_text(F.trim(_single_blanks(strip_emoji(clean))), limit)

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     # Cleaning text is CPU-bound: smaller splits spread it better and spill less.
     "spark.sql.files.maxPartitionBytes": "64m",
+    # Outputs have few partition values: a writer for each instead of a sort of whole rows.
+    "spark.sql.maxConcurrentOutputFileWriters": "32",
     # Rows sent to Python may hold long arrays of times.
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.sql.streaming.stateStore.providerClass":

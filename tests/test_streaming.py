@@ -143,6 +143,15 @@ def test_replayed_batch_is_there_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "x")).count() == 7
 
 
+def test_side_outputs_as_json_lines(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([("a/1", '{"x":1}'), ("b", '{"x":2}')], "topic string, value string")
+    assert sinks.publish(df, "messages", 0, [sinks.file_target(str(tmp_path), "text")])
+    back = spark.read.text(str(tmp_path / "messages")).collect()
+    assert sorted((r.topic, json.loads(r.value)["x"]) for r in back) == [("a/1", 1), ("b", 2)]
+
+
 def test_switched_off_tasks_leave_no_trace(spark, notes):
     off = flow.run_flow(notes, FlowOptions())
     assert off.records.count() == 0
