@@ -10,7 +10,8 @@ It is cut as follows, since one id may hold a third of all rows:
 2. an id is cut into chunks of time, so a group is bounded by the clock, not by the rows;
    each chunk works out, for whatever arrival was accepted last before it, what is accepted
    last when it ends (a short step table, as chains from different entries soon merge);
-3. one streaming pass per id over these tables gives each chunk its entry;
+3. one streaming pass per id over these tables gives each chunk its entry; only chunks with
+   arrivals in their last ttl take part, the others block nothing beyond their end;
 4. the chunks then accept their arrivals independently of each other.
 
 All of this moves ids and times only; whole rows are joined to the outcome at the end.
@@ -70,21 +71,24 @@ def _steps(ttl: int, chunk_ms: int):
 
 
 def _carry(ttl: int, chunk_ms: int):
+    """From the chunks that may block into the next one, in order: the entry of that next one."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, None
+        key, expected, entry = None, None, None
         for pdf in batches:
             out = []
             for k, chunk, upto, leave in zip(pdf["key"], pdf["chunk"], pdf["upto"], pdf["leave"]):
-                if k != key:
-                    key, last = k, None
-                if last is None:
+                if k != key or chunk != expected:
+                    entry = None
+                if entry is None:
                     last = int(leave[0])
-                    continue
-                if last + ttl >= chunk * chunk_ms:
-                    out.append((k, chunk, last))
-                i = int(np.searchsorted(upto, last, side="left"))
-                if i < len(upto):
-                    last = int(leave[i])
+                else:
+                    i = int(np.searchsorted(upto, entry, side="left"))
+                    last = int(leave[i]) if i < len(upto) else entry
+                key, expected = k, chunk + 1
+                entry = last if last + ttl >= expected * chunk_ms else None
+                if entry is not None:
+                    out.append((k, expected, entry))
             yield pd.DataFrame(out, columns=["key", "chunk", "entry"])
 
     return run
@@ -100,7 +104,9 @@ def accepted_times(arrivals: DataFrame, ttl_ms: int) -> DataFrame:
     runs = known.groupBy("key", F.floor(F.col("ts") / chunk_ms).alias("chunk")).agg(
         F.array_sort(F.collect_set("ts")).alias("times")
     )
-    steps = runs.mapInPandas(
+    # Only a chunk with arrivals in its last ttl can block into the next one.
+    open_ended = runs.filter(F.array_max("times") + ttl_ms >= (F.col("chunk") + 1) * chunk_ms)
+    steps = open_ended.mapInPandas(
         _steps(ttl_ms, chunk_ms), "key string, chunk bigint, upto array<bigint>, leave array<bigint>"
     )
     entries = (
