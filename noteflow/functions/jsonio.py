@@ -98,17 +98,17 @@ def event_id(pubkey, created_at, kind, tags, content) -> Column:
     return F.sha2(canonical_event(pubkey, created_at, kind, tags, content), 256)
 
 
-def event_json(cols=F.col, with_relay: bool = False) -> Column:
-    """A whole event as JSON text, members in the order of the event schema."""
-    members = dict(
-        id=json_string(cols("id")),
-        pubkey=json_string(cols("pubkey")),
-        created_at=cols("created_at").cast("string"),
-        kind=cols("kind").cast("string"),
-        tags=json_tags(cols("tags")),
-        content=json_string(cols("content")),
-        sig=F.coalesce(json_string(cols("sig")), F.lit('""')),
-    )
-    if with_relay:
-        members["relay"] = json_string(cols("relay"))
-    return json_object(**members)
+# The order of members in an event that passes through, and in a record.
+EVENT_MEMBERS = ("id", "pubkey", "created_at", "kind", "tags", "content", "sig")
+RECORD_MEMBERS = ("id", "pubkey", "kind", "created_at", "tags", "content", "sig")
+
+
+def event_json(members=EVENT_MEMBERS) -> Column:
+    """A whole event as JSON text."""
+    writers = {
+        "created_at": lambda c: c.cast("string"),
+        "kind": lambda c: c.cast("string"),
+        "tags": json_tags,
+        "sig": lambda c: F.coalesce(json_string(c), F.lit('""')),
+    }
+    return json_object(**{m: writers.get(m, json_string)(F.col(m)) for m in members})

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from noteflow.functions import constants as K
 from noteflow.functions import text
 from noteflow.functions.jsonio import (
-    event_id, event_json, json_array, json_bool, json_number, json_object, json_string,
+    EVENT_MEMBERS, RECORD_MEMBERS, event_id, event_json, json_array, json_bool, json_number,
+    json_object, json_string,
 )
 from noteflow.schema import FlowOptions
 
@@ -156,11 +157,11 @@ def event_messages(fresh: DataFrame) -> DataFrame:
 
 def nsfw_messages(records: DataFrame) -> DataFrame:
     topic = F.concat(F.col("task"), F.when(F.col("probably_nsfw"), "/1").otherwise("/0"))
-    return records.select(topic.alias("topic"), event_json().alias("value"))
+    return records.select(topic.alias("topic"), event_json(RECORD_MEMBERS).alias("value"))
 
 
 def text_messages(records: DataFrame) -> DataFrame:
-    return records.select(F.col("task").alias("topic"), event_json().alias("value"))
+    return records.select(F.col("task").alias("topic"), event_json(RECORD_MEMBERS).alias("value"))
 
 
 def nsfw_audit(media: DataFrame) -> DataFrame:
@@ -194,5 +195,6 @@ def toxicity_audit(classified: DataFrame, options: FlowOptions) -> DataFrame:
 
 def invalid_audit(quarantine: DataFrame) -> DataFrame:
     return quarantine.select(
-        F.lit("invalid_events").alias("bucket"), event_json(with_relay=True).alias("value")
+        F.lit("invalid_events").alias("bucket"),
+        event_json((*EVENT_MEMBERS, "relay")).alias("value"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from noteflow.functions import constants as K
 from noteflow.functions import rules, tags, text, urls
-from noteflow.functions.jsonio import event_json
+from noteflow.functions.jsonio import EVENT_MEMBERS, event_json
 from noteflow.operators import classify, dedup, ingest, media, records
 from noteflow.operators.scoring import ModelScorer, NativeScorer, TableScorer, score
 from noteflow.plans import flow
@@ -443,7 +443,7 @@ def notes_end_to_end(spark, sf):
         .unionByName(part("other", result.others, F.col("id"), event_json()))
         .unionByName(part("record", result.records, F.col("id"), F.col("content")))
         .unionByName(part("message", result.messages, F.col("topic"), F.col("value")))
-        .unionByName(part("quarantine", result.quarantine, F.col("id"), event_json(with_relay=True)))
+        .unionByName(part("quarantine", result.quarantine, F.col("id"), event_json((*EVENT_MEMBERS, "relay"))))
     )
 
 

@@ -50,11 +50,14 @@ def canonical(pubkey="pubkey", created_at="created_at", kind="kind", tags="tags"
     )
 
 
-def event_json(relay: bool = False) -> str:
+def event_json(relay: bool = False, record: bool = False) -> str:
     members = dict(
         id=js_str("id"), pubkey=js_str("pubkey"), created_at="created_at", kind="kind",
         tags="cast(to_json(tags) AS varchar)", content=js_str("content"), sig="'\"\"'",
     )
+    if record:
+        names = ("id", "pubkey", "kind", "created_at", "tags", "content", "sig")
+        members = {m: members[m] for m in names}
     if relay:
         members["relay"] = js_str("relay")
     return js_obj(**members)
@@ -423,7 +426,7 @@ FLOW = f"""{INGRESS},
   records AS (SELECT * FROM every_record WHERE coalesce(n_scored, 1) > 0),
   messages AS (SELECT '{K.EVENTS_TOPIC}' AS topic, {event_json()} AS value FROM fresh
     UNION ALL SELECT concat(task, CASE WHEN probable THEN '/1' WHEN NOT probable THEN '/0' ELSE '' END),
-      {event_json()} FROM every_record),
+      {event_json(record=True)} FROM every_record),
   audit AS (
     SELECT 'classification' AS bucket, records AS value FROM media
     UNION ALL SELECT 'classification_not_responsible_nsfw', records FROM media WHERE probable AND NOT cw AND NOT tag

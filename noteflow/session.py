@@ -15,6 +15,8 @@ SETTINGS = {
     # No broadcast on an estimate; below this size, as measured after the shuffle, there is one.
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    # Hash joins without sorting where every measured build partition is small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     # Cleaning text is CPU-bound: smaller splits spread it better and spill less.
     "spark.sql.files.maxPartitionBytes": "64m",
     # Outputs have few partition values: a writer for each instead of a sort of whole rows.
