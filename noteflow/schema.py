@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from noteflow.functions import constants as K
@@ -20,6 +22,24 @@ TOPICS = "array<struct<label: string, score: double>>"
 NSFW_RESPONSE = "struct<neutral: double, scores: map<string,double>, predictedLabel: string>"
 NSFW_SCORES = "url string, ok boolean, data " + NSFW_RESPONSE
 
+# The names of text settings.
+SWITCHES = {
+    "nsfw": "ENABLE_NSFW_CLASSIFICATION",
+    "language": "ENABLE_LANGUAGE_DETECTION",
+    "toxicity": "ENABLE_HATE_SPEECH_DETECTION",
+    "sentiment": "ENABLE_SENTIMENT_ANALYSIS",
+    "topic": "ENABLE_TOPIC_CLASSIFICATION",
+}
+NUMBERS = {
+    "language_limit": "LANGUAGE_DETECTOR_TRUNCATE_LENGTH",
+    "toxicity_limit": "HATE_SPEECH_DETECTOR_TRUNCATE_LENGTH",
+    "sentiment_limit": "SENTIMENT_ANALYSIS_TRUNCATE_LENGTH",
+    "topic_limit": "TOPIC_CLASSIFICATION_TRUNCATE_LENGTH",
+    "note_delay_ms": "DELAYS_BEFORE_PUBLISHING_NOTES",
+    "fresh_minutes": "ALLOW_EVENTS_NOT_OLDER_THAN_MINUTES",
+}
+MEDIA_PATTERN_PREFIX = "IMAGE_URL_PATTERN_"
+
 
 @dataclass(frozen=True)
 class FlowOptions:
@@ -47,6 +67,23 @@ class FlowOptions:
         on = dict(nsfw=True, language=True, toxicity=True, sentiment=True, topic=True)
         return cls(**{**on, **kw})
 
+    @classmethod
+    def from_settings(cls, settings: Mapping[str, str], **kw) -> "FlowOptions":
+        """Options from text settings such as environment variables; ``kw`` has precedence."""
+        values: dict = {
+            option: settings.get(name) == "true" for option, name in SWITCHES.items()
+        }
+        for option, name in NUMBERS.items():
+            if settings.get(name):
+                digits = re.match(r"\s*([+-]?\d+)", settings[name])
+                if not digits:
+                    raise ValueError(f"{name} is not a number")
+                values[option] = int(digits.group(1))
+        values["media_patterns"] = tuple(
+            v for k, v in settings.items() if k.startswith(MEDIA_PATTERN_PREFIX)
+        )
+        return cls(**{**values, **kw})
+
     def __post_init__(self):
         for name in ("language_limit", "toxicity_limit", "sentiment_limit", "topic_limit"):
             if getattr(self, name) < 0:

@@ -164,3 +164,20 @@ def test_options():
     with pytest.raises(ValueError):
         FlowOptions(nsfw=True)
     assert not any([FlowOptions().nsfw, FlowOptions().language, FlowOptions().topic])
+
+
+def test_options_from_settings():
+    settings = {
+        "ENABLE_LANGUAGE_DETECTION": "true", "ENABLE_TOPIC_CLASSIFICATION": "TRUE",
+        "LANGUAGE_DETECTOR_TRUNCATE_LENGTH": "500 chars", "TOPIC_CLASSIFICATION_TRUNCATE_LENGTH": "",
+        "ALLOW_EVENTS_NOT_OLDER_THAN_MINUTES": "20",
+        "IMAGE_URL_PATTERN_0": "host1.tld", "IMAGE_URL_PATTERN_1": "/IMG/i",
+    }
+    options = FlowOptions.from_settings(settings, note_delay_ms=5)
+    assert options.language and not options.topic and not options.nsfw
+    assert (options.language_limit, options.topic_limit) == (500, 350)
+    assert (options.fresh_minutes, options.note_delay_ms) == (20, 5)
+    assert options.media_patterns == ("host1.tld", "/IMG/i")
+    for wrong in ("x", "-1"):
+        with pytest.raises(ValueError):
+            FlowOptions.from_settings({"LANGUAGE_DETECTOR_TRUNCATE_LENGTH": wrong})

@@ -1,5 +1,4 @@
 import os
-from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
