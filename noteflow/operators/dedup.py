@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteflow.functions import constants as K
-from noteflow.operators.ingest import intact, valid_structure
+from noteflow.operators.ingest import intact, valid_structure, with_arrival
 from noteflow.staging import cut_lineage
 
 CHUNK_TTLS = 12
@@ -132,11 +132,12 @@ def _stage(events: DataFrame, key: str, ts: str, **verdicts: Column) -> DataFram
     All later steps but the last read narrow columns of it. The number, fixed by the write,
     tells exact copies apart and joins without hot keys.
     """
+    relay = F.col("relay") if "relay" in events.columns else F.lit("")
     arrivals = events.select(
         F.coalesce(F.col(key), F.lit("undefined")).alias("key"),
         F.unix_millis(F.coalesce(F.col(ts), F.current_timestamp())).alias("ts"),
         F.struct(
-            F.coalesce(F.col("relay"), F.lit("")).alias("relay"),
+            F.coalesce(relay, F.lit("")).alias("relay"),
             F.xxhash64(*events.columns).alias("copy"),
             F.monotonically_increasing_id().alias("row_no"),
         ).alias("order"),
@@ -194,7 +195,7 @@ def ingress_fold(
     ttl_ms = ttl_s * 1000
     valid = valid_structure()
     arrivals = _stage(
-        events, "id", "arrival_ts",
+        with_arrival(events), "id", "arrival_ts",
         valid=valid,
         # The hash is only needed, hence only computed, for well-shaped events.
         forged=F.when(valid, ~intact(sig_ok)).otherwise(False),

@@ -13,6 +13,15 @@ from noteflow.functions.jsonio import event_id
 GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
+def with_arrival(events: DataFrame) -> DataFrame:
+    """Events without an arrival time arrive now; those without a relay column have none."""
+    if "relay" not in events.columns:
+        events = events.withColumn("relay", F.lit(None).cast("string"))
+    if "arrival_ts" not in events.columns:
+        return events.withColumn("arrival_ts", F.current_timestamp())
+    return events.withColumn("arrival_ts", F.coalesce("arrival_ts", F.current_timestamp()))
+
+
 def multi_relay_union(sources: dict[str, DataFrame]) -> DataFrame:
     """All relays as one frame; each event keeps the relay it came from."""
     tagged = [df.withColumn("relay", F.lit(relay)) for relay, df in sources.items()]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from noteflow.functions import constants as K
-from noteflow.operators.ingest import intact, valid_structure
+from noteflow.operators.ingest import intact, valid_structure, with_arrival
 
 STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -81,6 +81,7 @@ def dedup_stream(
     arrivals are folded in time order. The source's rate limit bounds a micro-batch.
     """
     ttl_ms = ttl_s * 1000
+    events = with_arrival(events)
     valid = valid_structure() if check else F.lit(True)
     columns = events.columns
     keyed = (

@@ -77,6 +77,22 @@ def test_state_walks_like_the_batch_fold(spark, tmp_path):
     assert sorted(g[1:] for g in got if g[0] == "quarantine") == quarantined
 
 
+def test_events_without_arrival_time_arrive_now(spark, tmp_path):
+    from tests.test_ingest_dedup import events
+
+    rows = [("a", 0, "r", "good"), ("a", 9, "r", "good"), ("b", 0, "r", "forged")]
+    raw = events(spark, rows).drop("arrival_ts", "relay")
+    good, quarantine = dedup.ingress_fold(raw)
+    assert (good.count(), quarantine.count()) == (1, 1)
+    raw.write.parquet(str(tmp_path / "in"))
+    run.use_rocksdb(spark)
+    got = []
+    run.dedup_stream(spark.readStream.schema(raw.schema).parquet(str(tmp_path / "in"))).writeStream.foreachBatch(
+        lambda df, _: got.extend(r.outcome for r in df.collect())
+    ).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(got) == ["pass", "quarantine"]
+
+
 def test_counts_run_over_every_arrival(spark, notes, tmp_path):
     folder = str(tmp_path / "in")
     notes.write.json(folder, timestampFormat=STAMP)
