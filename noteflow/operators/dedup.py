@@ -126,25 +126,36 @@ def accepted_times(arrivals: DataFrame, ttl_ms: int) -> DataFrame:
     )
 
 
-def _stage(events: DataFrame, key: str, ts: str, **verdicts: Column) -> DataFrame:
-    """Arrivals with key, time, order and a row number, written once.
+def _stage(
+    events: DataFrame, key: str, ts: str, row_id: str | None, **verdicts: Column
+) -> tuple[DataFrame, DataFrame]:
+    """(arrivals, rows): narrow columns to decide on, and whole rows, both with ``row_no``.
 
-    All later steps but the last read narrow columns of it. The number, fixed by the write,
-    tells exact copies apart and joins without hot keys.
+    The number is unique and stable: it tells exact copies apart and joins without hot keys.
+    It is ``row_id`` if the source has one; then only the narrow columns are written, and the
+    rows are read again from the source. Otherwise the write of the whole rows fixes it.
     """
     relay = F.col("relay") if "relay" in events.columns else F.lit("")
-    arrivals = events.select(
+    number = F.col(row_id) if row_id else F.monotonically_increasing_id()
+    columns = [
         F.coalesce(F.col(key), F.lit("undefined")).alias("key"),
         F.unix_millis(F.coalesce(F.col(ts), F.current_timestamp())).alias("ts"),
         F.struct(
             F.coalesce(relay, F.lit("")).alias("relay"),
             F.xxhash64(*events.columns).alias("copy"),
-            F.monotonically_increasing_id().alias("row_no"),
+            number.alias("row_no"),
         ).alias("order"),
         *[v.alias(name) for name, v in verdicts.items()],
-        F.struct(*events.columns).alias("row"),
+    ]
+    by = ("forged",) if "forged" in verdicts else ()
+    if row_id:
+        rows = events.select(number.alias("row_no"), F.struct(*events.columns).alias("row"))
+        return cut_lineage(events.select(*columns), "arrivals", by), rows
+    written = cut_lineage(
+        events.select(*columns, F.struct(*events.columns).alias("row")), "arrivals", by
     )
-    return cut_lineage(arrivals, "arrivals", ("forged",) if "forged" in verdicts else ())
+    rows = written.select(F.col("order.row_no").alias("row_no"), "row", *by)
+    return written.drop("row"), rows
 
 
 def _accepted(arrivals: DataFrame, ttl_ms: int, *keep: str) -> DataFrame:
@@ -155,11 +166,10 @@ def _accepted(arrivals: DataFrame, ttl_ms: int, *keep: str) -> DataFrame:
     return first.join(times, ["key", "ts"]).select("key", "ts", "first.*")
 
 
-def _rows_of(arrivals: DataFrame, accepted: DataFrame) -> DataFrame:
-    """The whole rows of accepted arrivals: the one wide shuffle, by row number."""
-    numbers = accepted.select(F.col("order.row_no").alias("row_no"))
-    numbered = arrivals.select(F.col("order.row_no").alias("row_no"), "row")
-    return numbered.join(numbers, "row_no", "left_semi").select("row.*")
+def _rows_of(rows: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """The whole rows of some arrivals: the one wide shuffle, by row number."""
+    numbers = arrivals.select(F.col("order.row_no").alias("row_no"))
+    return rows.join(numbers, "row_no", "left_semi").select("row.*")
 
 
 def dedup_ttl(
@@ -168,9 +178,13 @@ def dedup_ttl(
     ts: str = "arrival_ts",
     ttl_s: int = K.DEDUP_TTL_S,
     exact: bool = True,
+    row_id: str | None = None,
 ) -> DataFrame:
     """Drop repeats of ``key`` within ``ttl_s`` of the accepted arrival.
 
+    ``row_id`` names a column that identifies a row on every reading, see
+    ``sources.events.file_row_id``; without one the rows are written once more.
+
     ``exact=False`` is the built-in watermark form for streams. It drops at least as much:
     its clock only moves between micro-batches.
     """
@@ -180,12 +194,15 @@ def dedup_ttl(
         return events.withWatermark(ts, f"{ttl_s} seconds").dropDuplicatesWithinWatermark([key])
     if events.isStreaming:
         raise ValueError("use noteflow.streaming.dedup_state for exact removal on a stream")
-    arrivals = _stage(events, key, ts)
-    return _rows_of(arrivals, _accepted(arrivals, ttl_s * 1000))
+    arrivals, rows = _stage(events, key, ts, row_id)
+    return _rows_of(rows, _accepted(arrivals, ttl_s * 1000))
 
 
 def ingress_fold(
-    events: DataFrame, ttl_s: int = K.DEDUP_TTL_S, sig_ok: str | None = None
+    events: DataFrame,
+    ttl_s: int = K.DEDUP_TTL_S,
+    sig_ok: str | None = None,
+    row_id: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(accepted, quarantine): repeat removal together with the two checks.
 
@@ -194,16 +211,14 @@ def ingress_fold(
     """
     ttl_ms = ttl_s * 1000
     valid = valid_structure()
-    arrivals = _stage(
-        with_arrival(events), "id", "arrival_ts",
+    arrivals, rows = _stage(
+        with_arrival(events), "id", "arrival_ts", row_id,
         valid=valid,
         # The hash is only needed, hence only computed, for well-shaped events.
         forged=F.when(valid, ~intact(sig_ok)).otherwise(False),
         salt=F.pmod(F.spark_partition_id(), F.lit(SALTS)),
     )
-    honest = arrivals.filter(~F.col("forged"))
-    blocking = cut_lineage(_accepted(honest, ttl_ms, "valid"), "blocking")
-    good = _rows_of(honest, blocking.filter("valid"))
+    blocking = cut_lineage(_accepted(arrivals.filter(~F.col("forged")), ttl_ms, "valid"), "blocking")
 
     # Accepted arrivals lie more than a ttl apart: at most one per slot of that width, and
     # only those of the same or the previous slot can block. One forged event may have very
@@ -224,5 +239,8 @@ def ingress_fold(
         & (F.col("f.salt") == F.col("b.salt")) & (F.col("ts") - F.col("b_ts") <= ttl_ms)
         & (F.struct("b_ts", "b_order") < F.struct("ts", "order"))
     )
-    quarantine = forged.alias("f").join(blocks, hit, "left_anti").select("row.*")
-    return good, quarantine
+    free = forged.alias("f").join(blocks, hit, "left_anti")
+
+    honest_rows = rows if row_id else rows.filter(~F.col("forged"))
+    forged_rows = rows if row_id else rows.filter("forged")
+    return _rows_of(honest_rows, blocking.filter("valid")), _rows_of(forged_rows, free)

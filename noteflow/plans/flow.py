@@ -56,8 +56,10 @@ def enrich(fresh: DataFrame, quarantine: DataFrame, options: FlowOptions) -> Flo
     return FlowResult(notes, others, gating, text_out.filter(late), messages, audit, quarantine)
 
 
-def run_flow(events: DataFrame, options: FlowOptions, sig_ok: str | None = None) -> FlowResult:
+def run_flow(
+    events: DataFrame, options: FlowOptions, sig_ok: str | None = None, row_id: str | None = None
+) -> FlowResult:
     """Batch: the ingress, its results staged, then every output of the flow."""
-    good, quarantine = dedup.ingress_fold(events, options.dedup_ttl_s, sig_ok)
+    good, quarantine = dedup.ingress_fold(events, options.dedup_ttl_s, sig_ok, row_id)
     fresh = cut_lineage(ingest.freshness(good, options.fresh_minutes), "fresh")
     return enrich(fresh, cut_lineage(quarantine, "quarantine"), options)

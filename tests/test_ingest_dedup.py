@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from noteflow.functions.jsonio import event_id
 from noteflow.operators import dedup, ingest
 from noteflow.schema import ENVELOPE
+from noteflow.sources.events import file_row_id
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -119,6 +120,25 @@ def test_fold_of_repeats_and_checks(spark):
     assert outcome(*dedup.ingress_fold(events(spark, rows))) == walk(rows)
 
 
+def test_rows_are_found_again_in_their_files(spark, tmp_path):
+    """With a row id from the source only narrow columns are written."""
+    rng = random.Random(5)
+    rows = [
+        (f"n{rng.randint(0, 20)}", rng.randint(0, 2000), "r", rng.choice(["good", "bad", "forged"]))
+        for _ in range(600)
+    ]
+    events(spark, rows).union(events(spark, rows[:50])).repartition(5).write.parquet(str(tmp_path / "e"))
+    source = spark.read.parquet(str(tmp_path / "e"))
+    placed = file_row_id(source)
+    assert placed.select("row_id").distinct().count() == 650
+    both = [dedup.ingress_fold(source), dedup.ingress_fold(placed, row_id="row_id")]
+    (good, bad), (good_again, bad_again) = [outcome(*b) for b in both]
+    key = lambda rs: sorted((n, s) for n, s, _ in rs)
+    assert key(bad) == key(bad_again) and key(good) == key(good_again)
+    times = lambda df: sorted((r.id, r.arrival_ts) for r in df.select("id", "arrival_ts").collect())
+    assert times(dedup.dedup_ttl(source)) == times(dedup.dedup_ttl(placed, row_id="row_id"))
+
+
 def test_every_copy_of_a_forged_event_is_quarantined(spark):
     rows = [("a", 5, "r", "forged")] * 300 + [("a", 6, "r", "good")] + [("a", 7, "r", "forged")] * 200
     passed, quarantined = outcome(*dedup.ingress_fold(events(spark, rows).repartition(7)))
