@@ -24,11 +24,19 @@ def _replace_all(text: Column, pairs) -> Column:
 
 
 def json_string(text: Column) -> Column:
-    escaped = let(
-        _replace_all(text, SHORT_ESCAPES),
-        lambda t: F.when(t.rlike(r"[\x00-\x1f]"), _replace_all(t, LONG_ESCAPES)).otherwise(t),
-    )
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    """``to_json`` escapes in one pass and alike, but for the case of ``\\u00xx``."""
+
+    def member(obj: Column) -> Column:  # {"a":"..."} without the frame
+        return F.substr(obj, F.lit(6), F.length(obj) - 6)
+
+    def escaped(value: Column) -> Column:
+        by_hand = _replace_all(_replace_all(text, SHORT_ESCAPES), LONG_ESCAPES)
+        return F.when(
+            value.contains("\\u00"), F.concat(F.lit('"'), by_hand, F.lit('"'))
+        ).otherwise(value)
+
+    value = let(F.to_json(F.named_struct(F.lit("a"), text)), member)
+    return F.when(text.isNotNull(), let(value, escaped))
 
 
 def json_number(x: Column) -> Column:

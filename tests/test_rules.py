@@ -71,6 +71,14 @@ def test_json_strings_and_event_id(spark):
     assert digest == hashlib.sha256(canonical.encode()).hexdigest()
 
 
+def test_json_of_fields_inside_arrays(spark):
+    rows = F.transform(
+        F.array(F.struct(F.lit('x"1').alias("a_long_name"), F.lit(None).cast("string").alias("none"))),
+        lambda r: F.concat_ws("|", jsonio.json_string(r["a_long_name"]), jsonio.json_string(r["none"])),
+    )
+    assert spark.range(1).select(rows).first()[0] == ['"x\\"1"']
+
+
 def test_payloads(apply):
     assert apply(records.language_payload, [[(0.0, "en")], []], LANGUAGES) == [
         '[{"confidence":0,"language":"en"}]', "[]",
