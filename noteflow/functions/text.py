@@ -184,7 +184,8 @@ def preprocess_text(text: Column, urls: Column | None = None, compat: bool = Tru
     """
     if urls is None:
         urls = extract_urls(text)
-    x = strip_urls(strip_mentions(text), urls)
+    # Every mention has a 1 after its prefix.
+    x = strip_urls(_when(text, lambda t: t.contains("1"), strip_mentions), urls)
     x = squeeze_repeats(strip_ordinals(x))
     x = _when(x, lambda t: t.contains("#"), split_camel_hashtags)
     x = _when(x, lambda t: _mentions_any(t, "gg", "fag", "cunt"), normalize_slurs)

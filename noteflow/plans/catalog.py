@@ -198,9 +198,9 @@ def media_urls(spark, sf):
 
 @query
 def clean_url(spark, sf):
-    return all_urls(spark, sf).select(
-        "url", urls.clean_url_without_params(F.col("url")).alias("clean")
-    )
+    """Not a URL of its own (such as ``//host/path``): shown as an empty text."""
+    clean = F.coalesce(urls.clean_url_without_params(F.col("url")), F.lit(""))
+    return all_urls(spark, sf).select("url", clean.alias("clean"))
 
 
 @query
@@ -260,7 +260,7 @@ def score_stage(spark, sf):
     return scored.select(
         "doc_id", F.col("response.ok").alias("ok"),
         F.coalesce("response.data", F.lit(-1).cast("bigint")).alias("n_chars"),
-        F.col("response.error").alias("error"),
+        F.coalesce("response.error", F.lit("")).alias("error"),
     )
 
 

@@ -361,7 +361,7 @@ _is_media = f"{PATTERN_HIT.format(u='u')} OR ({url_type('u')}) IN ('image', 'vid
 on_posts("media_urls", f"""SELECT doc_id, array_to_string(list_filter({url_list('content')},
   lambda u: {_is_media}), ' ') AS media FROM posts""")
 on_posts("clean_url", r"""SELECT url, CASE WHEN m.scheme <> '' THEN concat(lower(m.scheme), '://', lower(m.host),
-    CASE WHEN m.path = '' THEN '/' ELSE m.path END, m.ref) END AS clean
+    CASE WHEN m.path = '' THEN '/' ELSE m.path END, m.ref) ELSE '' END AS clean
   FROM (SELECT url, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]+)([^?#]*)(?:\?[^#]*)?(#.*)?$',
     ['scheme', 'host', 'path', 'ref']) AS m FROM urls)""", ALL_URLS)
 on_posts("is_image_content_type",
@@ -380,7 +380,7 @@ on_posts("preprocess_text", "SELECT doc_id, clean AS result FROM cleaned", chain
 
 on_posts("score_stage", """SELECT doc_id, NOT contains(content, '@note1') AS ok,
   CASE WHEN contains(content, '@note1') THEN -1 ELSE length(content) END AS n_chars,
-  CASE WHEN contains(content, '@note1') THEN 'the model refuses mentions' END AS error FROM posts""")
+  CASE WHEN contains(content, '@note1') THEN 'the model refuses mentions' ELSE '' END AS error FROM posts""")
 on_notes("nsfw_url_records", "SELECT id, relay, records FROM media", media_ctes("notes"))
 on_notes("nsfw_url_flags", """SELECT id, relay, url, probably_nsfw, high_probably_nsfw, responsible_nsfw
   FROM occurrences WHERE ok""", media_ctes("notes"))
