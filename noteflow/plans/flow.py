@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from noteflow.functions.constants import TASKS
 from noteflow.operators import classify, dedup, ingest, media, records
@@ -31,11 +32,20 @@ class FlowResult:
         return self.gating.unionByName(self.later)
 
 
+def _without_texts(classified: DataFrame) -> DataFrame:
+    """What records and audit rows need; only flagged notes keep their texts."""
+    texts = []
+    if "is_toxic" in classified.columns:
+        texts = [F.when(F.col("is_toxic"), F.col(c)).alias(c) for c in ("content", "clean")]
+    tasks = [c for c in (*TASKS, "is_toxic") if c in classified.columns]
+    return classified.select("id", "pubkey", "created_at", *tasks, *texts)
+
+
 def enrich(fresh: DataFrame, quarantine: DataFrame, options: FlowOptions) -> FlowResult:
     """Classify what passed the ingress. ``fresh`` and ``quarantine`` are read several times,
     so they are files; the costly intermediates are written once as well."""
     notes, others = ingest.route_by_kind(fresh)
-    classified = cut_lineage(classify.classify_text(notes, options), "classified")
+    classified = cut_lineage(_without_texts(classify.classify_text(notes, options)), "classified")
     text_out = records.text_records(classified, options.publisher)
     messages = records.event_messages(fresh).unionByName(records.text_messages(text_out))
     audit = records.invalid_audit(quarantine)
