@@ -465,6 +465,18 @@ def relay_counts_stream(spark, sf):
     return spark.table(name)
 
 
+@query
+def dedup_ttl_stream(spark, sf):
+    """Repeat removal alone, with one time per id as state."""
+    out, arrivals = new_path(spark, "accepted"), _as_stream(spark, sf)
+    streams.use_rocksdb(spark)
+    with state_partitions(spark):
+        streams.dedup_stream(arrivals, check=False).writeStream.format("parquet").trigger(
+            availableNow=True
+        ).start(out, checkpointLocation=new_path(spark, "state")).awaitTermination()
+    return spark.read.parquet(out).select("id", "relay", millis())
+
+
 @query
 def notes_stream_end_to_end(spark, sf):
     """The same flow as a stream over JSON files: rows per output."""

@@ -304,6 +304,7 @@ on_notes(
     "dedup_ttl", "SELECT key AS id, relay, ts AS arrival_ms FROM judged WHERE outcome = 'pass'",
     fold_ctes("notes", "id", "arrival_ms", "relay", TTL_MS, "relay"),
 )
+ORACLE["dedup_ttl_stream"] = ORACLE["dedup_ttl"]
 ORACLE["dedup_ttl_by_user"] = (
     "WITH RECURSIVE " + fold_ctes("events", "user_id", "epoch_us(ts) // 1000", "event_id", 3_600_000, "event_id")
     + """ SELECT cast(key AS varchar) AS "user", ts AS arrival_ms FROM judged WHERE outcome = 'pass'"""
