@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteflow.llm import exact_dedup, mixing, quality
+from noteflow.llm import exact_dedup, mixing, ngram_join, quality
 from noteflow.llm.common import table
 
 QUERIES = {}
@@ -71,6 +71,11 @@ WINDOW same AS (PARTITION BY norm)
 """
 
 
+@query
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 @query
 def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
