@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteflow.llm import exact_dedup, mixing, ngram_join, quality
+from noteflow.llm import exact_dedup, mixing, ngram_join, packing, quality
 from noteflow.llm.common import table
+from noteflow.llm.tokenizer_files import tokenizer_file
 
 QUERIES = {}
 ORACLE = {}
@@ -45,7 +46,7 @@ l AS (
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (
   SELECT source, source_size, CASE WHEN v IS NULL THEN cap ELSE least(cap, weight * v) END AS target
-  FROM (SELECT *, min(CASE WHEN cap / weight > until THEN until END) OVER () AS v FROM l)),
+  FROM (SELECT *, max(CASE WHEN cap / weight > until THEN until END) OVER () AS v FROM l)),
 q AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CAST(sum(d.size) OVER (
     PARTITION BY d.source ORDER BY md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '?')), doc_id, size
@@ -76,6 +77,12 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("word_bpe_49k.json")
+    return packing.packed_documents(table(spark, sf_dir, "documents"), path)
+
+
 @query
 def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
