@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteflow.llm import exact_dedup, mixing, ngram_join, packing, quality
+from noteflow.llm import exact_dedup, license_scan, mixing, ngram_join, packing, quality
 from noteflow.llm.common import table
 from noteflow.llm.tokenizer_files import tokenizer_file
 
@@ -117,3 +117,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR (letters > 0 AND upper > 0.7 * letters)) AS kept
 FROM b
 """
+
+
+@query
+def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    rows = ", ".join(
+        f"({n}, {len(t.words) - 1}, {str(t.exact).upper()}, '{t.label}', {q}, '{t.words[q]}', '{t.words[q + 1]}')"
+        for n, t in enumerate(license_scan.TEMPLATES) for q in range(len(t.words) - 1))
+    return rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+t(template, pairs, exact, label, q, w1, w2) AS (VALUES {rows}),
+g AS (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM w),
+v AS (
+  SELECT DISTINCT doc_id, template, pairs, exact, label, q, i - 1 AS p
+  FROM g JOIN t ON words[i] = w1 AND words[i + 1] = w2),
+d AS (
+  SELECT *, p - q AS diagonal FROM v),
+n AS (
+  SELECT doc_id, template, diagonal, any_value(pairs) AS pairs, any_value(exact) AS exact FROM d
+  GROUP BY doc_id, template, diagonal),
+f AS (
+  SELECT *, CASE WHEN exact OR pairs <= {license_scan.NEAR} OR coalesce(diagonal - lag(diagonal) OVER own, 999)
+      > {license_scan.NEAR} THEN 1 ELSE 0 END AS new
+  FROM n WINDOW own AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+s AS (SELECT doc_id, template, diagonal, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM f),
+x AS (
+  SELECT d.doc_id, d.template, any_value(d.exact) AS exact, any_value(label) AS label, min(p) AS first_p,
+    count(DISTINCT q) / any_value(pairs) AS share, max(p) - min(p) < 2 * any_value(pairs) AS short
+  FROM d JOIN s ON d.doc_id = s.doc_id AND d.template = s.template AND d.diagonal = s.diagonal
+  GROUP BY d.doc_id, d.template, s.span),
+y AS (SELECT * FROM x WHERE CASE WHEN exact THEN share = 1 ELSE share >= {license_scan.SHARE} AND short END),
+a AS (
+  SELECT doc_id, count(*) FILTER (exact) AS n_base, min(first_p) FILTER (exact) AS first_word,
+    max(first_p) FILTER (exact) AS last_word,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (exact)), ',') AS base_labels,
+    array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score
+  FROM y GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM w LEFT JOIN a ON w.doc_id = a.doc_id
+"""
+
+
+ORACLE["op10_license_diagonals"] = _license_sql()
