@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteflow.llm import exact_dedup, license_scan, mixing, ngram_join, packing, quality
+from noteflow.llm import exact_dedup, license_scan, mixing, ngram_join, packing, quality, sharding
 from noteflow.llm.common import table
 from noteflow.llm.tokenizer_files import tokenizer_file
+from noteflow.staging import new_path
 
 QUERIES = {}
 ORACLE = {}
@@ -83,6 +84,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), path)
 
 
+@query
+def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.sharded_sizes(table(spark, sf_dir, "documents"), 16, new_path(spark, "slot-map"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+                         F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
