@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteflow.llm import exact_dedup, license_scan, mixing, ngram_join, packing, quality, sharding
+from noteflow.llm import exact_dedup, license_scan, mixing, ngram_join, packing, quality, sharding, token_counts
 from noteflow.llm.common import table
 from noteflow.llm.tokenizer_files import tokenizer_file
 from noteflow.staging import new_path
@@ -73,6 +73,12 @@ WINDOW same AS (PARTITION BY norm)
 """
 
 
+@query
+def op4_greedy_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("word_bpe_49k.json")
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), path)
+
+
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"), k=4, percent=85)
