@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteflow.llm import exact_dedup, license_scan, mixing, ngram_join, packing, quality, sharding, token_counts
+from noteflow.llm import exact_dedup, license_scan, mixing, ngram_join, packing, quality, sharding, token_counts, warc
 from noteflow.llm.common import table
 from noteflow.llm.tokenizer_files import tokenizer_file
 from noteflow.staging import new_path
@@ -73,6 +73,28 @@ WINDOW same AS (PARTITION BY norm)
 """
 
 
+@query
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+
+
+# Base 32 in SQL: each digit is five of the 160 bits, read from the hexadecimal form.
+ORACLE["op3_warc_round_trip"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS n, sha1(t) AS x FROM p),
+d AS (
+  SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST(('0x' || substr(x, 1 + CAST((i // 4) * 5 AS INTEGER), 5))
+      AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), '') AS digest
+  FROM h),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS response FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> response THEN response END AS refers_to
+FROM r
+"""
+
+
 @query
 def op4_greedy_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("word_bpe_49k.json")
