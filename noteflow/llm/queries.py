@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteflow.llm import exact_dedup, license_scan, mixing, ngram_join, packing, quality, sharding, token_counts, warc
+from noteflow.llm import exact_dedup, html_text, license_scan, mixing, ngram_join, packing, quality, sharding, token_counts, warc
 from noteflow.llm.common import table
+from noteflow.llm.labelled_pages import labelled_pages
 from noteflow.llm.tokenizer_files import tokenizer_file
 from noteflow.staging import new_path
 
@@ -119,6 +120,11 @@ def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), html_text.train(labelled_pages()))
+
+
 @query
 def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
