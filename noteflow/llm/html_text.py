@@ -2,7 +2,7 @@
 
 Each block element is a variable, content or not. What is seen of it (words of its class and id,
 length and link share of its text) gives its own potential; pairs of parent and child have
-potentials that depend on the kind of the child. The graph is the tree of the page, so one pass of messages from the
+potentials that depend on the kinds of both. The graph is the tree of the page, so one pass of messages from the
 leaves up and one down give the exact probability of every element to be content. All potentials
 are relative frequencies in labelled pages (``labelled_pages``).
 
@@ -185,10 +185,13 @@ def features(page: Page) -> list[list[str]]:
 
 @dataclass(frozen=True)
 class Model:
-    """Log potentials: ``own[feature] = (not content, content)``, ``pair[kind][parent][child]``."""
+    """Log potentials: ``own[feature] = (not content, content)``, ``pair[kinds][parent][child]``.
+
+    ``kinds`` is the kind of the child, or that of parent and child where pages showed the two.
+    """
 
     own: dict[str, tuple[float, float]]
-    pair: dict[str, tuple[tuple[float, float], tuple[float, float]]]
+    pair: dict[object, tuple[tuple[float, float], tuple[float, float]]]
     root: tuple[float, float]
 
 
@@ -204,19 +207,22 @@ def train(pages: Iterable[str]) -> Model:
             nodes[label] += 1
             seen[label].update(found)
             if node:
-                pairs[page.kind[node], page.label[page.parent[node]], label] += 1
+                above = page.parent[node]
+                for kinds in (None, page.kind[node], (page.kind[above], page.kind[node])):
+                    pairs[kinds, page.label[above], label] += 1
     names = set(seen[0]) | set(seen[1])
     own = {n: tuple(math.log((seen[y][n] + LEAST) / (nodes[y] + 2 * LEAST)) for y in (0, 1)) for n in names}
-    every = Counter()
-    for (_, a, b), n in pairs.items():
-        every[a, b] += n
 
-    def share(kind: str, a: int, b: int) -> float:
-        # Kinds that are rare or unknown lean on all kinds together.
-        usual = (every[a, b] + LEAST) / (every[a, 0] + every[a, 1] + 2 * LEAST)
-        return math.log((pairs[kind, a, b] + 2 * LEAST * usual) / (pairs[kind, a, 0] + pairs[kind, a, 1] + 2 * LEAST))
+    def share(kinds, a: int, b: int) -> float:
+        # What is rare leans on the child's kind, and that on all kinds together.
+        if kinds is None:
+            usual = 0.5
+        else:
+            usual = share(kinds[1] if isinstance(kinds, tuple) else None, a, b)
+        return (pairs[kinds, a, b] + 2 * LEAST * usual) / (pairs[kinds, a, 0] + pairs[kinds, a, 1] + 2 * LEAST)
 
-    pair = {kind: tuple(tuple(share(kind, a, b) for b in (0, 1)) for a in (0, 1)) for kind in [*KINDS, "other"]}
+    shown = {kinds for kinds, _, _ in pairs if kinds is not None} | KINDS | {"other"}
+    pair = {k: tuple(tuple(math.log(share(k, a, b)) for b in (0, 1)) for a in (0, 1)) for k in shown}
     return Model(own, pair, (math.log(0.99), math.log(0.01)))
 
 
@@ -236,7 +242,8 @@ def marginals(page: Page, model: Model) -> list[float]:
                 a, b = model.own[name]
                 no, yes = no + a, yes + b
         own.append((no, yes))
-    pairs = [model.pair[kind] for kind in page.kind]
+    pairs = [model.pair.get((page.kind[above], kind)) or model.pair[kind]
+             for above, kind in zip(page.parent, page.kind, strict=True)]
     up0, up1 = [o[0] for o in own], [o[1] for o in own]  # own potential and all messages from below
     sent0, sent1 = [0.0] * count, [0.0] * count
     for node in range(count - 1, 0, -1):
