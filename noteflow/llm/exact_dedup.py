@@ -77,15 +77,15 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     Of rows that agree in text and id, one stays; which one is open if other columns differ.
     """
+    sha, i_, t_ = (free_name(docs, name) for name in ("sha_", "id_", "text_sha256_"))
     found = cut_lineage(find_repeats(docs, id_col, text).select(
-        F.col(id_col).alias("id"), "kept", "text_sha256", "group_size"), "repeats")
-    sha = free_name(docs, "sha_")
+        F.col(id_col).alias(i_), "kept", F.col("text_sha256").alias(t_), "group_size"), "repeats")
     tagged = docs.withColumn(sha, F.sha2(normalised(F.col(text)), 256))
-    key = (F.col(id_col).eqNullSafe(F.col("id"))) & (F.col(sha) == F.col("text_sha256"))
-    dropped = cut_lineage(found.where(~F.col("kept")).select("id", "text_sha256").distinct(), "dropped")
+    key = F.col(id_col).eqNullSafe(F.col(i_)) & (F.col(sha) == F.col(t_))
+    dropped = cut_lineage(found.where("NOT kept").select(i_, t_).distinct(), "dropped")
     double = cut_lineage(
-        found.where(F.col("kept") & (F.col("group_size") > 1)).groupBy("id", "text_sha256")
-        .agg(F.count("*").alias("n")).where("n > 1").select("id", "text_sha256"), "double-rows")
+        found.where("kept AND group_size > 1").groupBy(i_, t_)
+        .agg(F.count("*").alias("n")).where("n > 1").select(i_, t_), "double-rows")
     stay = narrow_join(tagged, dropped, key, "left_anti")
     if not double.head(1):
         return stay.drop(sha)

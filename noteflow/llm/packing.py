@@ -64,6 +64,8 @@ class WordEncoder:
         self.chars += sum(map(len, new))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
         split = [WORD.findall(t) for t in texts]
         if self.chars > CACHED_CHARS:
             self._reset()
@@ -78,7 +80,7 @@ class WordEncoder:
         places = np.arange(total) + np.repeat(self.at[slots] - (ends - sizes), sizes)
         ids = self.ids[places]
         words = np.cumsum([len(x) for x in split])
-        cuts = np.concatenate(([0], ends))[words] if len(words) else []
+        cuts = np.concatenate(([0], ends))[words]
         return np.split(ids, cuts[:-1])
 
 
