@@ -1,5 +1,7 @@
 """Limits, word lists and patterns that the results depend on."""
 
+import re
+
 # --- fixed values: kinds, topics and task names -----------------------------
 NOTE_KIND = 1
 RECORD_KIND = 9978
@@ -25,7 +27,6 @@ BACKFILL_PER_RELAY = 50
 NOTE_DELAY_MS = 1000
 SCORE_ATTEMPTS = 2
 SCORE_PAUSE_S = 5.0
-SCORE_PARALLELISM = 10
 TOXICITY_LABELS = [
     "identity_attack", "insult", "obscene", "severe_toxicity",
     "sexual_explicit", "threat", "toxicity",
@@ -44,17 +45,17 @@ MENTION = (
     r"([qpzry9x8gf2tvdw0s3jn54khce6mua7l]+)([\\\\S]*)"
 )
 ORDINAL = r"(?i)\d+(st|nd|rd|th)"
+# The same matches in linear time: a number is tried once, from its first digit.
+ORDINAL_LINEAR = r"(?i)(?<!\d)\d++(st|nd|rd|th)"
 ZAP = r"(?i)(zaps?(athon)?)"
+# Both cases are listed: (?i) makes the search for a run, the most frequent one, much slower.
 HEX_RUN = r"(0[xX])?[0-9a-fA-F]{6,}"
 PUNCT = r"([#*!?:(){}|\[\].,+\-_–—=<>%@&$~;/\\\t\r\n]|\d+|[【】「」（）。°•…])"
 PUNCT_FULL = "([#*!?:(){}|\\[\\].,+\\-_–—=<>%@&$\"“”’'`~;/\\\\\\t\\r\\n]|\\d+|[【】「」（）。°•…])"
 TOKEN_BREAK = r"""[""" + SPACE + r""",.!?;:(\[\]'"¡¿)/]+"""
-# Every character of PUNCT and of TOKEN_BREAK.
-BREAKS = (
-    "#*!?:(){}|[].,+-_–—=<>%@&$~;/\\\t\r\n0123456789【】「」（）。°•…'\"¡¿"
-    "\x0B\f \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
-    "\u2028\u2029\u202f\u205f\u3000\ufeff"
-)
+# Every character of PUNCT and of TOKEN_BREAK; none lies beyond U+FFFF.
+_BREAK = re.compile(re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", f"{PUNCT}|{TOKEN_BREAK}"), re.ASCII)
+BREAKS = "".join(chr(c) for c in range(0x10000) if _BREAK.fullmatch(chr(c)))
 
 # Obfuscated slurs and the one spelling each family is brought to.
 SLUR_DELIMITER = r"""([""" + SPACE + r"""]|\.|,|\?|!|'|"|\(|\)|\[|\]|\{|\}|\z)"""
@@ -63,6 +64,9 @@ SLURS = [
     (r"(?i)fags?" + SLUR_DELIMITER + r"|faggots", "faggot "),
     (r"(?i)cunts?" + SLUR_DELIMITER, "cunt "),
 ]
+# The same matches in linear time: what stands before the slur in its word starts at the word's
+# first character or where the last match ended.
+SLURS_LINEAR = [(SLURS[0][0].replace(r"(\w+)?", r"(?:(?<!\w)|\G)(\w+)?", 1), SLURS[0][1]), *SLURS[1:]]
 
 GREETINGS = [
     ("gm", "good morning"),
@@ -104,11 +108,15 @@ EMOJI = (
 # Scheme or "//", then an IPv4 address or a dotted host, then optional port and path.
 # Quotes and ")" end a URL; trailing sentence punctuation is left out of it.
 _URL_TAIL = r"""[^""" + SPACE + r"""\x{0085}"')]*[^""" + SPACE + r"""\x{0085}"').,;:!?]"""
-URL = (
-    r"(?i)(?:[a-z]+:)?//"
-    r"(?:\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}|(?:[\p{L}\p{N}_-]+\.)+\p{L}{2,})"
-    r"(?::\d{2,5})?(?:/(?:" + _URL_TAIL + r")?|[?#]" + _URL_TAIL + r")?"
-)
+_IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
+_AFTER_HOST = r"(?::\d{2,5})?(?:/(?:" + _URL_TAIL + r")?|[?#]" + _URL_TAIL + r")?"
+URL = r"(?i)(?:[a-z]+:)?//(?:" + _IPV4 + r"|(?:[\p{L}\p{N}_-]+\.)+\p{L}{2,})" + _AFTER_HOST
+# The same matches in linear time and without recursion. A scheme is tried once, from its first
+# letter. Host labels are never given back one by one: a stretch of labels ends before one that
+# begins with two letters, so the last stretch that was taken is where the host can end.
+_LABEL = r"[\p{L}\p{N}_-]++\."
+_HOST_LINEAR = rf"(?:{_LABEL}(?:(?!\p{{L}}{{2}}){_LABEL})*+(?=\p{{L}}{{2}}))++\p{{L}}{{2,}}"
+URL_LINEAR = rf"(?i)(?:(?<![a-zA-Z])[a-z]++:)?//(?:{_IPV4}|{_HOST_LINEAR})" + _AFTER_HOST
 
 # --- our own word lists for the default scorers ------------------------------
 STOP_WORDS = {

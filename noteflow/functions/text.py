@@ -26,7 +26,7 @@ def strip_urls(text: Column, urls: Column) -> Column:
 
 
 def strip_ordinals(text: Column) -> Column:
-    return F.regexp_replace(text, K.ORDINAL, "")
+    return F.regexp_replace(text, K.ORDINAL_LINEAR, "")
 
 
 def squeeze_repeats(text: Column) -> Column:
@@ -35,13 +35,17 @@ def squeeze_repeats(text: Column) -> Column:
 
 
 def split_camel_hashtags(text: Column) -> Column:
-    """Space out ``#CamelCase``. ``\\G`` carries on inside one hashtag, whatever its length."""
-    boundary = r"((?:#|(?!\A)\G)[a-zA-Z]*?[a-z])(?=[A-Z])(?=[a-zA-Z]*[A-Z][a-z])"
+    """Space out ``#CamelCase``. ``\\G`` carries on inside one hashtag, whatever its length.
+
+    The last look-ahead stops at the next pair of a capital and a small letter, which lies before
+    the next boundary: all of them together read the hashtag once.
+    """
+    boundary = r"((?:#|(?!\A)\G)[a-zA-Z]*?[a-z])(?=[A-Z])(?=[a-zA-Z]*?[A-Z][a-z])"
     return F.regexp_replace(text, boundary, "$1 ")
 
 
 def normalize_slurs(text: Column) -> Column:
-    for pattern, canonical in K.SLURS:
+    for pattern, canonical in K.SLURS_LINEAR:
         text = F.regexp_replace(text, pattern, canonical)
     return text
 

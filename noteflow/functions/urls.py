@@ -9,11 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noteflow.functions import constants as K
+from noteflow.functions.let import let
 
 
 def extract_urls(text: Column) -> Column:
     """Distinct URLs in order of first appearance; a text without ``//`` is not scanned."""
-    found = F.regexp_extract_all(F.concat(text, F.lit(" ")), F.lit(K.URL), F.lit(0))
+    found = F.regexp_extract_all(F.concat(text, F.lit(" ")), F.lit(K.URL_LINEAR), F.lit(0))
     return F.when(text.contains("//"), F.array_distinct(found)).otherwise(
         F.array().cast("array<string>")
     )
@@ -53,25 +54,28 @@ def media_urls(urls: Column, patterns: Sequence[str] = ()) -> Column:
     )
 
 
+# scheme, authority, path and fragment of an absolute URL; its query is left out
+ABSOLUTE = r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*+)://([^/?#]++)([^?#]*+)(?:\?[^#]*+)?(#.*)?\z"
+
+
 def clean_url_without_params(url: Column) -> Column:
-    """The URL without its query; NULL when it is not an absolute URL with a host."""
-    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    authority = F.try_parse_url(url, F.lit("AUTHORITY"))
-    port = F.regexp_extract(authority, r":(\d+)\z", 1)
-    default_port = F.when(scheme == "http", "80").when(scheme == "https", "443").otherwise("")
-    user = F.regexp_extract(authority, r"^(.*@)", 1)
-    path = F.try_parse_url(url, F.lit("PATH"))
-    ref = F.try_parse_url(url, F.lit("REF"))
-    return F.when(
-        scheme.isNotNull() & host.isNotNull(),
-        F.concat(
-            scheme, F.lit("://"), user, host,
-            F.when((port == "") | (port == default_port), "").otherwise(F.concat(F.lit(":"), port)),
-            F.when(F.coalesce(path, F.lit("")) == "", "/").otherwise(path),
-            F.coalesce(F.concat(F.lit("#"), ref), F.lit("")),
-        ),
-    )
+    """The URL without its query; NULL when it is not an absolute URL with a host.
+
+    Scheme and host become small letters, the port of the scheme goes, an empty path becomes
+    ``/``. All other characters stay as they are written.
+    """
+    scheme, authority, path, fragment = (F.regexp_extract(url, ABSOLUTE, n) for n in range(1, 5))
+
+    def clean(a: Column) -> Column:
+        user, host, port = (F.regexp_extract(a, r"(?s)^(.*@)?(.*?)(?::(\d*))?\z", n) for n in (1, 2, 3))
+        usual = F.when(F.lower(scheme) == "http", "80").when(F.lower(scheme) == "https", "443").otherwise("")
+        return F.when(host != "", F.concat(
+            F.lower(scheme), F.lit("://"), user, F.lower(host),
+            F.when((port == "") | (port == usual), "").otherwise(F.concat(F.lit(":"), port)),
+            F.when(path == "", "/").otherwise(path), fragment,
+        ))
+
+    return F.when(url.rlike(ABSOLUTE), let(authority, clean))
 
 
 def is_image_content_type(content_type: Column) -> Column:
