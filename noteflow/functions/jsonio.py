@@ -39,8 +39,16 @@ def json_string(text: Column) -> Column:
     return F.when(text.isNotNull(), let(value, escaped))
 
 
+def _shortest(d: Column) -> Column:
+    """``1.8e+21``: the least digits that read back as ``d``; 17 always do, 15 mostly."""
+    forms = [F.format_string(f"%.{digits - 1}e", d) for digits in (15, 16, 17)]
+    short = F.when(forms[0].cast("double") == d, forms[0]).when(forms[1].cast("double") == d, forms[1])
+    return F.regexp_replace(short.otherwise(forms[2]), r"\.?0*e", "e")
+
+
 def json_number(x: Column) -> Column:
-    """Shortest decimal text: ``0``, ``50``, ``0.0000018``, ``1.8e-7``; ``null`` if not finite."""
+    """Decimal text as browsers write it: ``0``, ``50``, ``0.0000018``, ``1.8e-7``; ``null`` if not
+    finite. Below 1e21 there is no exponent, and from 1e-6 on."""
     x = x.cast("double")
 
     def text(d: Column) -> Column:
@@ -51,17 +59,15 @@ def json_number(x: Column) -> Column:
         small = F.regexp_replace(
             d.cast("string").cast("decimal(38,34)").cast("string"), r"\.?0+\z", ""
         )
-        # Java writes 1.0E-7 and 1.8E21 for 1e-7 and 1.8e+21.
-        scientific = F.regexp_replace(
-            F.regexp_replace(F.regexp_replace(d.cast("string"), r"\.0E", "E"), "E(?=\\d)", "e+"),
-            "E-", "e-",
-        )
+        scientific = F.regexp_replace(_shortest(d), r"e([+-])0+(?=\d)", "e$1")
         return (
             F.when(d.isNull() | F.isnan(d) | (size == float("inf")), "null")
             .when(d == 0, "0")
-            .when((d == F.floor(d)) & (size < 1e18), d.cast("bigint").cast("string"))
+            .when((d == F.floor(d)) & (size < 1e15), d.cast("bigint").cast("string"))
             .when((size >= 1e-6) & (size < 1), small)
-            .when((size >= 1) & (size < 1e18), plain)
+            .when((size >= 1) & (size < 1e15), plain)
+            .when((size >= 1e15) & (size < 1e21) & (d == F.rint(d)), _shortest(d).cast("decimal(38,0)").cast("string"))
+            .when((size >= 1e15) & (size < 1e21), F.regexp_replace(_shortest(d).cast("decimal(38,8)").cast("string"), r"\.?0+\z", ""))
             .otherwise(scientific)
         )
 

@@ -72,8 +72,13 @@ def classify_text(notes: DataFrame, options: FlowOptions) -> DataFrame:
     if options.toxicity:
         df = score_toxicity(df, options)
         df = df.withColumn("is_toxic", rules.toxicity_flag(F.col("toxicity")))
-    if options.sentiment:
+    return late_tasks(df, options)
+
+
+def late_tasks(df: DataFrame, options: FlowOptions) -> DataFrame:
+    """Sentiment and topic of the rows with ``clean`` that are ``is_english``."""
+    if options.language and options.sentiment:
         df = score_sentiment(df, options)
-    if options.topic:
+    if options.language and options.topic:
         df = score_topic(df, options)
     return df

@@ -26,7 +26,7 @@ def nsfw_payload(records: Column) -> Column:
             lambda e: F.concat(json_string(e["key"]), F.lit(":"), json_number(e["value"])),
         )
         label = F.concat(F.lit('"predictedLabel":'), json_string(d["predictedLabel"]))
-        return F.concat(F.lit("{"), F.concat_ws(",", F.array_join(scores, ","), label), F.lit("}"))
+        return F.concat(F.lit("{"), F.array_join(F.concat(F.coalesce(scores, F.array().cast("array<string>")), F.array(label)), ","), F.lit("}"))
 
     return json_array(
         F.transform(

@@ -50,40 +50,40 @@ class ModelScorer:
     """A vectorised Python callable.
 
     ``load()`` runs once per Python worker task and returns ``score(list[str]) -> list``.
-    A failing batch is tried again after a pause, then item by item, so that one bad item
-    does not take its neighbours along. Only the input column travels to Python.
+    After a pause, a failing batch is tried again item by item, so that one bad item does not
+    take its neighbours along; no item is sent more than ``attempts`` times. Only the input column
+    travels to Python, and rows stay in the partitions their source gave them.
     """
 
     load: Callable[[], Callable[[list[str]], list]]
     schema: str
     attempts: int = K.SCORE_ATTEMPTS
     pause_s: float = K.SCORE_PAUSE_S
-    parallelism: int | None = None
 
     def apply(self, df: DataFrame, input_col: str, out: str) -> DataFrame:
         load, attempts, pause_s = self.load, self.attempts, self.pause_s
 
         def call(score, texts: list[str]) -> list[tuple]:
-            problem = ""
+            rows: list[tuple] = [(False, None, "")] * len(texts)
+            groups = [list(range(len(texts)))]
             for attempt in range(1, attempts + 1):
-                try:
-                    found = list(score(texts))
-                    if len(found) != len(texts):
-                        raise ValueError("the scorer must return one response per item")
-                    return [(True, f, None) for f in found]
-                except Exception as e:  # noqa: BLE001 - any model failure becomes a default
-                    problem = str(e) or type(e).__name__
-                    if attempt < attempts:
-                        time.sleep(pause_s * attempt)
-            if len(texts) == 1:
-                return [(False, None, problem)]
-            return [call_once(score, t) for t in texts]
-
-        def call_once(score, text: str) -> tuple:
-            try:
-                return (True, list(score([text]))[0], None)
-            except Exception as e:  # noqa: BLE001
-                return (False, None, str(e) or type(e).__name__)
+                failed = []
+                for items in groups:
+                    try:
+                        found = list(score([texts[i] for i in items]))
+                        if len(found) != len(items):
+                            raise ValueError("the scorer must return one response per item")
+                        for i, response in zip(items, found):
+                            rows[i] = (True, response, None)
+                    except Exception as e:  # noqa: BLE001 - any model failure becomes a default
+                        for i in items:
+                            rows[i] = (False, None, str(e) or type(e).__name__)
+                        failed += items
+                if not failed or attempt == attempts:
+                    return rows
+                time.sleep(pause_s * attempt)
+                groups = [[i] for i in failed]
+            return rows
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             score = load()
@@ -102,29 +102,36 @@ class ModelScorer:
         udf = F.pandas_udf(run, f"struct<ok: boolean, data: {self.schema}, error: string>")
         # Marked so that the optimizer neither repeats nor moves the model call.
         udf = udf.asNondeterministic()
-        if self.parallelism:
-            df = df.repartition(self.parallelism)
         return df.withColumn(out, udf(F.col(input_col)))
 
 
 @dataclass(frozen=True)
 class TableScorer:
-    """A table of precomputed responses: one row ``(key, ok, data)`` per distinct input."""
+    """A table of precomputed responses ``(key, ok, data)``.
+
+    Of rows with the same key one counts: a good one before a failed one, then the one whose JSON
+    text is largest. Rows with a NULL input find nothing; they are spread over all tasks instead of
+    meeting in the one of the NULL key.
+    """
 
     table: DataFrame
     key: str = "url"
 
     def apply(self, df: DataFrame, input_col: str, out: str) -> DataFrame:
-        found = self.table.select(
-            F.col(self.key).alias(input_col), F.lit(True).alias("_found"),
-            F.coalesce("ok", F.lit(False)).alias("_ok"), F.col("data").alias("_data"),
-        )
-        joined = df.join(found, input_col, "left")
-        error = F.when(F.col("_found"), F.lit("scoring failed")).otherwise(F.lit("no score"))
-        ok = F.coalesce("_ok", F.lit(False))
-        return joined.withColumn(out, _outcome(ok, F.col("_data"), error)).drop(
-            "_found", "_ok", "_data"
-        )
+        ok = F.coalesce("ok", F.lit(False))
+        response = F.struct(ok.alias("ok"), F.col("data").alias("data"))
+        best = F.struct(ok, F.to_json(F.struct("data")))
+        found = self.table.filter(F.col(self.key).isNotNull()).groupBy(self.key).agg(
+            F.max_by(response, best).alias("_found")
+        ).select(F.col(self.key).alias(input_col), F.lit(0).cast("bigint").alias("_spread"), "_found")
+        spread = F.when(F.col(input_col).isNull(), F.xxhash64(F.monotonically_increasing_id()))
+        joined = df.withColumn("_spread", F.coalesce(spread, F.lit(0).cast("bigint"))).join(
+            found, [input_col, "_spread"], "left")
+        error = F.when(F.col("_found").isNotNull(), F.lit("scoring failed")).otherwise(F.lit("no score"))
+        good = F.coalesce("_found.ok", F.lit(False))
+        outcome = F.when(F.col(input_col).isNotNull(), _outcome(good, F.col("_found.data"), error)).otherwise(
+            _outcome(F.lit(None).cast("boolean"), F.col("_found.data"), F.lit(None).cast("string")))
+        return joined.withColumn(out, outcome).drop("_found", "_spread")
 
 
 def score(df: DataFrame, input_col: str, scorer, out: str = "response") -> DataFrame:

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteflow import staging
 from noteflow.functions import constants as K
 from noteflow.functions import rules, tags, text, urls
-from noteflow.functions.jsonio import EVENT_MEMBERS, event_json
+from noteflow.functions.jsonio import EVENT_MEMBERS, RECORD_MEMBERS, event_json
 from noteflow.operators import classify, dedup, ingest, media, records
 from noteflow.operators.scoring import ModelScorer, NativeScorer, TableScorer, score
 from noteflow.plans import flow
@@ -41,17 +42,25 @@ def millis(name: str = "arrival_ts") -> Column:
 # --- sources and ingress ------------------------------------------------------
 
 
+def content_md5() -> Column:
+    return F.md5("content").alias("content_md5")
+
+
+def _as_json_files(spark, sf) -> str:
+    folder = new_path(spark, "arrivals")
+    views.notes(spark, sf).write.json(
+        folder, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+    )
+    return folder
+
+
 @query
 def src_events(spark, sf):
-    """Events as JSON text, read back with the event schema, notes only."""
-    lines = views.notes(spark, sf).select(
-        F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("line")
-    )
-    parsed = lines.select(sources.parse_events(F.col("line")).alias("event")).select("event.*")
-    return ingest.of_kinds(parsed).select(
-        "id", "pubkey", "created_at", F.col("kind").cast("bigint").alias("kind"), "relay",
-        F.char_length("content").cast("bigint").alias("content_chars"),
-        F.size("tags").cast("bigint").alias("n_tags"), millis(),
+    """Events as files of JSON lines, read back by the reader, notes only."""
+    read = sources.read_events(spark, _as_json_files(spark, sf))
+    return read.select(
+        "id", "pubkey", "created_at", F.col("kind").cast("bigint").alias("kind"), "relay", content_md5(),
+        F.to_json("tags").alias("tags"), millis(),
     )
 
 
@@ -66,7 +75,7 @@ def multi_relay_union(spark, sf):
     notes = views.notes(spark, sf)
     relays = [f"wss://relay-{i}.example" for i in range(3)]
     parts = {r: notes.filter(F.col("relay") == r).drop("relay") for r in relays}
-    return ingest.multi_relay_union(parts).select("id", "relay", millis())
+    return ingest.multi_relay_union(parts).select("id", "relay", content_md5(), millis())
 
 
 @query
@@ -76,7 +85,7 @@ def relay_counts(spark, sf):
 
 @query
 def dedup_ttl(spark, sf):
-    return dedup.dedup_ttl(views.notes(spark, sf)).select("id", "relay", millis())
+    return dedup.dedup_ttl(views.notes(spark, sf)).select("id", "relay", content_md5(), millis())
 
 
 @query
@@ -96,7 +105,7 @@ def ingress_fold(spark, sf):
     both = good.withColumn("outcome", F.lit("pass")).unionByName(
         quarantine.withColumn("outcome", F.lit("quarantine"))
     )
-    return both.select("outcome", "id", "relay", millis())
+    return both.select("outcome", "id", "relay", content_md5(), millis())
 
 
 @query
@@ -111,7 +120,7 @@ def integrity_quarantine(spark, sf):
     both = good.withColumn("quarantined", F.lit(False)).unionByName(
         bad.withColumn("quarantined", F.lit(True))
     )
-    return both.select("id", "relay", "quarantined", millis())
+    return both.select("id", "relay", "quarantined", content_md5(), millis())
 
 
 @query
@@ -268,9 +277,13 @@ def nsfw_scorer(notes: DataFrame) -> TableScorer:
     return TableScorer(views.nsfw_scores(media.media_occurrences(notes)))
 
 
+def _staged_notes(spark, sf) -> DataFrame:
+    return staging.cut_lineage(views.notes(spark, sf), "notes")
+
+
 @query
 def nsfw_url_records(spark, sf):
-    notes = views.notes(spark, sf)
+    notes = _staged_notes(spark, sf)
     return media.nsfw_url_records(notes, nsfw_scorer(notes)).select(
         "id", "relay", records.nsfw_payload(F.col("records")).alias("records")
     )
@@ -278,7 +291,7 @@ def nsfw_url_records(spark, sf):
 
 @query
 def nsfw_url_flags(spark, sf):
-    notes = views.notes(spark, sf)
+    notes = _staged_notes(spark, sf)
     scored = media.score_once(
         media.media_occurrences(notes), "url", nsfw_scorer(notes), ["id", "arrival_ts"]
     )
@@ -293,7 +306,7 @@ def nsfw_url_flags(spark, sf):
 
 @query
 def nsfw_note_flag(spark, sf):
-    notes = views.notes(spark, sf)
+    notes = _staged_notes(spark, sf)
     return media.nsfw_url_records(notes, nsfw_scorer(notes)).select(
         "id", "relay", "probably_nsfw", "responsible_nsfw",
         F.size("records").cast("bigint").alias("n_scored"),
@@ -399,14 +412,34 @@ def audit_buckets(spark, sf):
     return _flow(spark, sf).audit.select("bucket", "value")
 
 
+@query
+def task_switches(spark, sf):
+    """Records per setting of the switches: what needs a language is not run without it."""
+    notes = _staged_notes(spark, sf)
+    settings = {
+        "none": FlowOptions(),
+        "all but language": FlowOptions(toxicity=True, sentiment=True, topic=True),
+        "language": FlowOptions(language=True),
+        "language, topic": FlowOptions(language=True, topic=True),
+        "toxicity, language": FlowOptions(language=True, toxicity=True),
+    }
+    counts = [
+        flow.run_flow(notes, options).records.groupBy("task").agg(F.count(F.lit(1)).alias("emitted"))
+        .select(F.lit(name).alias("switches"), "task", "emitted")
+        for name, options in settings.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query
 def sink_idempotent(spark, sf):
     """A batch published twice, as after a replay, is there once."""
     out = new_path(spark, "sink")
     found = _flow(spark, sf).records
     for _replay in range(2):
-        sinks.publish(found, "records", 7, [sinks.file_target(out)])
-    return records.emission_counts(spark.read.parquet(os.path.join(out, "records")))
+        if not sinks.publish(found, "records", 7, [sinks.file_target(out)]):
+            raise RuntimeError("cannot publish")
+    return spark.read.parquet(os.path.join(out, "records")).select("task", "id")
 
 
 @query
@@ -419,7 +452,7 @@ def reemit_order(spark, sf):
         write(df, output, batch_id)
         order.append(output)
 
-    sinks.publish_ordered(_flow(spark, sf), 0, [logged])
+    sinks.publish_ordered(_flow(spark, sf), 0, [logged], [logged])
     parts = [
         spark.read.parquet(os.path.join(out, output)).agg(
             F.lit(pos).cast("bigint").alias("pos"), F.lit(output).alias("output"),
@@ -427,7 +460,7 @@ def reemit_order(spark, sf):
         )
         for pos, output in enumerate(order)
     ]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return reduce(DataFrame.union, parts)
 
 
 @query
@@ -448,21 +481,19 @@ def notes_end_to_end(spark, sf):
 
 
 def _as_stream(spark, sf) -> DataFrame:
-    folder = new_path(spark, "arrivals")
-    views.notes(spark, sf).write.json(
-        folder, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
-    )
-    return sources.stream_events(spark, folder, kinds=None)
+    return sources.stream_events(spark, _as_json_files(spark, sf), kinds=None)
 
 
 @query
 def relay_counts_stream(spark, sf):
-    name, arrivals = f"relay_counts_{uuid.uuid4().hex}", _as_stream(spark, sf)
+    out, arrivals = new_path(spark, "relay-counts"), _as_stream(spark, sf)
     with state_partitions(spark):
         streams.count_stream(
-            arrivals, name, new_path(spark, "counts"), available_now=True
+            arrivals, [sinks.file_target(out)], new_path(spark, "counts"), available_now=True
         ).awaitTermination()
-    return spark.table(name)
+    batches = spark.read.parquet(os.path.join(out, "relay_counts"))
+    last = batches.agg(F.max("batch_id")).first()[0]
+    return batches.filter(F.col("batch_id") == last).select("relay", "arrivals")
 
 
 @query
@@ -474,7 +505,7 @@ def dedup_ttl_stream(spark, sf):
         streams.dedup_stream(arrivals, check=False).writeStream.format("parquet").trigger(
             availableNow=True
         ).start(out, checkpointLocation=new_path(spark, "state")).awaitTermination()
-    return spark.read.parquet(out).select("id", "relay", millis())
+    return spark.read.parquet(out).select("id", "relay", content_md5(), millis())
 
 
 @query
@@ -487,19 +518,21 @@ def notes_stream_end_to_end(spark, sf):
             [sinks.file_target(out)], [sinks.file_target(out)], available_now=True,
         ).awaitTermination()
 
-    def rows(output, key):
+    def rows(output, key, value, name=None):
         df = spark.read.parquet(os.path.join(out, output))
-        return df.select(F.lit(output).alias("output"), key.alias("key"))
-
-    every = (
-        rows("records_gating", F.col("id"))
-        .unionByName(rows("records_later", F.col("id")))
-        .unionByName(rows("notes", F.col("id")))
-        .unionByName(rows("others", F.col("id")))
-        .unionByName(rows("messages", F.col("value")))
-        .unionByName(rows("audit", F.col("value")))
+        return df.select(F.lit(name or output).alias("output"), key.alias("key"), F.md5(value).alias("value_md5"))
+
+    record = F.concat(F.col("id"), event_json(RECORD_MEMBERS))
+    return (
+        rows("records_gating", F.col("id"), record)
+        .unionByName(rows("records_later", F.col("id"), record))
+        .unionByName(rows("notes", F.col("id"), event_json((*EVENT_MEMBERS, "relay"))))
+        .unionByName(rows("others", F.col("id"), event_json((*EVENT_MEMBERS, "relay"))))
+        .unionByName(rows("messages_events", F.col("topic"), F.col("value"), "messages"))
+        .unionByName(rows("messages_gating", F.col("topic"), F.col("value"), "messages"))
+        .unionByName(rows("messages_later", F.col("topic"), F.col("value"), "messages"))
+        .unionByName(rows("audit", F.col("bucket"), F.col("value")))
     )
-    return every
 
 
 @query

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,58 +14,78 @@ from noteflow.operators import classify, dedup, ingest, media, records
 from noteflow.schema import FlowOptions
 from noteflow.staging import cut_lineage
 
-LATE_TASKS = (TASKS["sentiment"], TASKS["topic"])
-
 
 @dataclass(frozen=True)
 class FlowResult:
-    """``gating`` records come before the notes, ``later`` records after them."""
+    """``gating`` records come before the notes. ``later`` records are made when first asked for,
+    from the staged notes, and written once for all that read them."""
 
     notes: DataFrame
     others: DataFrame
     gating: DataFrame
-    later: DataFrame
-    messages: DataFrame
+    make_later: Callable[[], DataFrame]
+    event_messages: DataFrame
+    gating_messages: DataFrame
     audit: DataFrame
     quarantine: DataFrame
 
+    @cached_property
+    def later(self) -> DataFrame:
+        return cut_lineage(self.make_later(), "later")
+
+    @property
+    def later_messages(self) -> DataFrame:
+        return records.text_messages(self.later)
+
     @property
     def records(self) -> DataFrame:
         return self.gating.unionByName(self.later)
 
+    @property
+    def messages(self) -> DataFrame:
+        return self.event_messages.unionByName(self.gating_messages).unionByName(self.later_messages)
 
-def _without_texts(classified: DataFrame) -> DataFrame:
-    """What records and audit rows need; only flagged notes keep their texts."""
-    texts = []
-    if "is_toxic" in classified.columns:
-        texts = [F.when(F.col("is_toxic"), F.col(c)).alias(c) for c in ("content", "clean")]
+
+def _needed_texts(classified: DataFrame, options: FlowOptions) -> DataFrame:
+    """What records, audit rows and the late tasks need: only English or flagged notes keep texts."""
+    flagged = F.col("is_toxic") if "is_toxic" in classified.columns else F.lit(False)
+    late = F.col("is_english") if options.sentiment or options.topic else F.lit(False)
     tasks = [c for c in (*TASKS, "is_toxic") if c in classified.columns]
-    return classified.select("id", "pubkey", "created_at", *tasks, *texts)
+    return classified.select(
+        "id", "pubkey", "created_at", *tasks, "is_english",
+        F.when(flagged, F.col("content")).alias("content"),
+        F.when(flagged | late, F.col("clean")).alias("clean"),
+    )
 
 
 def enrich(fresh: DataFrame, quarantine: DataFrame, options: FlowOptions) -> FlowResult:
     """Classify what passed the ingress. ``fresh`` and ``quarantine`` are read several times,
     so they are files; the costly intermediates are written once as well."""
     notes, others = ingest.route_by_kind(fresh)
-    classified = cut_lineage(_without_texts(classify.classify_text(notes, options)), "classified")
-    text_out = records.text_records(classified, options.publisher)
-    messages = records.event_messages(fresh).unionByName(records.text_messages(text_out))
+    first = replace(options, sentiment=False, topic=False)
+    classified = cut_lineage(_needed_texts(classify.classify_text(notes, first), options), "classified")
+    gating = records.text_records(classified, options.publisher)
+    gating_messages = records.text_messages(gating)
     audit = records.invalid_audit(quarantine)
     if "is_toxic" in classified.columns:
         audit = audit.unionByName(records.toxicity_audit(classified, options))
-    late = text_out["task"].isin(*LATE_TASKS)
-    gating = text_out.filter(~late)
     if options.nsfw:
         scored = cut_lineage(
             media.nsfw_url_records(notes, options.scorers["nsfw"], options.media_patterns), "media"
         )
         nsfw_out = records.nsfw_records(scored, options.publisher)
-        messages = messages.unionByName(records.nsfw_messages(nsfw_out))
+        gating_messages = gating_messages.unionByName(records.nsfw_messages(nsfw_out))
         audit = audit.unionByName(records.nsfw_audit(scored))
         gating = gating.unionByName(
             nsfw_out.filter("size(records) > 0").select(*records.RECORD_COLUMNS)
         )
-    return FlowResult(notes, others, gating, text_out.filter(late), messages, audit, quarantine)
+
+    def later() -> DataFrame:
+        english = classified.filter("is_english").select("id", "pubkey", "created_at", "clean", "is_english")
+        return records.text_records(classify.late_tasks(english, options), options.publisher)
+
+    return FlowResult(
+        notes, others, gating, later, records.event_messages(fresh), gating_messages, audit, quarantine)
 
 
 def run_flow(

@@ -293,16 +293,16 @@ def on_posts(name: str, select: str, more: str = "") -> None:
 
 
 on_notes("src_events", """SELECT id, pubkey, created_at, cast(kind AS bigint) AS kind, relay,
-  length(content) AS content_chars, len(tags) AS n_tags, arrival_ms FROM notes WHERE kind = 1""")
+  md5(content) AS content_md5, cast(to_json(tags) AS varchar) AS tags, arrival_ms FROM notes WHERE kind = 1""")
 on_notes("backfill_latest_per_relay", f"""SELECT relay, id, created_at, arrival_ms FROM notes
   QUALIFY row_number() OVER (PARTITION BY relay ORDER BY created_at DESC, id, arrival_ms) <= {K.BACKFILL_PER_RELAY}""")
-on_notes("multi_relay_union", "SELECT id, relay, arrival_ms FROM notes")
+on_notes("multi_relay_union", "SELECT id, relay, md5(content) AS content_md5, arrival_ms FROM notes")
 on_notes("relay_counts", "SELECT relay, count(*) AS arrivals FROM notes GROUP BY relay")
 on_notes("relay_counts_stream", "SELECT relay, count(*) AS arrivals FROM notes GROUP BY relay")
 TTL_MS = K.DEDUP_TTL_S * 1000
 on_notes(
-    "dedup_ttl", "SELECT key AS id, relay, ts AS arrival_ms FROM judged WHERE outcome = 'pass'",
-    fold_ctes("notes", "id", "arrival_ms", "relay", TTL_MS, "relay"),
+    "dedup_ttl", "SELECT key AS id, relay, md5(content) AS content_md5, ts AS arrival_ms FROM judged WHERE outcome = 'pass'",
+    fold_ctes("notes", "id", "arrival_ms", "relay", TTL_MS, "relay, content"),
 )
 ORACLE["dedup_ttl_stream"] = ORACLE["dedup_ttl"]
 ORACLE["dedup_ttl_by_user"] = (
@@ -317,10 +317,10 @@ INGRESS = (
     )
 )
 on_notes("ingress_fold",
-         "SELECT outcome, id, relay, arrival_ms FROM judged WHERE outcome <> 'drop'", INGRESS)
+         "SELECT outcome, id, relay, md5(content) AS content_md5, arrival_ms FROM judged WHERE outcome <> 'drop'", INGRESS)
 on_notes("valid_structure", "SELECT id, relay, arrival_ms, is_valid FROM checked", f"checked AS ({CHECKED})")
 on_notes("integrity_quarantine",
-         "SELECT id, relay, forged AS quarantined, arrival_ms FROM checked WHERE is_valid",
+         "SELECT id, relay, forged AS quarantined, md5(content) AS content_md5, arrival_ms FROM checked WHERE is_valid",
          f"checked AS ({CHECKED})")
 FRESH = f"created_at >= floor((arrival_ms - {K.FRESH_MINUTES * 60_000}) / 1000)"
 on_notes("freshness", f"SELECT id, relay, created_at, arrival_ms FROM notes WHERE {FRESH}")
@@ -442,22 +442,31 @@ on_notes("classification_records", """SELECT task, pubkey, created_at, cast(kind
   cast(to_json(tags) AS varchar) AS tags, content FROM records""", FLOW)
 on_notes("record_id", "SELECT task, id FROM records", FLOW)
 on_notes("emission_counts", "SELECT task, count(*) AS emitted FROM records GROUP BY task", FLOW)
-on_notes("sink_idempotent", "SELECT task, count(*) AS emitted FROM records GROUP BY task", FLOW)
+on_notes("sink_idempotent", "SELECT task, id FROM records", FLOW)
+on_notes("task_switches", " UNION ALL ".join(
+    f"SELECT '{name}' AS switches, task, count(*) AS emitted FROM records WHERE task IN {words(K.TASKS[t] for t in tasks)} GROUP BY task"
+    for name, tasks in {"language": ["language"], "language, topic": ["language", "topic"],
+                        "toxicity, language": ["language", "toxicity"]}.items()), FLOW)
 on_notes("topic_messages", "SELECT topic, value FROM messages", FLOW)
 on_notes("audit_buckets", "SELECT bucket, value FROM audit", FLOW)
 _late = words([K.TASKS["sentiment"], K.TASKS["topic"]])
-on_notes("reemit_order", f"""SELECT cast(0 AS bigint) AS pos, 'records_gating' AS output, count(*) AS rows FROM records WHERE task NOT IN {_late}
-  UNION ALL SELECT 1, 'others', count(*) FROM fresh WHERE kind <> 1
-  UNION ALL SELECT 2, 'notes', count(*) FROM kind_one
-  UNION ALL SELECT 3, 'records_later', count(*) FROM records WHERE task IN {_late}""", FLOW)
+_events, _late_topic = f"topic = '{K.EVENTS_TOPIC}'", f"topic IN {_late}"
+on_notes("reemit_order", f"""SELECT cast(0 AS bigint) AS pos, 'messages_events' AS output, count(*) AS rows FROM messages WHERE {_events}
+  UNION ALL SELECT 1, 'records_gating', count(*) FROM records WHERE task NOT IN {_late}
+  UNION ALL SELECT 2, 'others', count(*) FROM fresh WHERE kind <> 1
+  UNION ALL SELECT 3, 'notes', count(*) FROM kind_one
+  UNION ALL SELECT 4, 'messages_gating', count(*) FROM messages WHERE NOT {_events} AND NOT {_late_topic}
+  UNION ALL SELECT 5, 'audit', count(*) FROM audit
+  UNION ALL SELECT 6, 'records_later', count(*) FROM records WHERE task IN {_late}
+  UNION ALL SELECT 7, 'messages_later', count(*) FROM messages WHERE {_late_topic}""", FLOW)
 on_notes("notes_end_to_end", f"""SELECT 'note' AS output, id AS key, {event_json()} AS value FROM kind_one
   UNION ALL SELECT 'other', id, {event_json()} FROM fresh WHERE kind <> 1
   UNION ALL SELECT 'record', id, content FROM records
   UNION ALL SELECT 'message', topic, value FROM messages
   UNION ALL SELECT 'quarantine', id, {event_json(True)} FROM judged WHERE outcome = 'quarantine'""", FLOW)
-on_notes("notes_stream_end_to_end", f"""SELECT 'records_gating' AS output, id AS key FROM records WHERE task NOT IN {_late}
-  UNION ALL SELECT 'records_later', id FROM records WHERE task IN {_late}
-  UNION ALL SELECT 'notes', id FROM kind_one
-  UNION ALL SELECT 'others', id FROM fresh WHERE kind <> 1
-  UNION ALL SELECT 'messages', value FROM messages
-  UNION ALL SELECT 'audit', value FROM audit""", FLOW)
+on_notes("notes_stream_end_to_end", f"""SELECT CASE WHEN task IN {_late} THEN 'records_later' ELSE 'records_gating' END AS output,
+    id AS key, md5(concat(id, {event_json(record=True)})) AS value_md5 FROM records
+  UNION ALL SELECT 'notes', id, md5({event_json(True)}) FROM kind_one
+  UNION ALL SELECT 'others', id, md5({event_json(True)}) FROM fresh WHERE kind <> 1
+  UNION ALL SELECT 'messages', topic, md5(value) FROM messages
+  UNION ALL SELECT 'audit', bucket, md5(value) FROM audit""", FLOW)

@@ -122,3 +122,24 @@ def test_published_example_of_an_nsfw_record(spark):
         '"pornography":0.0000746770019759424,"sexy":0.00006828152254456654,"predictedLabel":"neutral"},'
         f'"url":"{url}"}}]'
     )
+
+
+def test_numbers_up_to_the_exponent(apply):
+    from noteflow.functions.jsonio import json_number
+
+    given = [1e15, 1e18, 2.0**60, 123456789012345680000.0, 1e21, 1.8e21, 1e23, 2e23, 1e300, 1.8e-7, 1e15 + 0.5, -1e18]
+    assert apply(json_number, given, "double") == [
+        "1000000000000000", "1000000000000000000", "1152921504606847000", "123456789012345680000", "1e+21", "1.8e+21",
+        "1e+23", "2e+23", "1e+300", "1.8e-7", "1000000000000000.5", "-1000000000000000000"]
+
+
+def test_payload_of_empty_scores(spark):
+    from pyspark.sql import functions as F
+
+    from noteflow.operators.records import nsfw_payload
+
+    row = spark.sql("""SELECT array(named_struct('id', 'i', 'author', 'a', 'is_activitypub_user', false,
+      'has_content_warning', false, 'has_nsfw_hashtag', false, 'probably_nsfw', false, 'high_probably_nsfw', false,
+      'responsible_nsfw', false, 'url', 'u', 'data', named_struct('neutral', 0.5D,
+      'scores', cast(map() AS map<string,double>), 'predictedLabel', 'x'))) AS r""")
+    assert '"data":{"predictedLabel":"x"}' in row.select(nsfw_payload(F.col("r"))).first()[0]

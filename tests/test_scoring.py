@@ -181,3 +181,28 @@ def test_options_from_settings():
     for wrong in ("x", "-1"):
         with pytest.raises(ValueError):
             FlowOptions.from_settings({"LANGUAGE_DETECTOR_TRUNCATE_LENGTH": wrong})
+
+
+def test_no_item_is_sent_more_than_twice(spark):
+    sent = spark.sparkContext.accumulator(0)
+
+    def load():
+        def run(batch):
+            sent.add(len(batch))
+            raise ValueError("down")
+
+        return run
+
+    got = score(texts(spark, ["a", "b", "c"]).coalesce(1), "x", ModelScorer(load, "int", pause_s=0.0)).collect()
+    assert all(not r.response.ok and r.response.error == "down" for r in got) and sent.value == 6
+
+
+def test_table_scorer_keeps_the_rows(spark):
+    table = spark.createDataFrame([("a", True, 1), ("a", True, 3), ("a", False, 9), ("b", False, 2), (None, True, 5)],
+                                  "url string, ok boolean, data int")
+    df = texts(spark, ["a", "a", "b", "c", None, None])
+    got = {r.i: r.response for r in score(df, "x", TableScorer(table)).collect()}
+    assert len(got) == 6 == score(df, "x", TableScorer(table)).count()
+    assert [(got[i].ok, got[i].data, got[i].error) for i in range(4)] == [
+        (True, 3, None), (True, 3, None), (False, None, "scoring failed"), (False, None, "no score")]
+    assert got[4].ok is None is got[5].ok

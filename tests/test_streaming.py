@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from noteflow import staging
@@ -47,7 +48,9 @@ def test_stream_equals_batch_over_two_runs(spark, notes, tmp_path):
     expected = flow.run_flow(notes, options())
     for output, df in {
         "notes": expected.notes, "others": expected.others, "records_gating": expected.gating,
-        "records_later": expected.later, "messages": expected.messages, "audit": expected.audit,
+        "records_later": expected.later, "messages_events": expected.event_messages,
+        "messages_gating": expected.gating_messages, "messages_later": expected.later_messages,
+        "audit": expected.audit,
     }.items():
         got = spark.read.parquet(os.path.join(out, output)).drop("batch_id")
         assert got.count() > 0
@@ -96,11 +99,13 @@ def test_events_without_arrival_time_arrive_now(spark, tmp_path):
 def test_counts_run_over_every_arrival(spark, notes, tmp_path):
     folder = str(tmp_path / "in")
     notes.write.json(folder, timestampFormat=STAMP)
+    target = sinks.file_target(str(tmp_path / "out"))
     run.count_stream(
-        sources.stream_events(spark, folder, kinds=None), "relay_totals", str(tmp_path / "cp"),
-        available_now=True,
+        sources.stream_events(spark, folder, kinds=None), [target], str(tmp_path / "cp"), available_now=True,
     ).awaitTermination()
-    assert spark.table("relay_totals").agg(F.sum("arrivals")).first()[0] == notes.count()
+    totals = spark.read.parquet(str(tmp_path / "out" / "relay_counts"))
+    last = totals.agg(F.max("batch_id")).first()[0]
+    assert totals.filter(F.col("batch_id") == last).agg(F.sum("arrivals")).first()[0] == notes.count()
 
 
 def test_permissive_reading(spark):
@@ -127,19 +132,35 @@ def test_publish_tries_once_more(spark):
     calls.clear()
     assert not sinks.publish(df, "x", 0, [failing(9)]) and len(calls) == 2
     calls.clear()
-    assert sinks.publish(df, "x", 0, [failing(9, " ")]) and len(calls) == 1
+    assert not sinks.publish(df, "x", 0, [failing(9, " ")]) and len(calls) == 2
+    calls.clear()
+    good = []
+    assert sinks.publish(df, "x", 0, [lambda *_: good.append(1), failing(1, "")])
+    assert len(good) == 1 and len(calls) == 2
+
+    def wrong(d, output, batch_id):
+        calls.append(output)
+        d.select("no such column")
+
+    calls.clear()
+    with pytest.raises(AnalysisException):
+        sinks.publish(df, "x", 0, [wrong])
+    assert len(calls) == 1
 
 
 def test_order_delay_and_failure(spark):
     import time
 
     one = spark.range(1)
-    result = flow.FlowResult(one, one, one, one, one, one, one)
+    result = flow.FlowResult(one, one, one, lambda: late, one, one, one, one)
+    late = spark.createDataFrame([("t", "i")], "task string, id string").selectExpr(
+        "id", "'p' AS pubkey", "1L AS created_at", "1 AS kind", "array(array('a')) AS tags", "'c' AS content", "'' AS sig", "task")
     log = []
     target = lambda df, output, batch_id: log.append((output, time.monotonic()))
     sinks.publish_ordered(result, 3, [target], [target], note_delay_ms=300)
     names = [n for n, _ in log]
-    assert names.index("records_gating") < names.index("notes") < names.index("records_later")
+    assert names == ["messages_events", "records_gating", "others", "notes", "messages_gating", "audit",
+                     "records_later", "messages_later"]
     when = dict(log)
     assert when["notes"] - when["records_gating"] >= 0.3
 
@@ -150,6 +171,37 @@ def test_order_delay_and_failure(spark):
         sinks.publish_ordered(result, 3, [down])
 
 
+def test_failing_late_models_hold_nothing_up(spark, notes):
+    """Sentiment that cannot even be planned: notes, messages and gating records are out before."""
+
+    def unplannable(df, *_):
+        raise RuntimeError("no model")
+
+    class Broken:
+        apply = staticmethod(unplannable)
+
+    broken = FlowOptions.all_tasks(
+        scorers={"nsfw": NativeScorer(views.nsfw_response), "sentiment": Broken()}, note_delay_ms=0)
+    written = []
+    with pytest.raises(RuntimeError, match="no model"):
+        sinks.publish_ordered(flow.run_flow(notes, broken), 0, [lambda d, o, b: written.append(o)],
+                              [lambda d, o, b: written.append(o)])
+    assert written == ["messages_events", "records_gating", "others", "notes", "messages_gating", "audit"]
+
+
+def test_frames_for_a_broker(spark, notes):
+    import json
+
+    result = flow.run_flow(notes, options())
+    for df, output in ((result.notes, "notes"), (result.gating, "records"), (result.messages, "m"), (result.audit, "a")):
+        frame = sinks.kafka_frame(df, output)
+        assert frame.columns == ["topic", "key", "value"]
+        row = frame.first()
+        body = json.loads(row.value)
+        if output != "a":
+            assert row.key == body["id"] and "relay" not in body and "task" not in body and "sig" in body
+
+
 def test_replayed_batch_is_there_once(spark, tmp_path):
     target = sinks.file_target(str(tmp_path))
     for _ in range(2):
