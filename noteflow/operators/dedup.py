@@ -7,11 +7,13 @@ It is cut as follows, since one id may hold a third of all rows:
 
 1. arrivals of an id in the same millisecond (the clock of the rule) collapse to one, with
    map-side combine;
-2. an id is cut into chunks of time, so a group is bounded by the clock, not by the rows;
-   each chunk works out, for whatever arrival was accepted last before it, what is accepted
-   last when it ends (a short step table, as chains from different entries soon merge);
-3. one streaming pass per id over these tables gives each chunk its entry; only chunks with
-   arrivals in their last ttl take part, the others block nothing beyond their end;
+2. an id is cut into chunks of time, no longer than ``CHUNK_MS`` whatever the ttl, so a group is
+   bounded by the clock, not by the rows; each chunk works out, for whatever arrival was
+   accepted last before it, what is accepted last when it ends (a short step table, as chains
+   from different entries soon merge); only chunks whose arrivals block beyond their end need one;
+3. tables of up to ``FAN`` chunks are composed into one, those again, and so on: a tree, of which
+   the few tables at the top are passed through in order and give the parts below their entries,
+   down to the chunks; no task sees more than ``FAN`` tables of an id at a time;
 4. the chunks then accept their arrivals independently of each other.
 
 All of this moves ids and times only; whole rows are joined to the outcome at the end.
@@ -20,6 +22,7 @@ All of this moves ids and times only; whole rows are joined to the outcome at th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,11 @@ from noteflow.functions import constants as K
 from noteflow.operators.ingest import intact, valid_structure, with_arrival
 from noteflow.staging import cut_lineage
 
+# A chunk is at most as long, so it holds at most as many milliseconds.
+CHUNK_MS = 3_600_000
 CHUNK_TTLS = 12
+# Step tables that are composed into one.
+FAN = 64
 SALTS = 64
 
 
@@ -63,67 +70,120 @@ def _steps(ttl: int, chunk_ms: int):
                 for t, chunk in zip(pdf["times"], pdf["chunk"])
             ]
             yield pd.DataFrame({
-                "key": pdf["key"], "chunk": pdf["chunk"],
+                "key": pdf["key"], "part": pdf["chunk"],
                 "upto": [t[0] for t in tables], "leave": [t[1] for t in tables],
             })
 
     return run
 
 
-def _carry(ttl: int, chunk_ms: int):
-    """From the chunks that may block into the next one, in order: the entry of that next one."""
+def compose(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The step table of two stretches of time in a row."""
+    upto, leave = one
+    at = np.searchsorted(two[0], leave, side="left")
+    through = np.where(at < len(two[0]), two[1][np.minimum(at, len(two[0]) - 1)], leave)
+    beyond = two[0] > upto[-1]
+    upto, leave = np.append(upto, two[0][beyond]), np.append(through, two[1][beyond])
+    keep = np.append(leave[1:] != leave[:-1], True)
+    return upto[keep], leave[keep]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, expected, entry = None, None, None
-        for pdf in batches:
-            out = []
-            for k, chunk, upto, leave in zip(pdf["key"], pdf["chunk"], pdf["upto"], pdf["leave"]):
-                if k != key or chunk != expected:
-                    entry = None
-                if entry is None:
-                    last = int(leave[0])
-                else:
-                    i = int(np.searchsorted(upto, entry, side="left"))
-                    last = int(leave[i]) if i < len(upto) else entry
-                key, expected = k, chunk + 1
-                entry = last if last + ttl >= expected * chunk_ms else None
-                if entry is not None:
-                    out.append((k, expected, entry))
-            yield pd.DataFrame(out, columns=["key", "chunk", "entry"])
+
+def _composed(tables: pd.DataFrame) -> pd.DataFrame:
+    """One table for the parts of an id in one group; of its first part it keeps the number."""
+    tables = tables.sort_values("part")
+    pairs = [(np.asarray(u, np.int64), np.asarray(l, np.int64)) for u, l in zip(tables["upto"], tables["leave"])]
+    upto, leave = reduce(compose, pairs)
+    first = tables.iloc[0]
+    return pd.DataFrame({"key": [first["key"]], "part": [first["part"] // FAN], "upto": [upto], "leave": [leave]})
+
+
+def _passed(ttl: int, width: int):
+    """Through the parts of an id in one group, from the group's entry: the entries of parts.
+
+    An entry is given to each part from one with a table up to the next, as far as it blocks.
+    """
+
+    def run(tables: pd.DataFrame) -> pd.DataFrame:
+        tables = tables.sort_values("part")
+        entry = tables["entry"].iloc[0]
+        last = None if pd.isna(entry) else int(entry)
+        out, parts = [], [*tables["part"], None]
+        for n, (part, upto, leave) in enumerate(zip(tables["part"], tables["upto"], tables["leave"])):
+            if n == 0 and last is not None and last + ttl >= part * width:
+                out.append((part, last))
+            if last is None or last + ttl < part * width:
+                last = int(leave[0])
+            else:
+                at = int(np.searchsorted(upto, last, side="left"))
+                last = int(leave[at]) if at < len(upto) else last
+            reach = (last + ttl) // width
+            following = parts[n + 1]
+            for near in range(part + 1, int(reach if following is None else min(reach, following)) + 1):
+                out.append((near, last))
+        return pd.DataFrame({"key": tables["key"].iloc[0], "part": [p for p, _ in out], "entry": [e for _, e in out]})
 
     return run
 
 
-def accepted_times(arrivals: DataFrame, ttl_ms: int) -> DataFrame:
-    """The accepted ``(key, ts)``, each once, among rows of ``key string, ts bigint`` in ms."""
-    chunk_ms = CHUNK_TTLS * ttl_ms
+TABLES = "key string, part bigint, upto array<bigint>, leave array<bigint>"
+
+
+def _entries(tables: DataFrame, ttl: int, width: int, span: int) -> DataFrame:
+    """``key, part, entry``: the last accepted arrival before a part, where it may block there.
+
+    ``span`` is the number of parts from the first to the last of all ids.
+    """
+    group = F.floor(F.col("part") / FAN).alias("group")
+    if span > FAN:
+        above = cut_lineage(tables.groupBy("key", group).applyInPandas(_composed, TABLES), "step-tables")
+        entries = _entries(above, ttl, width * FAN, span // FAN + 1)
+        entries = entries.select(F.col("key").alias("k"), F.col("part").alias("g"), "entry")
+        grouped = tables.withColumn("group", group)
+        tables = grouped.join(entries, (F.col("key") == F.col("k")) & (F.col("group") == F.col("g")), "left").drop("k", "g")
+    else:
+        tables = tables.withColumn("group", group).withColumn("entry", F.lit(None).cast("bigint"))
+    if span <= FAN:  # the top: all parts of an id together
+        found = tables.groupBy("key").applyInPandas(_passed(ttl, width), "key string, part bigint, entry bigint")
+    else:
+        found = tables.groupBy("key", "group").applyInPandas(_passed(ttl, width), "key string, part bigint, entry bigint")
+    # Two groups may name the entry of one part: the later arrival is the last one.
+    return found.groupBy("key", "part").agg(F.max("entry").alias("entry"))
+
+
+def accepted_times(arrivals: DataFrame, ttl_ms: int, chunk_ms: int | None = None) -> DataFrame:
+    """The accepted ``(key, ts)``, each once, among rows of ``key string, ts bigint`` in ms.
+
+    ``chunk_ms`` is the length of a chunk, at most ``CHUNK_MS`` by default.
+    """
+    chunk_ms = chunk_ms or min(CHUNK_TTLS * ttl_ms, CHUNK_MS)
     # A set of milliseconds is bounded by the length of the chunk, before and after the shuffle.
-    # Stating that nothing is NULL keeps this shuffle equal in both places it is used, so that
-    # it is run once.
+    # It is written once for the two that read it: the tables and the accepting.
     known = arrivals.filter("key IS NOT NULL AND ts IS NOT NULL")
-    runs = known.groupBy("key", F.floor(F.col("ts") / chunk_ms).alias("chunk")).agg(
+    runs = cut_lineage(known.groupBy("key", F.floor(F.col("ts") / chunk_ms).alias("chunk")).agg(
         F.array_sort(F.collect_set("ts")).alias("times")
-    )
-    # Only a chunk with arrivals in its last ttl can block into the next one.
+    ), "chunks")
+    # Only a chunk with arrivals in its last ttl can block beyond its end.
     open_ended = runs.filter(F.array_max("times") + ttl_ms >= (F.col("chunk") + 1) * chunk_ms)
-    steps = open_ended.mapInPandas(
-        _steps(ttl_ms, chunk_ms), "key string, chunk bigint, upto array<bigint>, leave array<bigint>"
-    )
-    entries = (
-        steps.repartition("key")
-        .sortWithinPartitions("key", "chunk")
-        .mapInPandas(_carry(ttl_ms, chunk_ms), "key string, chunk bigint, entry bigint")
-    )
+    first, last = open_ended.agg(F.min("chunk"), F.max("chunk")).first()
     start = F.struct(
         F.col("entry").alias("last"), F.array().cast("array<bigint>").alias("kept")
     )
+    if first is None:
+        joined = runs.withColumn("entry", F.lit(None).cast("bigint"))
+    else:
+        # Parts count from the first chunk, times from its beginning.
+        moved = open_ended.select(
+            "key", (F.col("chunk") - first).alias("chunk"),
+            F.transform("times", lambda t: t - first * chunk_ms).alias("times"))
+        tables = cut_lineage(moved.mapInPandas(_steps(ttl_ms, chunk_ms), TABLES), "step-tables")
+        entries = _entries(tables, ttl_ms, chunk_ms, last - first + 1).select(
+            "key", (F.col("part") + first).alias("chunk"), (F.col("entry") + first * chunk_ms).alias("entry"))
+        joined = runs.join(entries, ["key", "chunk"], "left")
     accept = lambda s, t: F.when(
         s["last"].isNull() | (t - s["last"] > ttl_ms),
         F.struct(t.alias("last"), F.concat(s["kept"], F.array(t)).alias("kept")),
     ).otherwise(s)
-    return runs.join(entries, ["key", "chunk"], "left").select(
-        "key", F.explode(F.aggregate("times", start, accept)["kept"]).alias("ts")
-    )
+    return joined.select("key", F.explode(F.aggregate("times", start, accept)["kept"]).alias("ts"))
 
 
 def _stage(

@@ -99,6 +99,27 @@ def dedup_ttl_by_user(spark, sf):
     return dedup.dedup_ttl(rows, ttl_s=hour).select(F.col("id").alias("user"), millis())
 
 
+@query
+def dedup_ttl_week(spark, sf):
+    """A time-to-live far longer than a chunk of time."""
+    rows = views.table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("id"), F.col("event_id").cast("string").alias("relay"),
+        F.col("ts").cast("timestamp").alias("arrival_ts"),
+    )
+    return dedup.dedup_ttl(rows, ttl_s=7 * 86_400).select(F.col("id").alias("user"), millis())
+
+
+@query
+def signature_quarantine(spark, sf):
+    """A verdict on signatures as an input column, in the fold."""
+    signed = views.notes(spark, sf).withColumn("sig_ok", F.char_length("content") % 7 != 0)
+    good, quarantine = dedup.ingress_fold(signed, sig_ok="sig_ok")
+    both = good.withColumn("outcome", F.lit("pass")).unionByName(
+        quarantine.withColumn("outcome", F.lit("quarantine"))
+    )
+    return both.select("outcome", "id", "relay", "sig_ok", millis())
+
+
 @query
 def ingress_fold(spark, sf):
     good, quarantine = dedup.ingress_fold(views.notes(spark, sf))

@@ -309,6 +309,7 @@ ORACLE["dedup_ttl_by_user"] = (
     "WITH RECURSIVE " + fold_ctes("events", "user_id", "epoch_us(ts) // 1000", "event_id", 3_600_000, "event_id")
     + """ SELECT cast(key AS varchar) AS "user", ts AS arrival_ms FROM judged WHERE outcome = 'pass'"""
 )
+ORACLE["dedup_ttl_week"] = ORACLE["dedup_ttl_by_user"].replace("3600000", "604800000")
 INGRESS = (
     f"checked AS MATERIALIZED ({CHECKED}), "
     + fold_ctes(
@@ -316,6 +317,10 @@ INGRESS = (
         "id, pubkey, created_at, kind, tags, content, relay, arrival_ms", "is_valid", "forged",
     )
 )
+on_notes("signature_quarantine",
+         "SELECT outcome, id, relay, length(content) % 7 <> 0 AS sig_ok, arrival_ms FROM judged WHERE outcome <> 'drop'",
+         INGRESS.replace(f"checked AS MATERIALIZED ({CHECKED})", f"""checked AS MATERIALIZED (
+           SELECT * REPLACE (is_valid AND (forged OR length(content) % 7 = 0) AS forged) FROM ({CHECKED}))"""))
 on_notes("ingress_fold",
          "SELECT outcome, id, relay, md5(content) AS content_md5, arrival_ms FROM judged WHERE outcome <> 'drop'", INGRESS)
 on_notes("valid_structure", "SELECT id, relay, arrival_ms, is_valid FROM checked", f"checked AS ({CHECKED})")

@@ -41,6 +41,35 @@ def test_step_table_against_walking():
             assert (leave[i] if i < len(upto) else entry) == expected
 
 
+def test_composed_tables_against_walking():
+    rng = random.Random(8)
+    for _ in range(300):
+        ttl, width = rng.randint(1, 40), rng.randint(5, 20)
+        parts = [sorted(rng.sample(range(100 + n * width, 100 + (n + 1) * width), rng.randint(1, 5))) for n in range(3)]
+        tables = [dedup.step_table(np.array(t), ttl, 100 + n * width) for n, t in enumerate(parts)]
+        upto, leave = dedup.compose(dedup.compose(*tables[:2]), tables[2])
+        for entry in range(40, 100):
+            walked = greedy([t for p in parts for t in p], ttl, entry)
+            i = int(np.searchsorted(upto, entry))
+            assert (leave[i] if i < len(upto) else entry) == (walked[-1] if walked else entry)
+
+
+@pytest.mark.parametrize("ttl, chunk, fan", [(50, 7, 2), (7, 50, 3), (1000, 10, 4), (3, 3, 2), (200, 64, 64)])
+def test_tree_of_chunks_against_walking(spark, monkeypatch, ttl, chunk, fan):
+    monkeypatch.setattr(dedup, "FAN", fan)
+    rng = random.Random(ttl)
+    rows = [("hot", rng.randint(-500, 4000)) for _ in range(900)] + [("rare", rng.randint(0, 90_000)) for _ in range(60)]
+    rows += [(f"i{rng.randint(0, 20)}", rng.randint(0, 3000)) for _ in range(500)]
+    frame = spark.createDataFrame(rows, "key string, ts bigint")
+    got = {}
+    for r in dedup.accepted_times(frame, ttl, chunk).collect():
+        got.setdefault(r.key, []).append(r.ts)
+    want = {}
+    for k, t in rows:
+        want.setdefault(k, set()).add(t)
+    assert {k: sorted(v) for k, v in got.items()} == {k: greedy(v, ttl) for k, v in want.items()}
+
+
 def test_ttl_is_not_extended_by_repeats(spark):
     rows = [("a", t, "r") for t in (0, 100, 300, 301, 650)]
     kept = dedup.dedup_ttl(arrivals(spark, rows))

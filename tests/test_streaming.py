@@ -57,6 +57,20 @@ def test_stream_equals_batch_over_two_runs(spark, notes, tmp_path):
         assert same_rows(got, df), output
 
 
+def test_signature_verdicts_reach_the_stream(spark, notes, tmp_path):
+    signed = notes.withColumn("sig_ok", F.char_length("content") % 5 != 0)
+    signed.write.json(str(tmp_path / "in"), timestampFormat=STAMP)
+    events = sources.stream_events(spark, str(tmp_path / "in"), kinds=None, extra="sig_ok boolean")
+    target = sinks.file_target(str(tmp_path / "out"))
+    run.flow_stream(events, FlowOptions(note_delay_ms=0), str(tmp_path / "state"), [target], [target],
+                    available_now=True, sig_ok="sig_ok").awaitTermination()
+    expected = flow.run_flow(signed, FlowOptions(), sig_ok="sig_ok")
+    got = spark.read.parquet(str(tmp_path / "out" / "notes"))
+    assert got.filter("NOT sig_ok").isEmpty() and got.count() == expected.notes.count() > 0
+    audit = spark.read.parquet(str(tmp_path / "out" / "audit"))
+    assert audit.filter("bucket = 'invalid_events'").count() == expected.quarantine.count()
+
+
 def test_state_walks_like_the_batch_fold(spark, tmp_path):
     """Repeats, bad shapes and forged copies of few ids, in several micro-batches."""
     from tests.test_ingest_dedup import events, walk
