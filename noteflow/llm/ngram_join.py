@@ -2,20 +2,25 @@
 
 If two sets are similar enough, then under *any* total order of shingles their prefixes (the first
 n - ceil(t n) + 1 elements) share one. Three orders are used: in all of them shingles that many
-documents hold come last, by a sketch of counts over the whole corpus, and within a class of
-counts each order has its own hash. Candidates share a prefix shingle under the first order
-(found by a shuffle), then under the second and the third; only those are verified.
-
-No group of documents that share a shingle is expanded into its pairs at once. First each is
-compared with the smallest document of its group; what that links is one component. Pairs remain
-only where a group still holds several components, and all of those are examined.
+documents hold come last, and among equally common ones each order has its own hash. How common a
+shingle is, is counted exactly over the whole corpus for those that can reach a prefix by their
+hash, and kept per cell of a table of fixed size. Candidates share a prefix shingle under the
+first order (found by a shuffle), then under the second and the third; only those are verified.
+
+No large group of documents that share a shingle is expanded into its pairs. First each document
+is compared with the smallest one of its group; what that links is one component. What remains are
+groups that still hold several components. The pairs of small ones are listed. Documents of large
+ones are families of near copies below the threshold or at it: they are dealt to blocks, and each
+pair of blocks is compared within a task by products of incidence matrices.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +30,17 @@ from noteflow.llm.components import components
 from noteflow.llm.shingles import mixed, sequence_key, shingle_hashes, word_slices
 from noteflow.staging import cut_lineage
 
-#: Cells of the sketch of counts; a cell counts all shingles of its hash class.
-CELLS = 1 << 18
+#: Cells of the tables that shingles are looked up in, by the last bits of their hashes.
+CELLS = 1 << 22
+#: Bytes of sets that a task sends on at once, and documents of a block, on average.
+FLUSH_BYTES = 4 << 20
+BLOCK = 100
+#: Columns of an incidence matrix at a time.
+COLUMNS = 1 << 13
+#: Documents of a group of which the pairs are listed, at most.
+SMALL = 64
+#: Shingles are counted in prefixes so many times as long: some give way to less common ones.
+WIDER = 1.5
 ORDERS = (0x632BE59BD9B4E019, 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB)
 
 
@@ -54,36 +68,39 @@ def _arrow_type(docs: DataFrame, column: str) -> pa.DataType:
 
 
 def _summaries(docs: DataFrame, k: int) -> DataFrame:
-    """Of each row ``id, n, k1, k2`` (keys null without words); and the sketch, ``cell, count``."""
+    """Of each row ``id, n, k1, k2``: size of the set and key of the text, null without words."""
     id_type = docs.schema["id"].dataType.simpleString()
-    schema = pa.schema([("id", _arrow_type(docs, "id")), ("n", pa.int64()), ("k1", pa.int64()),
-                        ("k2", pa.int64()), ("cell", pa.int32()), ("count", pa.int64())])
+    schema = pa.schema([("id", _arrow_type(docs, "id")), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
 
     def run(batches):
-        total = np.zeros(CELLS, np.int64)
         ids, rows = [], []
         for column, row, words, shingles in _read(batches, k):
-            np.add.at(total, (shingles % np.uint64(CELLS)).astype(np.int64), 1)
-            key = sequence_key(words) if len(words) else (None, None)
             ids.append(column.slice(row, 1))
-            rows.append((len(shingles), *key, None, None))
+            rows.append((len(shingles), *(sequence_key(words) if len(words) else (None, None))))
             if len(rows) >= 4096:
                 yield _flush(schema, ids, list(zip(*rows, strict=True)))
                 ids, rows = [], []
         if rows:
             yield _flush(schema, ids, list(zip(*rows, strict=True)))
-        used = np.flatnonzero(total)
-        none = pa.nulls(len(used))
-        yield pa.RecordBatch.from_arrays(
-            [none.cast(schema[0].type), *[none.cast(pa.int64())] * 3,
-             pa.array(used, pa.int32()), pa.array(total[used])], schema=schema)
 
-    return docs.mapInArrow(run, f"id {id_type}, n long, k1 long, k2 long, cell int, count long")
+    return docs.mapInArrow(run, f"id {id_type}, n long, k1 long, k2 long")
+
+
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(CELLS)).astype(np.int64)
+
+
+def _table(cells: DataFrame, dtype) -> np.ndarray:
+    """``m, v`` as an array over all cells; what comes to the driver is bounded by their number."""
+    found = cells.toArrow()
+    out = np.zeros(CELLS, dtype)
+    out[found["m"].to_numpy()] = found["v"].to_numpy()
+    return out
 
 
 def _order_keys(shingles: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
     """Sort keys under a global order: the class of the count, then a hash."""
-    common = classes[(shingles % np.uint64(CELLS)).astype(np.int64)].astype(np.uint64)
+    common = classes[_cells(shingles)].astype(np.uint64)
     return (common << np.uint64(58)) | (mixed(shingles ^ np.uint64(ORDERS[order])) >> np.uint64(6))
 
 
@@ -91,87 +108,188 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _prefix(shingles: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
-    size = prefix_length(len(shingles), percent)
+def _prefix(shingles: np.ndarray, classes: np.ndarray, order: int, percent: int, times: float = 1.0) -> np.ndarray:
+    size = int(prefix_length(len(shingles), percent) * times)
     keys = _order_keys(shingles, classes, order)
     if size < len(shingles):
-        shingles = shingles[np.argpartition(keys, size - 1)[:size]]
-    return shingles
+        first = np.argpartition(keys, size - 1)[:size]
+        return shingles[first[np.argsort(keys[first])]]
+    return shingles[np.argsort(keys)]
+
 
+def _tokens(docs: DataFrame, k: int, percent: int, classes, times: float = 1.0) -> DataFrame:
+    """``token`` for each shingle in the prefix of each document under the first order, or in one
+    ``times`` as long. Without ``classes`` all shingles are equally common."""
+    schema = pa.schema([("token", pa.int64())])
 
-def _postings(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
-    """``token, id, n`` for the prefix of each document under the first order."""
+    def run(batches):
+        alike = np.zeros(CELLS if classes is None else 0, np.uint8)
+        tokens, held = [], 0
+        for _, _, words, shingles in _read(batches, k):
+            if len(words):
+                common = alike if classes is None else classes.value
+                tokens.append(_prefix(shingles, common, 0, percent, times).astype(np.int64))
+                held += len(tokens[-1])
+            if held > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens))], schema=schema)
+                tokens, held = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens))], schema=schema)
+
+    return docs.mapInArrow(run, "token long")
+
+
+def _postings(docs: DataFrame, k: int, percent: int, classes, marked) -> DataFrame:
+    """``id, token, n, r`` of those prefix shingles whose mark is set, ``r`` being the place in
+    the order."""
     id_type = docs.schema["id"].dataType.simpleString()
-    schema = pa.schema([("id", _arrow_type(docs, "id")), ("token", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("id", _arrow_type(docs, "id")), ("token", pa.int64()), ("n", pa.int32()), ("r", pa.int32())])
+
+    def flush(ids, *columns):
+        return _flush(schema, ids, [pa.array(np.concatenate(c)) for c in columns])
 
     def run(batches):
-        ids, tokens, sizes, held = [], [], [], 0
+        ids, tokens, sizes, places, held = [], [], [], [], 0
         for column, row, words, shingles in _read(batches, k):
             if not len(words):
                 continue
             prefix = _prefix(shingles, classes.value, 0, percent)
+            place = np.flatnonzero(marked.value[_cells(prefix)]).astype(np.int32)
+            if not len(place):
+                continue
+            prefix = prefix[place]
             ids.append(column.take(pa.array(np.full(len(prefix), row))))
             tokens.append(prefix.astype(np.int64))
             sizes.append(np.full(len(prefix), len(shingles), np.int32))
+            places.append(place)
             held += len(prefix)
             if held > 100_000:
-                yield _flush(schema, ids, [pa.array(np.concatenate(tokens)), pa.array(np.concatenate(sizes))])
-                ids, tokens, sizes, held = [], [], [], 0
+                yield flush(ids, tokens, sizes, places)
+                ids, tokens, sizes, places, held = [], [], [], [], 0
         if held:
-            yield _flush(schema, ids, [pa.array(np.concatenate(tokens)), pa.array(np.concatenate(sizes))])
+            yield flush(ids, tokens, sizes, places)
 
-    return docs.mapInArrow(run, f"id {id_type}, token long, n int")
+    return docs.mapInArrow(run, f"id {id_type}, token long, n int, r int")
 
 
-def _sets(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
-    """``id, body, second, third``: the whole set and its prefixes under the other orders."""
-    id_type = docs.schema["id"].dataType.simpleString()
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("id", _arrow_type(docs, "id")), ("body", longs), ("second", longs), ("third", longs)])
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """``id, f, lo, hi, body``: the whole set, sorted, as 64-bit numbers in binary."""
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("id", "f", "lo", "hi")}
+    schema = pa.schema([*[(c, _arrow_type(docs, c)) for c in kinds], ("body", pa.binary())])
 
     def run(batches):
-        ids, rows, held = [], [], 0
-        for column, row, words, shingles in _read(batches, k):
-            if not len(words):
-                continue
-            ids.append(column.slice(row, 1))
-            rows.append((shingles.astype(np.int64), *[
-                _prefix(shingles, classes.value, order, percent).astype(np.int64) for order in (1, 2)]))
-            held += len(shingles)
-            if held > 500_000:
-                yield _flush(schema, ids, list(zip(*rows, strict=True)))
-                ids, rows, held = [], [], 0
-        if rows:
-            yield _flush(schema, ids, list(zip(*rows, strict=True)))
-
-    return docs.mapInArrow(run, f"id {id_type}, body array<long>, second array<long>, third array<long>")
-
+        for batch in batches:
+            rows, bodies, held = [], [], 0
+            for _, row, _, shingles in chain(_read(iter([batch]), k), [(None, None, None, None)]):
+                if row is not None:
+                    rows.append(row)
+                    bodies.append(shingles.tobytes())
+                    held += len(bodies[-1])
+                if rows and (row is None or held > FLUSH_BYTES):
+                    at = pa.array(rows)
+                    columns = [batch.column(n).take(at).cast(schema.field(c).type)
+                               for n, c in ((0, "id"), (2, "f"), (3, "lo"), (4, "hi"))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(bodies, pa.binary())], schema=schema)
+                    rows, bodies, held = [], [], 0
+
+    return docs.select("id", "text", "f", "lo", "hi").mapInArrow(
+        run, ", ".join(f"{c} {kind}" for c, kind in kinds.items()) + ", body binary")
+
+
+def _can_link(na: Column, ra: Column, nb: Column, rb: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be similar when their first common shingle has these places.
+
+    Both lists are in the same order, so nothing before those places is common. For later common
+    shingles the condition only gets stricter: a pair that is similar meets it at its first one.
+    """
+    most = F.least(na - ra, nb - rb)
+    return 100 * most >= percent * (na + nb - most)
 
-def _in_range(na: Column, nb: Column, percent: int) -> Column:
-    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, classes, name: str) -> DataFrame:
+    """The pairs (a, b) that are links, written. ``f`` names the family of a pair.
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
-    """The pairs (a, b) that are links.
+    A family may be large, and its pairs many more than its documents. Its documents are dealt to
+    blocks of ``BLOCK`` on average; a pair belongs to the cell of its two blocks, and a document's
+    set, made again from its text, is sent once to each cell that has a pair of it. In a cell, first
+    the prefixes under the other orders decide, then the sets themselves.
+    """
+    nodes = pairs.select("f", F.col("a").alias("w")).unionByName(pairs.select("f", F.col("b").alias("w"))).distinct()
+    blocks = nodes.groupBy(F.col("f").alias("g")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    dealt = pairs.join(blocks, F.col("f") == F.col("g"))
+    block_a, block_b = (F.pmod(F.xxhash64(c), F.col("blocks")).cast("int") for c in ("a", "b"))
+    cells = cut_lineage(dealt.select(
+        "a", "b", "f", F.least(block_a, block_b).alias("lo"), F.greatest(block_a, block_b).alias("hi")), "pair-cells")
+    places = cut_lineage(cells.select(F.col("a").alias("w"), "f", "lo", "hi").unionByName(
+        cells.select(F.col("b").alias("w"), "f", "lo", "hi")).distinct(), "set-places")
+    sets = _sets(narrow_join(docs, places, F.col("id") == F.col("w"), "inner"), k)
+    id_type = docs.schema["id"].dataType.simpleString()
 
-    Sets are made again from the texts of the documents that occur in pairs. First the prefixes
-    under the other orders decide, then the sets themselves.
+    def similar(a: np.ndarray, b: np.ndarray, orders: list) -> bool:
+        if any(not len(np.intersect1d(x, y, True)) for x, y in orders):
+            return False
+        common = len(np.intersect1d(a, b, True))
+        return 100 * common >= percent * (len(a) + len(b) - common)
+
+    def run(pair: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        body = {w: np.frombuffer(x, np.uint64) for w, x in zip(sent["id"], sent["body"], strict=True)}
+        first = {w: [_prefix(x, classes.value, order, percent) for order in (1, 2)] for w, x in body.items()}
+        keep = [similar(body[a], body[b], list(zip(first[a], first[b], strict=True)))
+                for a, b in zip(pair["a"], pair["b"], strict=True)]
+        return pair.loc[np.array(keep, bool), ["a", "b"]]
+
+    key = ["f", "lo", "hi"]
+    links = cells.groupBy(*key).cogroup(sets.groupBy(*key)).applyInPandas(run, f"a {id_type}, b {id_type}")
+    return cut_lineage(links, name)
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share, ``COLUMNS`` elements at a time."""
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[column]
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[column >= 0]
+    column = column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        here = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+        incidence = np.zeros((len(sets), COLUMNS), np.float32)
+        incidence[row[here], column[here] - low] = 1
+        total += (incidence @ incidence.T).astype(np.int64)
+    return total
+
+
+def _compared(nodes: DataFrame, docs: DataFrame, k: int, percent: int, classes, name: str) -> DataFrame:
+    """Links (a, b) among ``nodes`` (``w, f``) of the same family ``f``, written.
+
+    A family of m documents has m/``BLOCK`` blocks, and each document's set is sent once for each
+    of them: to the cells of its own block with every block. In a cell, pairs must share a prefix
+    shingle under all three orders before their sets are compared.
     """
-    needed = cut_lineage(
-        pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct(), "in-pairs")
-    texts = narrow_join(docs, needed, F.col("id") == F.col("w"), "left_semi")
-    sets = cut_lineage(_sets(texts, k, percent, classes), "sets")
+    blocks = nodes.groupBy(F.col("f").alias("g")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = nodes.join(blocks, F.col("f") == F.col("g"))
+    block = F.pmod(F.xxhash64("w"), F.col("blocks")).cast("int")
+    dealt = dealt.select("w", "f", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    places = cut_lineage(dealt.select(
+        "w", "f", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).distinct(), "set-places")
+    sets = _sets(narrow_join(docs, places, F.col("id") == F.col("w"), "inner"), k)
+    id_type = docs.schema["id"].dataType.simpleString()
 
-    def beside(left: DataFrame, node: str, *names: str) -> DataFrame:
-        right = sets.select(F.col("id").alias(f"i{node}"), *[F.col(c).alias(f"{c}_{node}") for c in names])
-        return left.join(right.hint("merge"), F.col(node) == F.col(f"i{node}")).drop(f"i{node}")
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.drop_duplicates("id").sort_values("id", ignore_index=True)
+        body = [np.frombuffer(x, np.uint64) for x in cell["body"]]
+        size = np.array([len(x) for x in body])
+        may = np.triu(np.ones((len(body), len(body)), bool), 1)
+        for order in (0, 1, 2):
+            may &= _common([_prefix(x, classes.value, order, percent) for x in body]) > 0
+        common = _common(body)
+        total = size[:, None] + size[None, :] - common
+        a, b = np.nonzero(may & (100 * common >= percent * total))
+        return pd.DataFrame({"a": cell["id"].to_numpy()[a], "b": cell["id"].to_numpy()[b]})
 
-    close = beside(beside(pairs.select("a", "b"), "a", "second", "third"), "b", "second", "third").where(
-        F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
-    whole = beside(beside(close, "a", "body"), "b", "body")
-    common = F.size(F.array_intersect("body_a", "body_b"))
-    whole = whole.select("a", "b", (F.size("body_a") + F.size("body_b")).alias("total"), common.alias("common"))
-    return whole.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
+    links = sets.groupBy("f", "lo", "hi").applyInPandas(run, f"a {id_type}, b {id_type}")
+    return cut_lineage(links, name)
 
 
 def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -189,15 +307,8 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    summaries = cut_lineage(_summaries(narrow, k), "shingle-counts")
-    rows = summaries.where("cell IS NULL")
-    named = rows.where("id IS NOT NULL AND k1 IS NOT NULL").select("id", "n", "k1", "k2")
-
-    # The sketch has a fixed number of cells; its classes are a quarter of a megabyte.
-    cells = summaries.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("count").alias("n")).toArrow()
-    counts = np.zeros(CELLS, np.int64)
-    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    classes = spark.sparkContext.broadcast(np.log2(counts + 1).astype(np.uint8))
+    rows = cut_lineage(_summaries(narrow, k), "shingle-counts")
+    named = rows.where("id IS NOT NULL AND k1 IS NOT NULL")
 
     # Copies first: of equal word sequences the smallest id stands for all.
     copies = named.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1")
@@ -208,32 +319,64 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     readable = narrow.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     single = narrow_join(readable, copies.select(F.col("a").alias("w")).distinct(), F.col("id") == F.col("w"), "left_anti")
 
-    posts = cut_lineage(_postings(single, k, percent, classes), "postings")
-    heads = posts.groupBy("token").agg(
-        F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("c")).where("c > 1")
-    heads = heads.select(F.col("token").alias("t"), "head")
-    shared = cut_lineage(posts.join(heads, F.col("token") == F.col("t")).drop("t"), "shared-postings")
-    star = shared.where((F.col("id") != F.col("head.id")) & _in_range(F.col("n"), F.col("head.n"), percent))
+    def repeated(tokens: DataFrame, name: str) -> DataFrame:
+        counts = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+        return cut_lineage(counts.select(F.col("token").alias("t"), "c"), name)
+
+    # How common shingles are: one table of classes, a byte per cell, orders them.
+    cell = F.pmod(F.col("t"), F.lit(CELLS)).cast("int").alias("m")
+    common = repeated(_tokens(single, k, percent, None, WIDER), "common-shingles")
+    classes = _table(common.groupBy(cell).agg(F.floor(F.log2(F.max("c"))).cast("tinyint").alias("v")), np.uint8)
+    classes = spark.sparkContext.broadcast(classes)
+
+    # Which prefix shingles several documents have. Marks of their cells then keep most others
+    # from being sent with their documents.
+    again = repeated(_tokens(single, k, percent, classes), "repeated-shingles")
+    marked = spark.sparkContext.broadcast(_table(again.select(cell, F.lit(True).alias("v")).distinct(), bool))
+    posts = _postings(single, k, percent, classes, marked)
+    shared = cut_lineage(posts.join(again.hint("merge"), F.col("token") == F.col("t")).select("token", "id", "n", "r"), "shared-postings")
+    heads = shared.groupBy("token").agg(F.min(F.struct("id", "n", "r")).alias("head"))
+    headed = shared.join(heads.withColumnRenamed("token", "t").hint("merge"), F.col("token") == F.col("t"))
+    star = headed.where((F.col("id") != F.col("head.id")) & _can_link(F.col("n"), F.col("r"), F.col("head.n"), F.col("head.r"), percent))
     star = cut_lineage(star.select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct(), "star-pairs")
-    links = cut_lineage(_verified(star, single, k, percent, classes), "star-links")
+    star = star.withColumn("f", F.col("b"))
+    links = _verified(star, single, k, percent, classes, "star-links")
     groups = cut_lineage(components(links), "star-components")
 
-    # What the stars have not joined: all pairs of different components within a group.
+    # What the stars have not joined: groups with several components.
     labelled = shared.join(groups.select(F.col("node").alias("g"), "component"), F.col("id") == F.col("g"), "left")
-    labelled = labelled.select("token", "id", "n", F.coalesce("component", "id").alias("label"))
-    several = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    labelled = cut_lineage(
-        labelled.join(several.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi"), "open-groups")
-    left = labelled.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = labelled.select(F.col("token").alias("t"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    labelled = labelled.select("token", "id", "n", "r", F.coalesce("component", "id").alias("label"))
+    several = labelled.groupBy("token").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c")).where("low <> high")
+    several = cut_lineage(several.select(F.col("token").alias("t"), "c"), "open-groups")
+    small = labelled.join(several.where(F.col("c") <= SMALL).hint("merge"), F.col("token") == F.col("t"), "left_semi")
+    small = cut_lineage(small, "small-groups")
+    left = small.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), F.col("label").alias("la"))
+    right = small.select(F.col("token").alias("t"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"),
+                         F.col("label").alias("lb"))
     rest = left.join(right, (F.col("token") == F.col("t")) & (F.col("la") < F.col("lb"))
-                     & _in_range(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+                     & _can_link(F.col("na"), F.col("ra"), F.col("nb"), F.col("rb"), percent)).select("a", "b").distinct()
     known = star.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
     rest = cut_lineage(rest.join(known, (F.greatest("a", "b") == F.col("x")) & (F.least("a", "b") == F.col("y")),
                                  "left_anti"), "rest-pairs")
     if rest.head(1):
-        more = cut_lineage(_verified(rest, single, k, percent, classes), "rest-links")
-        links = links.unionByName(more)
+        families = components(rest).select(F.col("node").alias("m"), F.col("component").alias("f"))
+        rest = rest.join(families, F.col("a") == F.col("m")).drop("m")
+        links = links.unionByName(_verified(rest, single, k, percent, classes, "rest-links"))
+    # Of two sets that are similar, the smaller one has the shingle at an early place: common
+    # passages of long texts come late and make no family.
+    early = _can_link(F.col("n"), F.col("r"), F.col("n"), F.col("r"), percent)
+    large = labelled.join(several.where(F.col("c") > SMALL).select(F.col("t").alias("s")).hint("merge"),
+                          F.col("token") == F.col("s"), "left_semi")
+    large = cut_lineage(large.withColumn("early", early), "large-groups")
+    bounds = large.where("early").groupBy(F.col("token").alias("t")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("id").alias("first"))
+    large = large.join(bounds.hint("merge"), F.col("token") == F.col("t")).where(
+        F.col("early") | (F.col("n") >= F.col("least")) & (percent * F.col("n") <= 100 * F.col("most")))
+    large = cut_lineage(large.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "family-edges")
+    if large.head(1):
+        families = components(large).select(F.col("node").alias("w"), F.col("component").alias("f"))
+        links = links.unionByName(_compared(families, single, k, percent, classes, "family-links"))
     groups = cut_lineage(components(links.unionByName(copies)), "components")
     out = rows.join(groups, F.col("id") == F.col("node"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),

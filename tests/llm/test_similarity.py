@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from noteflow.llm import ngram_join
 from noteflow.llm.components import components
 from noteflow.llm.ngram_join import drop_similar, similar_components
 
@@ -43,8 +44,10 @@ def changed(rng, words, times):
     return words
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, small, block", [(0, 64, 100), (1, 3, 7)])
+def test_against_brute_force(spark, monkeypatch, seed, small, block):
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rng = random.Random(seed)
     vocabulary = [f"w{n}" for n in range(300)]
     passage = rng.choices(vocabulary, k=40)
