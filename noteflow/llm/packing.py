@@ -7,11 +7,13 @@ itself: at most one sequence per group is partly filled for want of pieces.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,14 +29,35 @@ END = 0
 #: Pieces that one task packs together, on average.
 GROUP_PIECES = 20_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Python splits words at these, tokenizers do not.
+SEPARATOR = re.compile(r"[\x1c-\x1f]")
 CACHED_CHARS = 4_000_000
+#: Signs that are a unit of their own after letters; letters below ``LATIN_END`` are composed, and
+#: have one small form.
+SIGNS = frozenset(".,;:!?")
+LATIN_END = "\u0130"
 BATCH_CHARS = 1 << 20
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies, and the byte.
+
+    Printable bytes of Latin-1 stand for themselves, all others for the letters from 256 on.
+    """
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
+
+
+_LETTER = {b: c for c, b in byte_letters().items()}
+BYTES = {c: "".join(_LETTER[b] for b in chr(c).encode()) for c in range(0x80, ord(LATIN_END))}
+
+
 class WordEncoder:
-    """Token ids of texts, by way of their distinct words.
+    """Token ids of texts, by way of their distinct words and the distinct units of those.
 
-    For tokenizers that never join characters across white space. The ids of a word are kept
+    For tokenizers that never join characters across white space. New words are normalised and
+    cut by the tokenizer many at a time, and its model sees each unit once. What is known is kept
     until ``CACHED_CHARS`` characters of words are held; then the store starts anew.
     """
 
@@ -43,37 +66,93 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._reset()
 
     def _reset(self) -> None:
         self.slots: dict[str, int] = {}
+        self.units: dict[str, tuple[int, ...]] = {}
         self.at = self.size = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
         self.chars = 0
 
+    def _unit(self, unit: str) -> tuple[int, ...]:
+        ids = self.units.get(unit)
+        if ids is None:
+            ids = self.units[unit] = tuple([t.id for t in self.tokenizer.model.tokenize(unit)])
+        return ids
+
+    def _cut(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word, by the tokenizer's own normaliser and cutter."""
+        joined = " ".join(words)
+        cut = self.tokenizer.normalizer.normalize_str(joined)
+        lengths = [len(w) + 1 for w in cut.split(" ")]
+        found: list[list[int]] = [[] for _ in words]
+        if len(lengths) != len(words) or any(s in joined for s in self.special):
+            out = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+            for n, token in zip(out.word_ids, out.ids, strict=True):
+                found[n].append(token)
+            return found
+        parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(cut)
+        places = np.searchsorted(np.cumsum(lengths), [start for _, (start, _) in parts], "right")
+        for n, (unit, _) in zip(places.tolist(), parts, strict=True):
+            found[n] += self._unit(unit)
+        return found
+
+    def _encode_words(self, words: list[str]) -> list[Sequence[int]]:
+        """The ids of each word. Latin letters with at most one sign after them, which are most
+        words, need no cutting: they are one unit, and the sign is another."""
+        out: list[Sequence[int]] = []
+        odd = []
+        for n, word in enumerate(words):
+            sign = word[-1] if word[-1] in SIGNS else ""
+            body = word[:-1] if sign else word
+            if body.isalpha() and (body.isascii() or max(body) < LATIN_END):
+                unit = body.lower() if body.isascii() else body.lower().translate(BYTES)
+                ids = self._unit(unit)
+                out.append(ids + self._unit(sign) if sign else ids)
+            else:
+                odd.append(n)
+                out.append(())
+        if odd:
+            for n, ids in zip(odd, self._cut([words[n] for n in odd]), strict=True):
+                out[n] = ids
+        return out
+
     def _learn(self, new: list[str]) -> None:
-        found, sizes = [self.ids], [self.size]
-        for low in range(0, len(new), 2000):
-            some = new[low:low + 2000]
-            out = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            found.append(np.array(out.ids, np.uint32))
-            sizes.append(np.bincount(np.array(out.word_ids, np.int64), minlength=len(some)))
+        found = [ids for low in range(0, len(new), 2000) for ids in self._encode_words(new[low:low + 2000])]
         self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new)), strict=True))
-        self.ids, self.size = np.concatenate(found), np.concatenate(sizes)
+        self.ids = np.concatenate([self.ids, np.array(list(chain.from_iterable(found)), np.uint32)])
+        self.size = np.concatenate([self.size, np.fromiter(map(len, found), np.int64, len(found))])
         self.at = np.cumsum(self.size) - self.size
         self.chars += sum(map(len, new))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Millions of small objects and no cycles are made here: the search
+        for cycles waits."""
         if not texts:
             return []
-        split = [WORD.findall(t) for t in texts]
+        searching = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if searching:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        # White space of any kind ends words here, and separators that are none to the tokenizer don't.
+        split = [WORD.findall(t) if SEPARATOR.search(t) else t.split() for t in texts]
         if self.chars > CACHED_CHARS:
             self._reset()
-        every = [w for words in split for w in words]
-        new = [w for w in dict.fromkeys(every) if w not in self.slots]
-        if new:
-            self._learn(new)
-        slots = np.fromiter(map(self.slots.__getitem__, every), np.int64, len(every))
+        every = list(chain.from_iterable(split))
+        slots = list(map(self.slots.get, every))
+        if None in slots:
+            unknown = [at for at, slot in enumerate(slots) if slot is None]
+            self._learn(list(dict.fromkeys(every[at] for at in unknown)))
+            for at in unknown:
+                slots[at] = self.slots[every[at]]
+        slots = np.array(slots, np.int64)
         sizes = self.size[slots]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

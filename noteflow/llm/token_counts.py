@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from noteflow.llm.common import require
-from noteflow.llm.packing import CACHED_CHARS, WORD, _runs
+from noteflow.llm.packing import CACHED_CHARS, WORD, _runs, byte_letters
 
 #: Fixed value: units of a word as the vocabulary's tokenizer cuts them.
 UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -102,16 +102,6 @@ class Automaton:
         return out
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in byte-level vocabularies, and the byte.
-
-    Printable bytes of Latin-1 stand for themselves, all others for the letters from 256 on.
-    """
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
-
-
 def vocabulary_tokens(path: str) -> list[tuple[int, ...]]:
     """The tokens of a word-end vocabulary as symbols."""
     letters = byte_letters()
