@@ -19,7 +19,7 @@ from noteflow.llm.common import SPACE_CHARS, free_name, words
 from noteflow.staging import cut_lineage
 
 WINDOW = 8
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]+"
 #: Rows of the sample that orders the rules; the verdicts do not depend on it.
 SAMPLE_ROWS = 1000
 #: Seconds that a rule costs at least, for the order: times below this are noise.
@@ -38,12 +38,13 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def word_chars(text: Column) -> Column:
-    return F.char_length(F.translate(text, SPACE_CHARS, "")).cast("long")
+def word_chars(found: Column) -> Column:
+    """Code points of an array of words."""
+    return F.char_length(F.array_join(found, "")).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    return (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long")
+    return (F.char_length(text) - F.char_length(F.regexp_replace(text, SYMBOLS, ""))).cast("long")
 
 
 def lines_with_words(text: Column) -> Column:
@@ -115,7 +116,7 @@ RULES = (
     Rule("repeated_lines", lambda t: let(
         lines_with_words(t), lambda x: 100 * dup_lines(x) > 45 * F.size(x))),
     Rule("word_length", lambda t: let(
-        n_words(t), lambda n: (word_chars(t) < 2 * n) | (word_chars(t) > 15 * n))),
+        words(t), lambda w: (word_chars(w) < 2 * F.size(w)) | (word_chars(w) > 15 * F.size(w)))),
     Rule("capitals", lambda t: upper_share(t) > 0.7),
 )
 
@@ -124,11 +125,13 @@ def measured_order(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "
                    sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per second on a sample, highest first; ties keep their order.
 
-    The sample (``sample_rows`` rows at most, from a seeded Bernoulli draw) is written once. Each
-    rule runs over it twice, and the second run, with compiled code, counts.
+    The sample is a seeded Bernoulli draw of ``sample_rows`` rows on average, taken where the rows
+    are and written once. Each rule runs over it twice, and the second run, with compiled code,
+    counts.
     """
-    drawn = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).sample(0.1, 7)
-    sample = cut_lineage(drawn.limit(sample_rows), "rule-sample")
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    drawn = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).sample(share, 7)
+    sample = cut_lineage(drawn, "rule-sample")
     gains = []
     for at, rule in enumerate(rules):
         count = sample.agg(F.count_if(rule.rejects(F.col("t"))))
@@ -180,7 +183,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") ->
     measured = split.select(
         *others, t,
         F.size(w).cast("long").alias("n_words"),
-        word_chars(F.col(t)).alias("word_chars"),
+        word_chars(F.col(w)).alias("word_chars"),
         n_symbols(F.col(t)).alias("n_symbols"),
         n_dup_lines(F.col(t)).alias("n_dup_lines"),
         repeated(F.col(w)).alias("n_repeat_words"),
