@@ -59,26 +59,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores if the files give fewer splits than there are cores.
-
-    Large tables have more splits than cores and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = POSTS.replace("{S}", "string")
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spark.sql(query, documents=spread(documents, "doc_id"))
+    return spark.sql(query, documents=documents)
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     drafts = spark.sql(
         DRAFTS.replace("{S}", "string").replace("{DIV}", "(e.event_id div 3)"),
         documents=table(spark, sf_dir, "documents"),
-        events=spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id"), "event_id"),
+        events=table(spark, sf_dir, "events").select("event_id", "ts", "user_id"),
     )
     query = (
         NOTES.replace("{SHA}", "sha2(concat('u', cast(a.author AS string)), 256)")
