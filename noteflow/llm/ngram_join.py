@@ -16,6 +16,7 @@ pair of blocks is compared within a task by products of incidence matrices.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -375,7 +376,14 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         F.col("early") | (F.col("n") >= F.col("least")) & (percent * F.col("n") <= 100 * F.col("most")))
     large = cut_lineage(large.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "family-edges")
     if large.head(1):
-        families = components(large).select(F.col("node").alias("w"), F.col("component").alias("f"))
+        # Similar sets lie in one band of sizes or in neighbouring ones: a family is compared by
+        # bands. (Should two names of bands be equal, more is compared than needed.)
+        families = components(large).select(F.col("node").alias("w"), "component")
+        sizes = shared.select(F.col("id").alias("i"), "n").distinct()
+        band = F.floor(F.log(F.col("n")) / F.lit(math.log(1.001 * 100 / percent)))
+        families = families.join(sizes, F.col("w") == F.col("i")).select(
+            "w", "component", F.explode(F.array(band, band - 1)).alias("band"))
+        families = families.select("w", F.xxhash64("component", "band").alias("f"))
         links = links.unionByName(_compared(families, single, k, percent, classes, "family-links"))
     groups = cut_lineage(components(links.unionByName(copies)), "components")
     out = rows.join(groups, F.col("id") == F.col("node"), "left")
