@@ -23,13 +23,18 @@ from pyspark.sql import DataFrame
 
 from noteflow.llm.common import require
 
-# Elements without end tag, elements whose inside is no text, inline elements, and
+# Elements without end tag, elements read up to their end tag, inline elements, and
 # elements whose start ends an open element of the same group.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea svg math iframe object canvas select".split())
+RAW = frozenset("script style title textarea".split())
+#: Drawings and formulas: their text is text of the page, their tags are no elements of the tree.
+FOREIGN = frozenset("svg math".split())
+#: Never shown, but only what stands before an end tag of their own; ``UNSEEN`` only in a drawing.
+HIDDEN = frozenset("template iframe".split())
+UNSEEN = frozenset("desc metadata".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
-    "strong sub sup time tt u var wbr".split())
+    "strong sub sup time tt u var wbr canvas math noscript object svg".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that a start tag does not close across.
@@ -53,6 +58,7 @@ KINDS = frozenset(
     "figcaption nav header footer aside form fieldset button address details summary".split())
 
 TAG = re.compile(r"""<(?:!--|[!?]|(/?)([a-zA-Z][^\s/><]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>)""")
+PAIRED = re.compile(rf"<(/?)({'|'.join(sorted(HIDDEN | UNSEEN))})(?=[\s/>])", re.I)
 MARKS = re.compile(r"""(?:^|\s)(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
 LEAST = 1.0  # added to every count
@@ -71,13 +77,76 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
+def _after(source: str, tag: re.Match) -> int:
+    """Where a comment or declaration ends that starts with ``tag``."""
+    mark = "-->" if tag[0] == "<!--" else ">"
+    end = source.find(mark, tag.end())
+    return len(source) if end < 0 else end + len(mark)
+
+
+def _after_raw(source: str, at: int, name: str) -> int:
+    """Behind the end tag, or the end of the page as in HTML."""
+    end = re.compile(rf"</{name}\b[^>]*+>", re.I).search(source, at)
+    return len(source) if end is None else end.end()
+
+
+def _after_select(source: str, at: int) -> int:
+    """Where a list of options ends: behind its end tag, or before what cannot be inside of it."""
+    inside: Counter = Counter()
+    while (tag := TAG.search(source, at)) is not None:
+        if tag[2] is None:
+            at = _after(source, tag)
+            continue
+        name, at = tag[2].lower(), tag.end()
+        if name == "select":
+            return at if tag[1] else tag.start()
+        if name in INLINE:
+            inside[name] += -1 if tag[1] else 1
+            if inside[name] < 0:
+                return tag.start()
+        elif name in ("script", "style") and not tag[1]:
+            at = _after_raw(source, at, name)
+        elif name not in ("option", "optgroup", "hr", "br", "img"):
+            return tag.start()
+    return len(source)
+
+
+def _hidden_ends(source: str) -> dict[int, int]:
+    """Where the end tags of elements stand that are not shown, by where the elements start."""
+    ends, begun = {}, {}
+    for tag in PAIRED.finditer(source):
+        same = begun.setdefault(tag[2].lower(), [])
+        if not tag[1]:
+            same.append(tag.start())
+        elif same:
+            ends[same.pop()] = tag.end()
+    return ends
+
+
 def parse(source: str) -> Page:
-    """The tree of a page, however ill-formed. Runs in time linear in the page."""
+    """The tree of a page, however ill-formed. Runs in time linear in the page.
+
+    Left out are comments, what HTML reads up to an end tag (script, style, title, textarea), the
+    options of a select, and what is never shown (template, iframe, desc and metadata of a
+    drawing) if it has an end tag. Where that is missing, a select ends at the first element that
+    cannot be in it, and the others are read like the page around them. The text of math, svg,
+    noscript, object and canvas belongs to the element around it, and a block ends them.
+    """
     page = Page()
     stack: list[tuple[str, int]] = []  # open elements, inline ones too, and their node
+    foreign: list[int] = []  # depths of open drawings and formulas
+    hidden = _hidden_ends(source)
     run: list[str] = []
     links = 0
 
+    def cut(depth: int) -> None:
+        nonlocal links
+        for old, _ in stack[depth:]:
+            links -= old == "a"
+        del stack[depth:]
+        while foreign and foreign[-1] >= depth:
+            foreign.pop()
+
     def open_node(kind: str, marks: str) -> int:
         hints, label = set(), 0
         if "=" in marks:
@@ -119,13 +188,17 @@ def parse(source: str) -> Page:
         text(source[at:tag.start()])
         at = tag.end()
         if tag[2] is None:
-            mark = "-->" if tag[0] == "<!--" else ">"
-            end = source.find(mark, at)
-            at = len(source) if end < 0 else end + len(mark)
+            at = _after(source, tag)
             continue
         name = tag[2].lower()
+        if foreign and not (name in KINDS or name in INLINE or name in RAW or name in HIDDEN or name == "select"):
+            if stack[foreign[-1]][0] == "svg":
+                if name in UNSEEN and tag.start() in hidden:
+                    at = source.find(">", hidden[tag.start()]) + 1 or len(source)
+                text(" ")
+            continue
         if tag[1]:
-            if name in RAW:
+            if name in RAW or name in HIDDEN or name == "select":
                 continue
             depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == name), 0)
             if depth and name in INLINE and any(stack[d][0] not in INLINE for d in range(depth, len(stack))):
@@ -133,29 +206,43 @@ def parse(source: str) -> Page:
             if depth:
                 if name not in INLINE:
                     end_block()
-                for old, _ in stack[depth:]:
-                    links -= old == "a"
-                del stack[depth:]
+                cut(depth)
+                if name == "svg":
+                    text(" ")
         elif name in RAW:
-            if not tag[3].rstrip().endswith("/") or name in ("script", "style", "textarea", "title"):
-                end = re.compile(rf"</{name}\b[^>]*+>", re.I).search(source, at)
-                at = len(source) if end is None else end.end()
+            at = _after_raw(source, at, name)
+            text(" ")
+        elif name == "select":
+            if not tag[3].rstrip().endswith("/"):
+                at = _after_select(source, at)
+            text(" ")
+        elif name in HIDDEN:
+            # A template with a shadow root is shown.
+            if tag.start() in hidden and not tag[3].rstrip().endswith("/") and "shadowroot" not in tag[3].lower():
+                at = source.find(">", hidden[tag.start()]) + 1 or len(source)
             text(" ")
         elif name == "br":
             text(" ")
         elif name in VOID:
             continue
         elif name in INLINE:
+            if name == "svg":
+                text(" ")
+            if name in FOREIGN or name in ("canvas", "noscript", "object"):
+                if tag[3].rstrip().endswith("/"):
+                    continue
+                if name in FOREIGN:
+                    foreign.append(len(stack))
             stack.append((name, stack[-1][1]))
             links += name == "a"
         else:
             end_block()
+            if foreign:
+                cut(foreign[0])
             closing = CLOSES.get(name, {"p"} if name in KINDS else set())
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] in closing:
-                    for old, _ in stack[depth:]:
-                        links -= old == "a"
-                    del stack[depth:]
+                    cut(depth)
                     break
                 if stack[depth][0] in FENCES:
                     break

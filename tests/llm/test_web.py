@@ -142,3 +142,34 @@ def test_extract_edge_cases(spark, model):
     assert by[1].text == "" == by[2].text and by[None].text == "x y z"
     assert by[3].n_chars == len("long text " * 50_000) - 1
     assert html_text.extract(pages.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("before", [
+    "<select><option>A<option>B", "<svg><path d=1><g>", "<math><mi>x", "<object data=x>", "<canvas>", "<template>", "<iframe src=x>",
+    "<noscript>", "<select><option>A<select><option>B", "<label>c <select><option>A</label>", "<svg><a href=x><text>t",
+])
+def test_elements_without_end_tag_lose_nothing(model, before):
+    article = "<article><h1>Title</h1><p>First words of it.</p><p>Second words of it.</p></article>"
+    for after in ("", "<form><select><option>z</select></form>", "<div><svg><path/></svg><iframe></iframe><template>q</template></div>"):
+        got = html_text.main_text(f"<body><header>{before}</header>{article}{after}", model)
+        assert got == "Title\nFirst words of it.\nSecond words of it.", (before, after)
+        got = html_text.main_text(f"<body>{before}{article}{after}", model)
+        assert got.endswith("Title\nFirst words of it.\nSecond words of it."), (before, after)
+        assert "B" not in got and "z" not in got and "q" not in got, (before, after)
+
+
+def test_what_is_shown_in_an_article_is_kept(model):
+    inside = ("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <object data=a>a film</object> or <canvas>a plot</canvas></p>"
+              "<noscript><p>plain words</p></noscript><p>see<svg><title>i</title><desc>d</desc><text>label</text><path/></svg>here"
+              "<select><option>A</select> and <iframe>no</iframe><template><p>t</p></template>on</p>")
+    source = f"<nav><a href=1>m</a></nav><article><h1>T</h1>{inside}</article><footer>f</footer>"
+    assert html_text.main_text(source, model) == "T\nlet x=1 be a film or a plot\nplain words\nsee label here and on"
+
+
+@pytest.mark.parametrize("piece", ["<select>", "<svg>", "<svg><p>", "<iframe>", "<template", "<select><b>", "<svg><desc>", "<math><a>", "<title"])
+def test_hostile_pages_take_linear_time(model, piece):
+    import time
+
+    start = time.process_time()
+    html_text.parse(piece * 20_000)
+    assert time.process_time() - start < 5
