@@ -1,4 +1,4 @@
-"""Exact repeat removal on a stream: the same fold as in batch, with one time per id as state."""
+"""Exact repeat removal on a stream: the same fold as in batch, with the accepted times per id as state."""
 
 from __future__ import annotations
 
@@ -16,22 +16,35 @@ STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 PASS, QUARANTINE = "pass", "quarantine"
-# State is freed once arrivals are this many ttls past it, so that late ones still find it.
-STATE_TTLS = 12
 
 
 class FixedTtl(StatefulProcessor):
-    """Keeps the time of the last arrival that blocks an id."""
+    """Keeps the times of the arrivals that block an id.
 
-    def __init__(self, ttl_ms: int):
+    Two of them are never within a ttl of each other, so a slot as wide holds one at most, and
+    an arrival, however late, asks its own slot and the two beside it.
+    """
+
+    def __init__(self, ttl_ms: int, retention_ms: int | None = None):
         self.ttl_ms = ttl_ms
+        self.retention_ms = retention_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.blocked_from = handle.getValueState("blocked_from", "ts bigint")
+        self.accepted = handle.getMapState("accepted", "slot bigint", "ts bigint")
 
-    def _free_at(self, ts: int) -> int:
-        return ts + self.ttl_ms * STATE_TTLS
+    def _slot(self, ts: int) -> int:
+        return ts // (self.ttl_ms + 1)
+
+    def _blocks(self, ts: int, known: dict[int, int | None], empty: bool) -> bool:
+        at = self._slot(ts)
+        for slot in (at, at - 1, at + 1):
+            if slot not in known:
+                stored = None if empty else self.accepted.getValue((slot,))
+                known[slot] = None if stored is None else int(stored[0])
+            if known[slot] is not None and abs(ts - known[slot]) <= self.ttl_ms:
+                return True
+        return False
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Of the non-forged arrivals in one millisecond only the first can pass, so a hot id
@@ -41,31 +54,27 @@ class FixedTtl(StatefulProcessor):
             kept = part if kept is None else pd.concat([kept, part], ignore_index=True)
             kept = kept.sort_values(["ts", "relay", "copy"], kind="stable", ignore_index=True)
             kept = kept[kept["forged"] | ~kept.duplicated(["ts", "forged"])]
-        stored = self.blocked_from.get()
-        last = None if stored is None else int(stored[0])
-        before, out = last, []
-        for i, ts, valid, forged in zip(kept.index, kept["ts"], kept["valid"], kept["forged"]):
-            # An arrival from long before the last one is no repeat of it either.
-            if last is not None and abs(ts - last) <= self.ttl_ms:
+        empty, known, out = not self.accepted.exists(), {}, []
+        for i, ts, valid, forged in zip(kept.index, map(int, kept["ts"]), kept["valid"], kept["forged"]):
+            # An arrival from long before an accepted one is no repeat of it either.
+            if self._blocks(ts, known, empty):
                 continue
             if forged:
                 out.append((i, QUARANTINE))
                 continue
-            last = int(ts) if last is None else max(last, int(ts))
+            known[self._slot(ts)] = ts
+            self.accepted.updateValue((self._slot(ts),), (ts,))
+            if self.retention_ms is not None:
+                self.handle.registerTimer(ts + self.retention_ms)
             if valid:
                 out.append((i, PASS))
-        if last != before:
-            if before is not None:
-                self.handle.deleteTimer(self._free_at(before))
-            self.blocked_from.update((last,))
-            self.handle.registerTimer(self._free_at(last))
         passed = kept.loc[[i for i, _ in out]]
         yield pd.DataFrame(
             {"outcome": [o for _, o in out], "payload": list(passed["payload"])}, dtype=object
         )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.blocked_from.clear()
+        self.accepted.removeKey((self._slot(expiredTimerInfo.getExpiryTimeInMs() - self.retention_ms),))
         yield pd.DataFrame({"outcome": [], "payload": []}, dtype=object)
 
     def close(self) -> None:
@@ -73,14 +82,22 @@ class FixedTtl(StatefulProcessor):
 
 
 def dedup_stream(
-    events: DataFrame, ttl_s: int = K.DEDUP_TTL_S, sig_ok: str | None = None, check: bool = True
+    events: DataFrame, ttl_s: int = K.DEDUP_TTL_S, sig_ok: str | None = None, check: bool = True,
+    retention_s: int | None = None,
 ) -> DataFrame:
     """Events with an ``outcome`` of ``pass`` or ``quarantine``; the others are dropped.
 
     ``check=False`` only removes repeats. Late order inside a micro-batch does not matter,
     arrivals are folded in time order. The source's rate limit bounds a micro-batch.
+
+    The accepted times of an id are kept for good, so that a repeat is found however late it comes.
+    With ``retention_s`` they are freed once arrivals are that far past them: state is bounded,
+    and a repeat that comes later than that passes as new.
     """
+    if retention_s is not None and retention_s < ttl_s:
+        raise ValueError("retention_s must not be below the ttl")
     ttl_ms = ttl_s * 1000
+    retention_ms = None if retention_s is None else retention_s * 1000
     events = with_arrival(events)
     valid = valid_structure() if check else F.lit(True)
     columns = events.columns
@@ -101,7 +118,7 @@ def dedup_stream(
         )
     )
     outcomes = keyed.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=FixedTtl(ttl_ms),
+        statefulProcessor=FixedTtl(ttl_ms, retention_ms),
         outputStructType="outcome string, payload string",
         outputMode="Append",
         timeMode="EventTime",

@@ -261,3 +261,34 @@ def test_staged_files_are_released_by_scope(spark):
     assert not os.path.exists(path)
     assert outside.count() == 3
     assert staging.release(spark) > 0
+
+
+@pytest.mark.parametrize("retention_s, late", [(None, []), (3600, ["a", "b"])])
+def test_repeats_later_than_the_retention(spark, tmp_path, retention_s, late):
+    """Without a retention a repeat is found however late it comes; with one it passes as new."""
+    from tests.test_ingest_dedup import events
+
+    batches = [
+        [("a", 0, "r", "good"), ("b", 0, "r", "good"), ("z", 9000, "r", "good")],
+        [("b", 9000, "r", "good"), ("y", 9001, "r", "good")],
+        [("x", 9002, "r", "good")],
+        [("a", 10, "s", "good"), ("b", 10, "s", "good"), ("b", 9010, "s", "good")],
+    ]
+    run.use_rocksdb(spark)
+    got, source = [], str(tmp_path / "in")
+    for rows in batches:
+        events(spark, rows).write.mode("append").parquet(source)
+        schema = spark.read.parquet(source).schema
+        stream = run.dedup_stream(spark.readStream.schema(schema).parquet(source), retention_s=retention_s)
+        part = []
+        stream.writeStream.foreachBatch(
+            lambda df, _, part=part: part.extend((r.name, r.second) for r in df.collect())
+        ).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        got.append(sorted(part))
+    assert got[:3] == [[("a", 0), ("b", 0), ("z", 9000)], [("b", 9000), ("y", 9001)], [("x", 9002)]]
+    assert got[3] == [(name, 10) for name in late]
+
+
+def test_retention_is_at_least_the_ttl(spark, notes):
+    with pytest.raises(ValueError, match="retention_s"):
+        run.dedup_stream(notes, 300, retention_s=299)
