@@ -1,5 +1,6 @@
 """Quality rules, exact repeats, mixing: edge cases and brute force."""
 
+import hashlib
 import random
 import re
 
@@ -132,3 +133,20 @@ def test_mixed_documents_are_those_taken_whole(spark):
     want = sorted(str(r.doc_id) for r in mixing.mix(docs).where("taken = size").collect())
     assert sorted(str(r.doc_id) for r in mixed.collect()) == want
     assert mixing.mixed_documents(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_texts_without_words_move_no_cut(spark):
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(1, 9), "a") for i in range(20)] + [(i, "w " * rng.randint(1, 9), "b") for i in range(20, 200)]
+    rows += [(i, rng.choice([None, "", " "]), "b") for i in range(200, 260)]
+    target = {r.source: int(r.target) for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect()}
+    want = []
+    for source in "ab":
+        queue = sorted((hashlib.md5(f"mix{i}".encode()).hexdigest(), i, len((t or "").split())) for i, t, s in rows if s == source)
+        served = 0
+        for _, i, size in queue * 2:
+            served += size
+            want += [i] * (served <= target[source])
+    assert served > target["b"] > served / 2
+    got = mixing.mixed_documents(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(want)
