@@ -26,8 +26,9 @@ def query(function):
 @query
 def op1_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = mixing.mix(table(spark, sf_dir, "documents"))
-    return entries.groupBy("doc_id", "source", "size", "source_size", "target").agg(
-        F.sum("taken").alias("taken"))
+    # Repeated rows are documents of their own: their row keeps them apart.
+    return entries.groupBy("doc_id", "source", "size", "source_size", "target", "row").agg(
+        F.sum("taken").alias("taken")).drop("row")
 
 
 ORACLE["op1_weighted_mix"] = r"""

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noteflow.llm import exact_dedup, mixing, quality
+from noteflow.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, source string"
@@ -150,3 +151,16 @@ def test_texts_without_words_move_no_cut(spark):
     assert served > target["b"] > served / 2
     got = mixing.mixed_documents(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted(r.doc_id for r in got) == sorted(want)
+
+
+def test_repeated_rows_are_rows_of_the_query(spark, tmp_path):
+    rows = [(i, "w " * (i % 7 + 1), "ab"[i % 2]) for i in range(40)] + [(3, "w w w w", "b")] * 3 + [(None, "w", None)] * 2
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op1_weighted_mix"](spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r["size"]) for r in got) == sorted((str(i), len(t.split())) for i, t, _ in rows)
+    assert got[0].__fields__ == ["doc_id", "source", "size", "source_size", "target", "taken"]
+    by = {}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r["size"]
+        by.setdefault(r.source, [0, r.target])[0] += r.taken
+    assert all(taken == int(target) for taken, target in by.values())
