@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteflow.llm.common import narrow_join
+from noteflow.llm.common import free_name, narrow_join
 from noteflow.llm.components import components
 from noteflow.llm.shingles import mixed, sequence_key, shingle_hashes, word_slices
 from noteflow.staging import cut_lineage
@@ -303,12 +303,57 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     smallest id reachable by links, the own one included.
 
     Without words or text the set is empty and linked with nothing. A row without an id is linked
-    with nothing, and its ``component_id`` is null. Rows with one id are one node. Shingles are
+    with nothing, and its ``component_id`` is null. Rows with one id are one node, with the links of
+    all of their texts. Shingles are
     compared by 64-bit hashes, whole texts (to collapse copies first) by 128-bit ones.
     """
-    spark = docs.sparkSession
+    narrow, rows, several = _summed(docs, k, id_col, text)
+    if several is None:
+        groups = _groups(narrow, rows, k, percent)
+    else:
+        # Texts are the nodes, then those of one id are joined.
+        found = _text_groups(narrow, several, k, percent)
+        first = found.groupBy(F.col("component").alias("c")).agg(F.min("id").alias("b"))
+        groups = cut_lineage(components(cut_lineage(
+            found.join(first, F.col("component") == F.col("c")).select(F.col("id").alias("a"), "b").distinct(),
+            "id-links")), "id-components")
+    out = rows.join(groups, F.col("id") == F.col("node"), "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                      F.coalesce("component", "id").alias("component_id"))
+
+
+def _summed(docs: DataFrame, k: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Ids and texts, their summaries, and the ids that have several texts if there are any."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     rows = cut_lineage(_summaries(narrow, k), "shingle-counts")
+    keys = rows.where("id IS NOT NULL AND k1 IS NOT NULL").groupBy("id").agg(
+        F.min(F.struct("k1", "k2")).alias("low"), F.max(F.struct("k1", "k2")).alias("high"))
+    several = cut_lineage(keys.where("low <> high").select(F.col("id").alias("several_")), "ids-of-several-texts")
+    return narrow, rows, several if several.head(1) else None
+
+
+def _with_node(docs: DataFrame, several: DataFrame, id_col: str, text: str, node: str) -> DataFrame:
+    """``docs`` with a ``node`` that is one per id, but one per id and text for ids with several."""
+    name = free_name(docs, "several_")
+    found = narrow_join(docs, several.withColumnRenamed("several_", name), F.col(id_col) == F.col(name), "left")
+    plain = F.hex(id_col) if docs.schema[id_col].dataType.simpleString() == "binary" else F.col(id_col).cast("string")
+    key = F.when(F.col(name).isNull(), F.concat(F.lit("1"), plain)).otherwise(
+        F.concat(F.lit("2"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256), plain))
+    return found.withColumn(node, key).drop(name)
+
+
+def _text_groups(narrow: DataFrame, several: DataFrame, k: int, percent: int) -> DataFrame:
+    """``id, node, component`` of every node with a link, ``component`` being a node; written."""
+    noded = _with_node(narrow, several, "id", "text", "w")
+    texts = noded.select(F.col("w").alias("id"), "text")
+    groups = _groups(texts, cut_lineage(_summaries(texts, k), "text-shingle-counts"), k, percent)
+    names = noded.where("w IS NOT NULL").select("id", "w").distinct()
+    return cut_lineage(names.join(groups, F.col("w") == F.col("node")).select("id", "node", "component"), "text-components")
+
+
+def _groups(narrow: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """``node, component`` of the ids with a link, written; rows of one id have one text."""
+    spark = narrow.sparkSession
     named = rows.where("id IS NOT NULL AND k1 IS NOT NULL")
 
     # Copies first: of equal word sequences the smallest id stands for all.
@@ -385,19 +430,27 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
             "w", "component", F.explode(F.array(band, band - 1)).alias("band"))
         families = families.select("w", F.xxhash64("component", "band").alias("f"))
         links = links.unionByName(_compared(families, single, k, percent, classes, "family-links"))
-    groups = cut_lineage(components(links.unionByName(copies)), "components")
-    out = rows.join(groups, F.col("id") == F.col("node"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.coalesce("component", "id").alias("component_id"))
+    return cut_lineage(components(links.unionByName(copies)), "components")
 
 
 def drop_similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
                  text: str = "text") -> DataFrame:
     """The rows of which one stays per component, that with the smallest id; all columns.
 
-    Rows without an id or without words stay.
+    Rows without an id or without words stay. Where rows of one id differ in text, each text is
+    kept or dropped by its own links.
     """
-    found = similar_components(docs, k, percent, id_col, text)
+    narrow, rows, several = _summed(docs, k, id_col, text)
+    if several is not None:
+        found = _text_groups(narrow, several, k, percent)
+        first = found.groupBy(F.col("component").alias("c")).agg(F.min(F.struct("id", "node")).alias("first"))
+        node, name = free_name(docs, "node_"), free_name(docs, "gone_")
+        gone = cut_lineage(found.join(first, F.col("component") == F.col("c")).where(F.col("node") != F.col("first.node"))
+                           .select(F.col("node").alias(name)), "similar-dropped")
+        return narrow_join(_with_node(docs, several, id_col, text, node), gone,
+                           F.col(node) == F.col(name), "left_anti").select(*docs.columns)
+    found = rows.join(_groups(narrow, rows, k, percent), F.col("id") == F.col("node")).select(
+        F.col("id").alias(id_col), F.col("component").alias("component_id"))
     gone = cut_lineage(found.where(F.col(id_col) != F.col("component_id"))
                        .select(F.col(id_col).alias("gone_")).distinct(), "similar-dropped")
     name = "gone_"

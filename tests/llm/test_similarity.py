@@ -101,3 +101,20 @@ def test_components_of_chains_and_stars(spark):
             root[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: find(n) for n in root}
+
+
+def test_ids_with_several_texts(spark):
+    def text(name, changed=0):
+        return " ".join(f"{name}{n}" if n >= changed else f"other{n}" for n in range(60))
+
+    # Id 5 joins the families of x and y; its third text is like no other.
+    rows = [(1, text("x")), (5, text("x", 2)), (5, text("y")), (5, text("z")), (7, text("y", 2)), (8, text("y", 3)),
+            (9, text("q")), (9, text("q")), (None, text("x")), (5, None), (6, text("p")), (6, text("p", 1))]
+    for some in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "s", 0) for i, t in some], SCHEMA)
+        got = {(r.doc_id, r.component_id) for r in similar_components(docs).collect()}
+        assert got == {(1, 1), (5, 1), (7, 1), (8, 1), (9, 9), (None, None), (6, 6)}
+        left = sorted((str(r.doc_id), str(r.text)) for r in drop_similar(docs).collect())
+        kept = [rows[0], *rows[2:4], *rows[6:10]]
+        one = [x for x in left if x[0] == "6"]
+        assert len(one) == 1 and sorted(x for x in left if x[0] != "6") == sorted((str(i), str(t)) for i, t in kept)
