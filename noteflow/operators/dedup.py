@@ -11,9 +11,10 @@ It is cut as follows, since one id may hold a third of all rows:
    bounded by the clock, not by the rows; each chunk works out, for whatever arrival was
    accepted last before it, what is accepted last when it ends (a short step table, as chains
    from different entries soon merge); only chunks whose arrivals block beyond their end need one;
-3. tables of up to ``FAN`` chunks are composed into one, those again, and so on: a tree, of which
-   the few tables at the top are passed through in order and give the parts below their entries,
-   down to the chunks; no task sees more than ``FAN`` tables of an id at a time;
+3. a chunk that no other reaches needs no table: what it accepts last is known. Where chunks reach
+   one another, tables of up to ``FAN`` chunks are composed into one, those again, and so on: a tree,
+   of which the few tables at the top are passed through in order and give the parts below their
+   entries, down to the chunks; many ids share a task, which holds one table at a time;
 4. the chunks then accept their arrivals independently of each other.
 
 All of this moves ids and times only; whole rows are joined to the outcome at the end.
@@ -22,22 +23,21 @@ All of this moves ids and times only; whole rows are joined to the outcome at th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteflow.functions import constants as K
 from noteflow.operators.ingest import intact, valid_structure, with_arrival
-from noteflow.staging import cut_lineage
+from noteflow.staging import cut_lineage, even
 
 # A chunk is at most as long, so it holds at most as many milliseconds.
 CHUNK_MS = 3_600_000
 CHUNK_TTLS = 12
-# Step tables that are composed into one.
-FAN = 64
+# Step tables that are composed into one, and those that one task passes through, on average.
+FAN = 4096
+TASK_ROWS = 20_000
 SALTS = 64
 
 
@@ -88,68 +88,134 @@ def compose(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarra
     return upto[keep], leave[keep]
 
 
-def _composed(tables: pd.DataFrame) -> pd.DataFrame:
-    """One table for the parts of an id in one group; of its first part it keeps the number."""
-    tables = tables.sort_values("part")
-    pairs = [(np.asarray(u, np.int64), np.asarray(l, np.int64)) for u, l in zip(tables["upto"], tables["leave"])]
-    upto, leave = reduce(compose, pairs)
-    first = tables.iloc[0]
-    return pd.DataFrame({"key": [first["key"]], "part": [first["part"] // FAN], "upto": [upto], "leave": [leave]})
+def _composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One table for the parts of an id in one group; rows come sorted by id, group and part."""
+    here, table = None, None
+
+    def row(here, table):
+        return (here[0], here[1], *table)
+
+    for pdf in batches:
+        out = []
+        for key, group, upto, leave in zip(pdf["key"], pdf["group"], pdf["upto"], pdf["leave"]):
+            part = np.asarray(upto, np.int64), np.asarray(leave, np.int64)
+            if (key, group) == here:
+                table = compose(table, part)
+                continue
+            if here is not None:
+                out.append(row(here, table))
+            here, table = (key, group), part
+        yield pd.DataFrame(out, columns=["key", "part", "upto", "leave"])
+    if here is not None:
+        yield pd.DataFrame([row(here, table)], columns=["key", "part", "upto", "leave"])
 
 
 def _passed(ttl: int, width: int):
     """Through the parts of an id in one group, from the group's entry: the entries of parts.
 
-    An entry is given to each part from one with a table up to the next, as far as it blocks.
+    Rows come sorted by id, group and part; only the last part and its state are held. An entry
+    is given to each part from one with a table up to the next, as far as it blocks.
     """
 
-    def run(tables: pd.DataFrame) -> pd.DataFrame:
-        tables = tables.sort_values("part")
-        entry = tables["entry"].iloc[0]
-        last = None if pd.isna(entry) else int(entry)
-        out, parts = [], [*tables["part"], None]
-        for n, (part, upto, leave) in enumerate(zip(tables["part"], tables["upto"], tables["leave"])):
-            if n == 0 and last is not None and last + ttl >= part * width:
-                out.append((part, last))
-            if last is None or last + ttl < part * width:
-                last = int(leave[0])
-            else:
-                at = int(np.searchsorted(upto, last, side="left"))
-                last = int(leave[at]) if at < len(upto) else last
-            reach = (last + ttl) // width
-            following = parts[n + 1]
-            for near in range(part + 1, int(reach if following is None else min(reach, following)) + 1):
-                out.append((near, last))
-        return pd.DataFrame({"key": tables["key"].iloc[0], "part": [p for p, _ in out], "entry": [e for _, e in out]})
+    def beyond(key, part, last, following) -> list[tuple]:
+        reach = (last + ttl) // width
+        return [(key, near, last) for near in
+                range(part + 1, int(reach if following is None else min(reach, following)) + 1)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here = before = None
+        for pdf in batches:
+            out = []
+            rows = zip(pdf["key"], pdf["group"], map(int, pdf["part"]), pdf["upto"], pdf["leave"], pdf["entry"])
+            for key, group, part, upto, leave, entry in rows:
+                same = (key, group) == here
+                if before is not None:
+                    out += beyond(*before, part if same else None)
+                if same:
+                    last = before[2]
+                else:
+                    here, last = (key, group), None if pd.isna(entry) else int(entry)
+                    if last is not None and last + ttl >= part * width:
+                        out.append((key, part, last))
+                if last is None or last + ttl < part * width:
+                    last = int(leave[0])
+                else:
+                    at = int(np.searchsorted(upto, last, side="left"))
+                    last = int(leave[at]) if at < len(upto) else last
+                before = (key, part, last)
+            yield pd.DataFrame(out, columns=["key", "part", "entry"])
+        if before is not None:
+            yield pd.DataFrame(beyond(*before, None), columns=["key", "part", "entry"])
 
     return run
 
 
 TABLES = "key string, part bigint, upto array<bigint>, leave array<bigint>"
+ENTRIES = "key string, part bigint, entry bigint"
+
 
+def _sorted_groups(tables: DataFrame, rows: int) -> DataFrame:
+    """Whole groups per task, sorted, many to a task: as many tasks as the rows need."""
+    tasks = max(1, -(-rows // TASK_ROWS))
+    return tables.repartition(tasks, "key", "group").sortWithinPartitions("key", "group", "part")
 
-def _entries(tables: DataFrame, ttl: int, width: int, span: int) -> DataFrame:
+
+def _entries(tables: DataFrame, ttl: int, width: int, span: int, rows: int) -> DataFrame:
     """``key, part, entry``: the last accepted arrival before a part, where it may block there.
 
-    ``span`` is the number of parts from the first to the last of all ids.
+    ``span`` is the number of parts from the first to the last of all ids, ``rows`` that of tables.
     """
-    group = F.floor(F.col("part") / FAN).alias("group")
     if span > FAN:
-        above = cut_lineage(tables.groupBy("key", group).applyInPandas(_composed, TABLES), "step-tables")
-        entries = _entries(above, ttl, width * FAN, span // FAN + 1)
+        grouped = tables.withColumn("group", F.floor(F.col("part") / FAN))
+        above = cut_lineage(_sorted_groups(grouped, rows).mapInPandas(_composed, TABLES), "step-tables")
+        entries = _entries(above, ttl, width * FAN, span // FAN + 1, rows // FAN + 1)
         entries = entries.select(F.col("key").alias("k"), F.col("part").alias("g"), "entry")
-        grouped = tables.withColumn("group", group)
-        tables = grouped.join(entries, (F.col("key") == F.col("k")) & (F.col("group") == F.col("g")), "left").drop("k", "g")
-    else:
-        tables = tables.withColumn("group", group).withColumn("entry", F.lit(None).cast("bigint"))
-    if span <= FAN:  # the top: all parts of an id together
-        found = tables.groupBy("key").applyInPandas(_passed(ttl, width), "key string, part bigint, entry bigint")
-    else:
-        found = tables.groupBy("key", "group").applyInPandas(_passed(ttl, width), "key string, part bigint, entry bigint")
+        grouped = grouped.join(entries, (F.col("key") == F.col("k")) & (F.col("group") == F.col("g")), "left").drop("k", "g")
+    else:  # the top: all parts of an id together
+        grouped = tables.withColumn("group", F.lit(0).cast("bigint")).withColumn("entry", F.lit(None).cast("bigint"))
+    found = _sorted_groups(grouped, rows).mapInPandas(_passed(ttl, width), ENTRIES)
     # Two groups may name the entry of one part: the later arrival is the last one.
     return found.groupBy("key", "part").agg(F.max("entry").alias("entry"))
 
 
+def _chunk_entries(runs: DataFrame, ttl_ms: int, chunk_ms: int) -> DataFrame:
+    """``key, chunk, entry`` of the chunks that an arrival of an earlier chunk may block.
+
+    Only a chunk with arrivals in its last ttl can block beyond its end. Most of those have no such
+    neighbour within reach: what they accept last does not depend on others and is worked out
+    by the fold itself. Only stretches of chunks that reach one another are passed through in order.
+    """
+    accept = _accept(ttl_ms)
+    ended = F.aggregate("times", F.lit(None).cast("bigint"), lambda s, t: F.when(accept(s, t), t).otherwise(s))
+    opened = runs.select("key", "chunk", F.array_max("times").alias("top"), ended.alias("last")).filter(
+        F.col("top") + ttl_ms >= (F.col("chunk") + 1) * chunk_ms)
+    own = Window.partitionBy("key").orderBy("chunk")
+    reached = F.coalesce(F.lag("top").over(own) + ttl_ms >= F.col("chunk") * chunk_ms, F.lit(False))
+    reaches = F.coalesce(F.col("top") + ttl_ms >= F.lead("chunk").over(own) * chunk_ms, F.lit(False))
+    opened = cut_lineage(opened.select("key", "chunk", "last", (reached | reaches).alias("linked")), "open-chunks")
+
+    until = F.floor((F.col("last") + ttl_ms) / chunk_ms)
+    alone = opened.filter(~F.col("linked") & (until > F.col("chunk")))
+    entries = alone.select("key", F.explode(F.sequence(F.col("chunk") + 1, until)).alias("chunk"), F.col("last").alias("entry"))
+    first, last, count = opened.filter("linked").agg(F.min("chunk"), F.max("chunk"), F.count("*")).first()
+    if not count:
+        return entries
+    # Parts count from the first chunk, times from its beginning.
+    linked = opened.filter("linked").select("key", "chunk")
+    moved = runs.join(linked, ["key", "chunk"]).select(
+        "key", (F.col("chunk") - first).alias("chunk"),
+        F.transform("times", lambda t: t - first * chunk_ms).alias("times"))
+    tables = cut_lineage(moved.mapInPandas(_steps(ttl_ms, chunk_ms), TABLES), "step-tables")
+    passed = _entries(tables, ttl_ms, chunk_ms, last - first + 1, count).select(
+        "key", (F.col("part") + first).alias("chunk"), (F.col("entry") + first * chunk_ms).alias("entry"))
+    return entries.unionByName(passed)
+
+
+def _accept(ttl_ms: int):
+    """Whether a time is accepted after the last accepted one."""
+    return lambda last, t: last.isNull() | (t - last > ttl_ms)
+
+
 def accepted_times(arrivals: DataFrame, ttl_ms: int, chunk_ms: int | None = None) -> DataFrame:
     """The accepted ``(key, ts)``, each once, among rows of ``key string, ts bigint`` in ms.
 
@@ -162,25 +228,13 @@ def accepted_times(arrivals: DataFrame, ttl_ms: int, chunk_ms: int | None = None
     runs = cut_lineage(known.groupBy("key", F.floor(F.col("ts") / chunk_ms).alias("chunk")).agg(
         F.array_sort(F.collect_set("ts")).alias("times")
     ), "chunks")
-    # Only a chunk with arrivals in its last ttl can block beyond its end.
-    open_ended = runs.filter(F.array_max("times") + ttl_ms >= (F.col("chunk") + 1) * chunk_ms)
-    first, last = open_ended.agg(F.min("chunk"), F.max("chunk")).first()
+    joined = runs.join(_chunk_entries(runs, ttl_ms, chunk_ms), ["key", "chunk"], "left")
     start = F.struct(
         F.col("entry").alias("last"), F.array().cast("array<bigint>").alias("kept")
     )
-    if first is None:
-        joined = runs.withColumn("entry", F.lit(None).cast("bigint"))
-    else:
-        # Parts count from the first chunk, times from its beginning.
-        moved = open_ended.select(
-            "key", (F.col("chunk") - first).alias("chunk"),
-            F.transform("times", lambda t: t - first * chunk_ms).alias("times"))
-        tables = cut_lineage(moved.mapInPandas(_steps(ttl_ms, chunk_ms), TABLES), "step-tables")
-        entries = _entries(tables, ttl_ms, chunk_ms, last - first + 1).select(
-            "key", (F.col("part") + first).alias("chunk"), (F.col("entry") + first * chunk_ms).alias("entry"))
-        joined = runs.join(entries, ["key", "chunk"], "left")
+    free = _accept(ttl_ms)
     accept = lambda s, t: F.when(
-        s["last"].isNull() | (t - s["last"] > ttl_ms),
+        free(s["last"], t),
         F.struct(t.alias("last"), F.concat(s["kept"], F.array(t)).alias("kept")),
     ).otherwise(s)
     return joined.select("key", F.explode(F.aggregate("times", start, accept)["kept"]).alias("ts"))
@@ -227,9 +281,12 @@ def _accepted(arrivals: DataFrame, ttl_ms: int, *keep: str) -> DataFrame:
 
 
 def _rows_of(rows: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """The whole rows of some arrivals: the one wide shuffle, by row number."""
+    """The whole rows of some arrivals: the one wide shuffle, by row number.
+
+    What follows (hashes, texts, URLs) costs by the row, so the tasks keep their number.
+    """
     numbers = arrivals.select(F.col("order.row_no").alias("row_no"))
-    return rows.join(numbers, "row_no", "left_semi").select("row.*")
+    return even(rows, "row_no").join(even(numbers, "row_no"), "row_no", "left_semi").select("row.*")
 
 
 def dedup_ttl(

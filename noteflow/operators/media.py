@@ -39,7 +39,11 @@ def nsfw_url_records(notes: DataFrame, scorer, patterns: Sequence[str] = ()) ->
     ``notes`` are unique by id, arrival and relay. Each distinct URL is scored once. The narrow
     occurrences are written, so that the texts are read and searched once.
     """
-    occurrences = cut_lineage(media_occurrences(notes, patterns), "occurrences")
+    return occurrence_records(cut_lineage(media_occurrences(notes, patterns), "occurrences"), scorer)
+
+
+def occurrence_records(occurrences: DataFrame, scorer) -> DataFrame:
+    """The same from the written rows of ``media_occurrences``."""
     scored = score_once(occurrences, "url", scorer, ["id", "arrival_ts"])
     flags = rules.nsfw_url_flags(
         F.col("response.data.neutral"), F.col("has_content_warning"), F.col("has_nsfw_hashtag")

@@ -294,8 +294,10 @@ def score_stage(spark, sf):
     )
 
 
-def nsfw_scorer(notes: DataFrame) -> TableScorer:
-    return TableScorer(views.nsfw_scores(media.media_occurrences(notes)))
+def _occurrences(spark, sf) -> tuple[DataFrame, TableScorer]:
+    """Media URLs of all notes, written once, and the table of their scores."""
+    found = staging.cut_lineage(media.media_occurrences(views.notes(spark, sf)), "occurrences")
+    return found, TableScorer(views.nsfw_scores(found))
 
 
 def _staged_notes(spark, sf) -> DataFrame:
@@ -304,18 +306,15 @@ def _staged_notes(spark, sf) -> DataFrame:
 
 @query
 def nsfw_url_records(spark, sf):
-    notes = _staged_notes(spark, sf)
-    return media.nsfw_url_records(notes, nsfw_scorer(notes)).select(
+    return media.occurrence_records(*_occurrences(spark, sf)).select(
         "id", "relay", records.nsfw_payload(F.col("records")).alias("records")
     )
 
 
 @query
 def nsfw_url_flags(spark, sf):
-    notes = _staged_notes(spark, sf)
-    scored = media.score_once(
-        media.media_occurrences(notes), "url", nsfw_scorer(notes), ["id", "arrival_ts"]
-    )
+    occurrences, scorer = _occurrences(spark, sf)
+    scored = media.score_once(occurrences, "url", scorer, ["id", "arrival_ts"])
     flags = rules.nsfw_url_flags(
         F.col("response.data.neutral"), F.col("has_content_warning"), F.col("has_nsfw_hashtag")
     )
@@ -327,8 +326,7 @@ def nsfw_url_flags(spark, sf):
 
 @query
 def nsfw_note_flag(spark, sf):
-    notes = _staged_notes(spark, sf)
-    return media.nsfw_url_records(notes, nsfw_scorer(notes)).select(
+    return media.occurrence_records(*_occurrences(spark, sf)).select(
         "id", "relay", "probably_nsfw", "responsible_nsfw",
         F.size("records").cast("bigint").alias("n_scored"),
     )

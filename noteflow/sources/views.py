@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from noteflow.functions.jsonio import event_id
 from noteflow.schema import NSFW_RESPONSE
+from noteflow.staging import even
 
 POSTS = """
 SELECT doc_id, CASE doc_id % 8
@@ -76,7 +77,8 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .replace("{EPOCH}", "unix_timestamp(a.first_ts)")
         .replace("{TAGS}", "array<array<string>>")
     )
-    whole = spark.sql(query, drafts=drafts, posts=posts(spark, sf_dir))
+    # Texts are joined and hashed by as many tasks as there are shuffle partitions.
+    whole = spark.sql(query, drafts=even(drafts, "doc_id"), posts=even(posts(spark, sf_dir), "doc_id"))
     fields = ("pubkey", "created_at", "kind", "tags", "content")
     return whole.withColumn("id", event_id(*[F.col(c) for c in fields])).select(
         "id",

@@ -12,7 +12,6 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-WRITERS_CONF = "spark.sql.maxConcurrentOutputFileWriters"
 _written: list[str] = []  # outside of any scope
 _scopes = threading.local()
 
@@ -47,16 +46,19 @@ def cut_lineage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    # A writer per partition value, of which there are few, instead of a sort of whole rows.
-    before = spark.conf.get(WRITERS_CONF, "0")
-    spark.conf.set(WRITERS_CONF, "8" if partition_by else before)
-    try:
-        df.write.partitionBy(*partition_by).parquet(path)
-    finally:
-        spark.conf.set(WRITERS_CONF, before)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def even(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt by ``by`` to as many tasks as the session has shuffle partitions.
+
+    Adaptive execution merges small shuffles, which is wrong before a projection that costs far more
+    than the bytes it reads; a stated number it leaves alone. Joins on ``by`` shuffle no more.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 @contextmanager
 def scope(spark: SparkSession):
     """Delete at the end what this thread staged inside, e.g. for one micro-batch."""

@@ -260,3 +260,31 @@ def test_watermark_form_is_for_streams(spark, tmp_path):
     )
     job.awaitTermination()
     assert spark.table("cheap").count() == 2
+
+
+def test_one_id_over_many_adjacent_chunks(spark):
+    """100,000 chunks that reach one another: passed through in order, in a few tasks."""
+    ttl, chunk = 1_000, 1_000
+    times = spark.range(100_000).selectExpr("'a' AS key", "explode(array(id * 1000 + 3, id * 1000 + 600)) AS ts")
+    got = sorted(r.ts for r in dedup.accepted_times(times, ttl, chunk).collect())
+    want, last = [], None
+    for n in range(100_000):
+        for ts in (n * 1000 + 3, n * 1000 + 600):
+            if last is None or ts - last > ttl:
+                want.append(ts)
+                last = ts
+    assert got == want
+
+
+def test_chunks_that_reach_no_other_need_no_python(spark, monkeypatch):
+    """Entries of chunks without neighbours come from the plan: no tables are made for them."""
+    monkeypatch.setattr(dedup, "_steps", None)
+    monkeypatch.setattr(dedup, "_sorted_groups", None)
+    times = spark.range(3_000).selectExpr("concat('k', id) AS key", "explode(array(id % 40, id % 40 + 900, id % 40 + 1001)) AS ts")
+    got = {}
+    for r in dedup.accepted_times(times, 950, 1_000).collect():
+        got.setdefault(r.key, []).append(r.ts)
+    want = {}
+    for n in range(3_000):
+        want[f"k{n}"] = [n % 40, n % 40 + 1001]
+    assert {k: sorted(v) for k, v in got.items()} == want
