@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteflow.llm import exact_dedup, html_text, license_scan, mixing, ngram_join, packing, quality, sharding, token_counts, warc
+from noteflow.llm import exact_dedup, html_text, license_scan, line_dedup, mixing, ngram_join, packing, quality, sharding, token_counts, warc
 from noteflow.llm.common import table
 from noteflow.llm.labelled_pages import labelled_pages
 from noteflow.llm.tokenizer_files import tokenizer_file
@@ -209,3 +209,26 @@ FROM w LEFT JOIN a ON w.doc_id = a.doc_id
 
 
 ORACLE["op10_license_diagonals"] = _license_sql()
+
+
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1)
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE["op11_line_dedup"] = r"""
+WITH l AS (
+  SELECT d, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS n
+  FROM (SELECT row_number() OVER () AS d, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+k AS (
+  SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l),
+c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT d) >= 10),
+m AS (SELECT k.*, c.key IS NOT NULL AS gone FROM k LEFT JOIN c ON k.key = c.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY d
+"""

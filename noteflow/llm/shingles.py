@@ -50,17 +50,23 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0]:at[-1]], at - at[0]
 
 
-def _hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of a slice; A-Z counts as a-z."""
-    space = SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
-    start, end = edge[::2], edge[1::2]
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes, none of them empty; A-Z counts as a-z."""
+    if not len(start):
+        return np.empty(0, np.uint64)
     size = max(SLICE, 1 << int(len(data)).bit_length())
     power, inverse = _powers(size)
     with np.errstate(over="ignore"):
         total = np.cumsum(LETTERS[data] * power[:len(data)])
         before = np.where(start > 0, total[np.maximum(start, 1) - 1], np.uint64(0))
-        return start, mixed((total[end - 1] - before) * inverse[start])
+        return mixed((total[end - 1] - before) * inverse[start])
+
+
+def _hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of a slice; A-Z counts as a-z."""
+    space = SPACE[data]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
+    return edge[::2], span_hashes(data, edge[::2], edge[1::2])
 
 
 def word_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
