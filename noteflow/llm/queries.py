@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteflow.llm import exact_dedup, html_text, license_scan, line_dedup, mixing, ngram_join, packing, quality, sharding, token_counts, warc
+from noteflow.llm import exact_dedup, html_text, license_scan, line_dedup, merkle, mixing, ngram_join, packing, quality, sharding, token_counts, warc
 from noteflow.llm.common import table
 from noteflow.llm.labelled_pages import labelled_pages
 from noteflow.llm.tokenizer_files import tokenizer_file
@@ -232,3 +232,65 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone)
   sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY d
 """
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_leaves(table(spark, sf_dir, "documents"))
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, bit by bit."""
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)), "
+            "lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], "
+            "lambda c, z: xor(c >> 1, 3988292384::BIGINT * (c & 1)))), 4294967295)")
+
+
+def _merkle_sql(levels: int = 6, upper: int = 4) -> str:
+    """Trees of up to 16 to the power of ``levels`` rows and ``upper`` sources."""
+    def part(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(octet_length(encode({c}::VARCHAR)), ':', {c}) END"
+
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    head = " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    out = [f"""WITH t AS (
+  SELECT *, {head} AS head, CASE WHEN doc_id IS NOT NULL AND {crc32_sql("doc_id::VARCHAR")} % 5 = 0
+    THEN translate(text, {letters}) ELSE text END AS changed FROM documents),
+h AS (SELECT *, sha256(head || {part("text")}) AS leaf, sha256(head || {part("changed")}) AS tampered FROM t),
+r AS (SELECT source, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS s, n
+  FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)),
+n0 AS (
+  SELECT doc_id, leaf, tampered, s, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, n AS w,
+    leaf AS digest
+  FROM h JOIN r ON h.source IS NOT DISTINCT FROM r.source)"""]
+    climb = "SELECT doc_id, leaf, s, i, w, tampered AS fold, '' AS proof FROM n0"
+
+    def step(nodes: str, runs: str, climb: str, kept: str) -> str:
+        left, right = "array_to_string(c[1:i % 16], '')", "array_to_string(c[i % 16 + 2:], '')"
+        return f"""SELECT {kept}, i // 16 AS i, (w + 15) // 16 AS w,
+    CASE WHEN w > 1 THEN sha256({left} || fold || {right}) ELSE fold END AS fold,
+    CASE WHEN w > 1 THEN proof || {left} || {right} ELSE proof END AS proof
+  FROM ({climb}) x LEFT JOIN (SELECT s AS cs, j, c FROM {runs}) y ON x.s = cs AND x.i // 16 = j AND w > 1"""
+
+    def climbed(name: str, count: int, climb: str, kept: str) -> str:
+        for k in range(count):
+            nodes, runs = f"{name}{k}", f"{name}r{k}"
+            out.append(f"{runs} AS (SELECT s, i // 16 AS j, list(digest ORDER BY i) AS c, max(w) AS w FROM {nodes} WHERE w > 1 GROUP BY s, i // 16)")
+            out.append(f"{name}{k + 1} AS (SELECT s, j AS i, (w + 15) // 16 AS w, sha256(array_to_string(c, '')) AS digest FROM {runs} "
+                       f"UNION ALL SELECT s, i, w, digest FROM {nodes} WHERE w = 1)")
+            out.append(f"{name}c{k} AS ({step(nodes, runs, climb, kept)})")
+            climb = f"SELECT * FROM {name}c{k}"
+        return climb
+
+    below = climbed("n", levels, climb, "doc_id, leaf, s")
+    out.append(f"u0 AS (SELECT 0 AS s, s AS i, (SELECT count(*) FROM r) AS w, digest FROM n{levels})")
+    start = f"SELECT doc_id, leaf, s AS own, 0 AS s, s AS i, (SELECT count(*) FROM r) AS w, fold, proof FROM ({below}) b"
+    above = climbed("u", upper, start, "doc_id, leaf, own, s")
+    return ",\n".join(out) + f"""
+SELECT doc_id, leaf, n.digest AS subroot, u.digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root,
+  fold = u.digest AS verified
+FROM ({above}) x JOIN n{levels} n ON x.own = n.s JOIN u{upper} u ON u.i = 0
+"""
+
+
+ORACLE["op13_merkle_manifest"] = _merkle_sql()
