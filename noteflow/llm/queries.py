@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteflow.llm import exact_dedup, html_text, license_scan, line_dedup, merkle, mixing, ngram_join, packing, quality, sharding, token_counts, warc
+from noteflow.llm import exact_dedup, html_text, license_scan, line_dedup, merkle, mixing, ngram_join, packing, prefix_trie, quality, sharding, token_counts, warc
 from noteflow.llm.common import table
 from noteflow.llm.labelled_pages import labelled_pages
 from noteflow.llm.tokenizer_files import tokenizer_file
@@ -234,11 +234,6 @@ FROM m GROUP BY d
 """
 
 
-@query
-def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.verified_leaves(table(spark, sf_dir, "documents"))
-
-
 def crc32_sql(text: str) -> str:
     """The unsigned CRC-32 of an ASCII text, bit by bit."""
     return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)), "
@@ -246,6 +241,48 @@ def crc32_sql(text: str) -> str:
             "lambda c, z: xor(c >> 1, 3988292384::BIGINT * (c & 1)))), 4294967295)")
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return prefix_trie.prefix_nodes(prefix_trie.rebuilt(prefix_trie.ordered_turns(turns)))
+
+
+ORACLE["op12_prefix_trie"] = rf"""
+WITH o AS (
+  SELECT conv_id, turn, length(coalesce(text, '')) AS chars, substr(sha256(concat(octet_length(encode(coalesce(role, ''))), ':',
+    coalesce(role, ''), coalesce(text, ''))), 1, 32) AS tid FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list({{'t': tid, 'c': chars}} ORDER BY turn NULLS FIRST, tid) AS turns, conv_id - conv_id % 100 AS base,
+    {crc32_sql("conv_id::VARCHAR")} % 6 AS h
+  FROM o GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns
+  FROM c LEFT JOIN c b ON b.conv_id = c.base),
+s AS (SELECT conv_id, list_transform(turns, lambda t: t.t) AS tids, turns FROM r),
+p AS (SELECT conv_id, turns, tids, unnest(range(0, len(tids) + 1)) AS d FROM s),
+n AS (
+  SELECT array_to_string(tids[1:d], '') AS path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    any_value(tids[1:d]) AS tids, any_value(array_to_string(tids[1:d - 1], '')) AS parent, any_value(turns[d].c) AS chars,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = len(tids)), '')) AS ends
+  FROM p GROUP BY path, d),
+k AS (SELECT parent, count(*) AS n FROM n WHERE d > 0 GROUP BY parent),
+w AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children, (n_convs - 1) * coalesce(chars, 0) AS own
+  FROM n LEFT JOIN k ON k.parent = n.path),
+a AS (SELECT array_to_string(tids[1:e], '') AS path, n_children, own
+  FROM (SELECT tids, n_children, own, unnest(range(0, d + 1)) AS e FROM w)),
+t AS (SELECT path, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved FROM a GROUP BY path)
+SELECT w.conv_id, w.d AS depth, q.conv_id AS parent_conv_id, w.n_convs, w.n_children, t.n_leaves,
+  CAST(t.saved AS BIGINT) AS saved_tokens, w.ends AS ends_sha256
+FROM w JOIN t ON t.path = w.path LEFT JOIN w q ON w.d > 0 AND q.path = w.parent
+"""
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_leaves(table(spark, sf_dir, "documents"))
+
+
 def _merkle_sql(levels: int = 6, upper: int = 4) -> str:
     """Trees of up to 16 to the power of ``levels`` rows and ``upper`` sources."""
     def part(c: str) -> str:
