@@ -256,7 +256,7 @@ def _stage(
         F.unix_millis(F.coalesce(F.col(ts), F.current_timestamp())).alias("ts"),
         F.struct(
             F.coalesce(relay, F.lit("")).alias("relay"),
-            F.xxhash64(*events.columns).alias("copy"),
+            F.xxhash64(*[c for c in events.columns if c != row_id]).alias("copy"),
             number.alias("row_no"),
         ).alias("order"),
         *[v.alias(name) for name, v in verdicts.items()],
@@ -272,14 +272,86 @@ def _stage(
     return written.drop("row"), rows
 
 
-def _accepted(arrivals: DataFrame, ttl_ms: int, *keep: str) -> DataFrame:
-    """Accepted arrivals as ``key, ts, order`` and ``keep``; only narrow columns are moved."""
+def _accepted(arrivals: DataFrame, ttl_ms: int, *keep: str, past: DataFrame | None = None) -> DataFrame:
+    """Accepted arrivals as ``key, ts, order`` and ``keep``; only narrow columns are moved.
+
+    ``past`` holds ``key, ts`` accepted before: no arrival within a ttl of them is.
+    """
     first = arrivals.groupBy("key", "ts").agg(F.min(F.struct("order", *keep)).alias("first"))
-    times = accepted_times(arrivals.select("key", "ts"), ttl_ms)
+    if past is None:
+        times = accepted_times(arrivals.select("key", "ts"), ttl_ms)
+    else:
+        first = cut_lineage(_unblocked(first, past, ttl_ms), "unblocked")
+        times = accepted_times(first.select("key", "ts"), ttl_ms)
     # Not a semi join: that would be moved below the aggregate, and copies would travel.
     return first.join(times, ["key", "ts"]).select("key", "ts", "first.*")
 
 
+def _unblocked(arrivals: DataFrame, past: DataFrame, ttl_ms: int) -> DataFrame:
+    """Arrivals further than a ttl from all ``past`` ones. Those lie more than a ttl apart, so a slot of
+    time holds one at most, and a hot id is spread over its slots."""
+    slot = lambda t: F.floor(t / (ttl_ms + 1))
+    near = past.select(F.col("key").alias("k"), F.col("ts").alias("t"), F.explode(F.array(
+        *[slot(F.col("ts")) + n for n in (-1, 0, 1)])).alias("near"))
+    return arrivals.join(near, (F.col("key") == F.col("k")) & (slot(F.col("ts")) == F.col("near"))
+                         & (F.abs(F.col("ts") - F.col("t")) <= ttl_ms), "left_anti")
+
+
+def _free(forged: DataFrame, blocking: DataFrame, ttl_ms: int) -> DataFrame:
+    """Forged arrivals that no accepted one (``key, ts, order``) before them blocks.
+
+    Accepted arrivals lie more than a ttl apart: at most one per slot of that width, and
+    only those of the same or the previous slot can block. One forged event may have very
+    many copies, so they are spread by salts, and the blocks go to the salts in use.
+    """
+    slot = lambda t: F.floor(t / ttl_ms)
+    forged = forged.withColumn("slot", slot(F.col("ts")))
+    wanted = forged.select("key", "slot", "salt").distinct()
+    blocks = (
+        blocking.select(
+            "key", F.col("ts").alias("b_ts"), F.col("order").alias("b_order"),
+            F.explode(F.array(slot(F.col("ts")), slot(F.col("ts")) + 1)).alias("slot"),
+        )
+        .join(wanted, ["key", "slot"])
+        .alias("b")
+    )
+    hit = (
+        (F.col("f.key") == F.col("b.key")) & (F.col("f.slot") == F.col("b.slot"))
+        & (F.col("f.salt") == F.col("b.salt")) & (F.col("ts") - F.col("b_ts") <= ttl_ms)
+        & (F.struct("b_ts", "b_order") < F.struct("ts", "order"))
+    )
+    return forged.alias("f").join(blocks, hit, "left_anti").drop("slot")
+
+
+def stage_arrivals(events: DataFrame, sig_ok: str | None = None, row_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(arrivals, rows) of the ingress: the arrivals also have the verdicts ``valid`` and ``forged``."""
+    valid = valid_structure()
+    return _stage(
+        with_arrival(events), "id", "arrival_ts", row_id,
+        valid=valid,
+        # The hash is only needed, hence only computed, for well-shaped events.
+        forged=F.when(valid, ~intact(sig_ok)).otherwise(False),
+        salt=F.pmod(F.spark_partition_id(), F.lit(SALTS)),
+    )
+
+
+def fold_arrivals(arrivals: DataFrame, ttl_ms: int, past: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(blocking, free) of staged arrivals: those accepted, written, also badly shaped ones, and the
+    forged ones that none of them blocks. ``past`` holds ``key, ts, order`` accepted before."""
+    honest = arrivals.filter(~F.col("forged"))
+    blocking = cut_lineage(_accepted(honest, ttl_ms, "valid", past=past), "blocking")
+    known = blocking.select("key", "ts", "order")
+    return blocking, _free(arrivals.filter("forged"), known if past is None else known.unionByName(past), ttl_ms)
+
+
+def outcomes(blocking: DataFrame, free: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole rows that pass and those that go to quarantine."""
+    parted = "forged" in rows.columns
+    honest_rows = rows.filter(~F.col("forged")) if parted else rows
+    forged_rows = rows.filter("forged") if parted else rows
+    return _rows_of(honest_rows, blocking.filter("valid")), _rows_of(forged_rows, free)
+
+
 def _rows_of(rows: DataFrame, arrivals: DataFrame) -> DataFrame:
     """The whole rows of some arrivals: the one wide shuffle, by row number.
 
@@ -326,38 +398,5 @@ def ingress_fold(
     A repeat is dropped before it is checked. A badly shaped event is dropped but blocks its
     id; a forged one goes to quarantine and does not block, so a good copy may follow.
     """
-    ttl_ms = ttl_s * 1000
-    valid = valid_structure()
-    arrivals, rows = _stage(
-        with_arrival(events), "id", "arrival_ts", row_id,
-        valid=valid,
-        # The hash is only needed, hence only computed, for well-shaped events.
-        forged=F.when(valid, ~intact(sig_ok)).otherwise(False),
-        salt=F.pmod(F.spark_partition_id(), F.lit(SALTS)),
-    )
-    blocking = cut_lineage(_accepted(arrivals.filter(~F.col("forged")), ttl_ms, "valid"), "blocking")
-
-    # Accepted arrivals lie more than a ttl apart: at most one per slot of that width, and
-    # only those of the same or the previous slot can block. One forged event may have very
-    # many copies, so they are spread by salts, and the blocks go to the salts in use.
-    slot = lambda t: F.floor(t / ttl_ms)
-    forged = arrivals.filter("forged").withColumn("slot", slot(F.col("ts")))
-    wanted = forged.select("key", "slot", "salt").distinct()
-    blocks = (
-        blocking.select(
-            "key", F.col("ts").alias("b_ts"), F.col("order").alias("b_order"),
-            F.explode(F.array(slot(F.col("ts")), slot(F.col("ts")) + 1)).alias("slot"),
-        )
-        .join(wanted, ["key", "slot"])
-        .alias("b")
-    )
-    hit = (
-        (F.col("f.key") == F.col("b.key")) & (F.col("f.slot") == F.col("b.slot"))
-        & (F.col("f.salt") == F.col("b.salt")) & (F.col("ts") - F.col("b_ts") <= ttl_ms)
-        & (F.struct("b_ts", "b_order") < F.struct("ts", "order"))
-    )
-    free = forged.alias("f").join(blocks, hit, "left_anti")
-
-    honest_rows = rows if row_id else rows.filter(~F.col("forged"))
-    forged_rows = rows if row_id else rows.filter("forged")
-    return _rows_of(honest_rows, blocking.filter("valid")), _rows_of(forged_rows, free)
+    arrivals, rows = stage_arrivals(events, sig_ok, row_id)
+    return outcomes(*fold_arrivals(arrivals, ttl_s * 1000), rows)

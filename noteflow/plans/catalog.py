@@ -21,6 +21,7 @@ from noteflow.staging import new_path
 from noteflow.session import state_partitions
 from noteflow.sources import events as sources
 from noteflow.sources import views
+from noteflow.streaming import fold_state
 from noteflow.streaming import run as streams
 from noteflow.streaming import sinks
 
@@ -527,6 +528,65 @@ def dedup_ttl_stream(spark, sf):
     return spark.read.parquet(out).select("id", "relay", content_md5(), millis())
 
 
+def _ingress_columns(found: DataFrame) -> DataFrame:
+    return found.select("outcome", "id", "relay", content_md5(), millis())
+
+
+def _in_files(spark, rows: DataFrame, part: Column, parts: int) -> DataFrame:
+    """A stream over JSON files, one for each part of the rows and a micro-batch for each file."""
+    folder = new_path(spark, "arrivals")
+    staged = staging.cut_lineage(rows, "notes")
+    for n in range(parts):
+        staged.filter(part == n).coalesce(1).write.mode("append").json(
+            folder, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    return sources.stream_events(spark, folder, kinds=None, max_files_per_trigger=1)
+
+
+def _third(rows: DataFrame) -> Column:
+    """0, 1 or 2 by arrival time."""
+    first, last = rows.agg(F.unix_millis(F.min("arrival_ts")), F.unix_millis(F.max("arrival_ts"))).first()
+    return F.least(F.lit(2), F.floor((F.unix_millis("arrival_ts") - first) * 3 / max(1, last - first)))
+
+
+@query
+def ingress_fold_stream(spark, sf):
+    """Repeats and checks over three micro-batches in time order, narrow columns folded against state."""
+    out, notes = new_path(spark, "ingress"), views.notes(spark, sf)
+    streams.ingress_stream(
+        _in_files(spark, notes, _third(notes), 3), new_path(spark, "state"), [sinks.file_target(out)], available_now=True,
+    ).awaitTermination()
+    return _ingress_columns(spark.read.parquet(os.path.join(out, "ingress")))
+
+
+@query
+def ingress_hand_over(spark, sf):
+    """A batch over the first third of the arrivals, a stream from its state over the others."""
+    out, state, notes = new_path(spark, "ingress"), new_path(spark, "state"), staging.cut_lineage(views.notes(spark, sf), "notes")
+    part = _third(notes)
+    store = fold_state.FoldStore(spark, streams.state_folder(state))
+    good, bad = fold_state.hand_over(notes.filter(part == 0), store)
+    streams.ingress_stream(
+        _in_files(spark, notes.filter(part > 0), part - 1, 2), state, [sinks.file_target(out)], available_now=True,
+    ).awaitTermination()
+    before = good.withColumn("outcome", F.lit("pass")).unionByName(bad.withColumn("outcome", F.lit("quarantine")))
+    after = spark.read.parquet(os.path.join(out, "ingress"))
+    return _ingress_columns(before).unionByName(_ingress_columns(after))
+
+
+@query
+def ingress_late_arrivals(spark, sf):
+    """Arrivals in any order: the changelog of three micro-batches, summed up."""
+    out, notes = new_path(spark, "ingress"), views.notes(spark, sf)
+    anywhere = F.pmod(F.xxhash64("id", "relay", "arrival_ts"), F.lit(3))
+    streams.ingress_stream(
+        _in_files(spark, notes, anywhere, 3), new_path(spark, "state"), [sinks.file_target(out)], changes=True,
+        available_now=True,
+    ).awaitTermination()
+    changes = spark.read.parquet(os.path.join(out, "ingress_changes"))
+    summed = changes.groupBy("outcome", "id", "relay", "content", "arrival_ts").agg(F.sum("op").alias("n"))
+    return _ingress_columns(summed.filter("n > 0").withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))))
+
+
 @query
 def notes_stream_end_to_end(spark, sf):
     """The same flow as a stream over JSON files: rows per output."""

@@ -475,3 +475,7 @@ on_notes("notes_stream_end_to_end", f"""SELECT CASE WHEN task IN {_late} THEN 'r
   UNION ALL SELECT 'others', id, md5({event_json(True)}) FROM fresh WHERE kind <> 1
   UNION ALL SELECT 'messages', topic, md5(value) FROM messages
   UNION ALL SELECT 'audit', bucket, md5(value) FROM audit""", FLOW)
+
+# However arrivals come, in whatever micro-batches, the outcome is that of one batch over all.
+for _name in ("ingress_fold_stream", "ingress_hand_over", "ingress_late_arrivals"):
+    ORACLE[_name] = ORACLE["ingress_fold"]
