@@ -4,7 +4,7 @@ If two sets are similar enough, then under *any* total order of shingles their p
 n - ceil(t n) + 1 elements) share one. Three orders are used: in all of them shingles that many
 documents hold come last, and among equally common ones each order has its own hash. How common a
 shingle is, is counted exactly over the whole corpus for those that can reach a prefix by their
-hash, and kept per cell of a table of fixed size. Candidates share a prefix shingle under the
+hash, and kept per cell of a table whose size follows from their number. Candidates share a prefix shingle under the
 first order (found by a shuffle), then under the second and the third; only those are verified.
 
 No large group of documents that share a shingle is expanded into its pairs. First each document
@@ -31,8 +31,13 @@ from noteflow.llm.components import components
 from noteflow.llm.shingles import mixed, sequence_key, shingle_hashes, word_slices
 from noteflow.staging import cut_lineage
 
-#: Cells of the tables that shingles are looked up in, by the last bits of their hashes.
-CELLS = 1 << 22
+#: Shingles in fewer prefixes count as equally rare. Cells of the tables that shingles are looked
+#: up in by the last bits of their hashes: a byte for each of how common they are, a bit for each of
+#: whether they are repeated. Beyond the most, which bounds what is broadcast, cells are shared more often: an
+#: order is still an order, and what is sent needlessly finds no partner.
+RARE = 4
+CLASS_CELLS, MOST_CLASS_CELLS = 8, 1 << 26
+MARK_CELLS, MOST_MARK_CELLS = 32, 1 << 31
 #: Bytes of sets that a task sends on at once, and documents of a block, on average.
 FLUSH_BYTES = 4 << 20
 BLOCK = 100
@@ -40,6 +45,7 @@ BLOCK = 100
 COLUMNS = 1 << 13
 #: Documents of a group of which the pairs are listed, at most.
 SMALL = 64
+SALTS = 64
 #: Shingles are counted in prefixes so many times as long: some give way to less common ones.
 WIDER = 1.5
 ORDERS = (0x632BE59BD9B4E019, 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB)
@@ -87,29 +93,47 @@ def _summaries(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {id_type}, n long, k1 long, k2 long")
 
 
-def _cells(shingles: np.ndarray) -> np.ndarray:
-    return (shingles % np.uint64(CELLS)).astype(np.int64)
+def _size(count: int, each: int, most: int) -> int:
+    return min(most, max(1 << 16, 1 << (each * count).bit_length()))
 
 
-def _table(cells: DataFrame, dtype) -> np.ndarray:
-    """``m, v`` as an array over all cells; what comes to the driver is bounded by their number."""
-    found = cells.toArrow()
-    out = np.zeros(CELLS, dtype)
+def _classes(common: DataFrame) -> np.ndarray:
+    """The class of every cell: the logarithm of the largest count of its shingles (``t, c``)."""
+    cells = _size(common.count(), CLASS_CELLS, MOST_CLASS_CELLS)
+    found = common.groupBy(F.pmod("t", F.lit(cells)).cast("int").alias("m")).agg(
+        F.floor(F.log2(F.max("c"))).cast("tinyint").alias("v")).toArrow()
+    out = np.zeros(cells, np.uint8)
     out[found["m"].to_numpy()] = found["v"].to_numpy()
     return out
 
 
-def _order_keys(shingles: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
-    """Sort keys under a global order: the class of the count, then a hash."""
-    common = classes[_cells(shingles)].astype(np.uint64)
-    return (common << np.uint64(58)) | (mixed(shingles ^ np.uint64(ORDERS[order])) >> np.uint64(6))
+def _marks(repeated: DataFrame) -> np.ndarray:
+    """A bit for every cell: whether a repeated shingle (``t``) falls on it."""
+    cells = _size(repeated.count(), MARK_CELLS, MOST_MARK_CELLS)
+    found = repeated.select(F.pmod("t", F.lit(cells)).cast("int").alias("m")).distinct().toArrow()["m"].to_numpy()
+    out = np.zeros(cells // 8, np.uint8)
+    np.bitwise_or.at(out, found >> 3, np.left_shift(1, found & 7).astype(np.uint8))
+    return out
+
+
+def _marked(marks: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    at = shingles & np.uint64(8 * len(marks) - 1)
+    return (marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _order_keys(shingles: np.ndarray, classes: np.ndarray | None, order: int) -> np.ndarray:
+    """Sort keys under a global order: the class of the count, if known, then a hash."""
+    keys = mixed(shingles ^ np.uint64(ORDERS[order])) >> np.uint64(6)
+    if classes is None:
+        return keys
+    return (classes[(shingles & np.uint64(len(classes) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | keys
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _prefix(shingles: np.ndarray, classes: np.ndarray, order: int, percent: int, times: float = 1.0) -> np.ndarray:
+def _prefix(shingles: np.ndarray, classes: np.ndarray | None, order: int, percent: int, times: float = 1.0) -> np.ndarray:
     size = int(prefix_length(len(shingles), percent) * times)
     keys = _order_keys(shingles, classes, order)
     if size < len(shingles):
@@ -118,18 +142,15 @@ def _prefix(shingles: np.ndarray, classes: np.ndarray, order: int, percent: int,
     return shingles[np.argsort(keys)]
 
 
-def _tokens(docs: DataFrame, k: int, percent: int, classes, times: float = 1.0) -> DataFrame:
-    """``token`` for each shingle in the prefix of each document under the first order, or in one
-    ``times`` as long. Without ``classes`` all shingles are equally common."""
+def _wide_tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``token`` for each shingle in a prefix ``WIDER`` than needed, where all are equally common."""
     schema = pa.schema([("token", pa.int64())])
 
     def run(batches):
-        alike = np.zeros(CELLS if classes is None else 0, np.uint8)
         tokens, held = [], 0
         for _, _, words, shingles in _read(batches, k):
             if len(words):
-                common = alike if classes is None else classes.value
-                tokens.append(_prefix(shingles, common, 0, percent, times).astype(np.int64))
+                tokens.append(_prefix(shingles, None, 0, percent, WIDER).astype(np.int64))
                 held += len(tokens[-1])
             if held > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens))], schema=schema)
@@ -140,37 +161,72 @@ def _tokens(docs: DataFrame, k: int, percent: int, classes, times: float = 1.0)
     return docs.mapInArrow(run, "token long")
 
 
-def _postings(docs: DataFrame, k: int, percent: int, classes, marked) -> DataFrame:
-    """``id, token, n, r`` of those prefix shingles whose mark is set, ``r`` being the place in
-    the order."""
+def _prefixes(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
+    """``id, n, tokens`` of every document with words: the prefix of its set under the first order."""
     id_type = docs.schema["id"].dataType.simpleString()
-    schema = pa.schema([("id", _arrow_type(docs, "id")), ("token", pa.int64()), ("n", pa.int32()), ("r", pa.int32())])
+    schema = pa.schema([("id", _arrow_type(docs, "id")), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 
-    def flush(ids, *columns):
-        return _flush(schema, ids, [pa.array(np.concatenate(c)) for c in columns])
+    def flush(ids, sizes, tokens):
+        ends = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens)))
+        return _flush(schema, ids, [sizes, lists])
 
     def run(batches):
-        ids, tokens, sizes, places, held = [], [], [], [], 0
+        ids, sizes, tokens, held = [], [], [], 0
         for column, row, words, shingles in _read(batches, k):
             if not len(words):
                 continue
-            prefix = _prefix(shingles, classes.value, 0, percent)
-            place = np.flatnonzero(marked.value[_cells(prefix)]).astype(np.int32)
-            if not len(place):
-                continue
-            prefix = prefix[place]
-            ids.append(column.take(pa.array(np.full(len(prefix), row))))
-            tokens.append(prefix.astype(np.int64))
-            sizes.append(np.full(len(prefix), len(shingles), np.int32))
-            places.append(place)
-            held += len(prefix)
+            ids.append(column.slice(row, 1))
+            sizes.append(len(shingles))
+            tokens.append(_prefix(shingles, classes.value, 0, percent).astype(np.int64))
+            held += len(tokens[-1])
             if held > 100_000:
-                yield flush(ids, tokens, sizes, places)
-                ids, tokens, sizes, places, held = [], [], [], [], 0
+                yield flush(ids, sizes, tokens)
+                ids, sizes, tokens, held = [], [], [], 0
         if held:
-            yield flush(ids, tokens, sizes, places)
+            yield flush(ids, sizes, tokens)
+
+    return docs.mapInArrow(run, f"id {id_type}, n int, tokens array<long>")
+
 
-    return docs.mapInArrow(run, f"id {id_type}, token long, n int, r int")
+def _postings(prefixes: DataFrame, marks) -> DataFrame:
+    """``id, token, n, r`` of those prefix shingles whose mark is set, ``r`` being the place in
+    the order."""
+    id_type = prefixes.schema["id"].dataType.simpleString()
+    schema = pa.schema([("id", _arrow_type(prefixes, "id")), ("token", pa.int64()), ("n", pa.int32()), ("r", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            ends = lists.offsets.to_numpy()
+            tokens = lists.values.to_numpy()[ends[0]:ends[-1]]
+            counts = np.diff(ends)
+            good = np.flatnonzero(_marked(marks.value, tokens.view(np.uint64)))
+            row = np.repeat(np.arange(len(counts)), counts)[good]
+            places = (np.arange(len(tokens)) - np.repeat(ends[:-1] - ends[0], counts))[good]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)).cast(schema[0].type), pa.array(tokens[good]),
+                 batch.column(1).take(pa.array(row)), pa.array(places, pa.int32())], schema=schema)
+
+    return prefixes.mapInArrow(run, f"id {id_type}, token long, n int, r int")
+
+
+def _forest(a: np.ndarray, b: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smallest node reached) that join what the links (a, b) of ``count`` nodes join.
+
+    At most one less than the nodes, however many links there are.
+    """
+    label = np.arange(count)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        np.minimum.at(least, b, label[a])
+        least = least[least]
+        if np.array_equal(least, label):
+            break
+        label = least
+    node = np.flatnonzero(label != np.arange(count))
+    return node, label[node]
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -208,7 +264,7 @@ def _can_link(na: Column, ra: Column, nb: Column, rb: Column, percent: int) -> C
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, classes, name: str) -> DataFrame:
-    """The pairs (a, b) that are links, written. ``f`` names the family of a pair.
+    """Links (a, b), written, that join what the pairs that are similar join. ``f`` names the family of a pair.
 
     A family may be large, and its pairs many more than its documents. Its documents are dealt to
     blocks of ``BLOCK`` on average; a pair belongs to the cell of its two blocks, and a document's
@@ -237,7 +293,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, classes,
         first = {w: [_prefix(x, classes.value, order, percent) for order in (1, 2)] for w, x in body.items()}
         keep = [similar(body[a], body[b], list(zip(first[a], first[b], strict=True)))
                 for a, b in zip(pair["a"], pair["b"], strict=True)]
-        return pair.loc[np.array(keep, bool), ["a", "b"]]
+        good = pair.loc[np.array(keep, bool), ["a", "b"]]
+        codes, names = pd.factorize(pd.concat([good["a"], good["b"]]), sort=True)
+        node, root = _forest(codes[:len(good)], codes[len(good):], len(names))
+        names = np.asarray(names)
+        return pd.DataFrame({"a": names[node], "b": names[root]})
 
     key = ["f", "lo", "hi"]
     links = cells.groupBy(*key).cogroup(sets.groupBy(*key)).applyInPandas(run, f"a {id_type}, b {id_type}")
@@ -262,7 +322,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _compared(nodes: DataFrame, docs: DataFrame, k: int, percent: int, classes, name: str) -> DataFrame:
-    """Links (a, b) among ``nodes`` (``w, f``) of the same family ``f``, written.
+    """Links (a, b), written, that join what the links among ``nodes`` (``w, f``) of one family ``f`` join.
 
     A family of m documents has m/``BLOCK`` blocks, and each document's set is sent once for each
     of them: to the cells of its own block with every block. In a cell, pairs must share a prefix
@@ -286,8 +346,8 @@ def _compared(nodes: DataFrame, docs: DataFrame, k: int, percent: int, classes,
             may &= _common([_prefix(x, classes.value, order, percent) for x in body]) > 0
         common = _common(body)
         total = size[:, None] + size[None, :] - common
-        a, b = np.nonzero(may & (100 * common >= percent * total))
-        return pd.DataFrame({"a": cell["id"].to_numpy()[a], "b": cell["id"].to_numpy()[b]})
+        node, root = _forest(*np.nonzero(may & (100 * common >= percent * total)), len(body))
+        return pd.DataFrame({"a": cell["id"].to_numpy()[node], "b": cell["id"].to_numpy()[root]})
 
     links = sets.groupBy("f", "lo", "hi").applyInPandas(run, f"a {id_type}, b {id_type}")
     return cut_lineage(links, name)
@@ -365,24 +425,28 @@ def _groups(narrow: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFra
     readable = narrow.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     single = narrow_join(readable, copies.select(F.col("a").alias("w")).distinct(), F.col("id") == F.col("w"), "left_anti")
 
-    def repeated(tokens: DataFrame, name: str) -> DataFrame:
-        counts = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    def repeated(tokens: DataFrame, least: int, name: str) -> DataFrame:
+        counts = tokens.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= least)
         return cut_lineage(counts.select(F.col("token").alias("t"), "c"), name)
 
     # How common shingles are: one table of classes, a byte per cell, orders them.
-    cell = F.pmod(F.col("t"), F.lit(CELLS)).cast("int").alias("m")
-    common = repeated(_tokens(single, k, percent, None, WIDER), "common-shingles")
-    classes = _table(common.groupBy(cell).agg(F.floor(F.log2(F.max("c"))).cast("tinyint").alias("v")), np.uint8)
-    classes = spark.sparkContext.broadcast(classes)
-
-    # Which prefix shingles several documents have. Marks of their cells then keep most others
-    # from being sent with their documents.
-    again = repeated(_tokens(single, k, percent, classes), "repeated-shingles")
-    marked = spark.sparkContext.broadcast(_table(again.select(cell, F.lit(True).alias("v")).distinct(), bool))
-    posts = _postings(single, k, percent, classes, marked)
-    shared = cut_lineage(posts.join(again.hint("merge"), F.col("token") == F.col("t")).select("token", "id", "n", "r"), "shared-postings")
-    heads = shared.groupBy("token").agg(F.min(F.struct("id", "n", "r")).alias("head"))
-    headed = shared.join(heads.withColumnRenamed("token", "t").hint("merge"), F.col("token") == F.col("t"))
+    common = repeated(_wide_tokens(single, k, percent), RARE, "common-shingles")
+    classes = spark.sparkContext.broadcast(_classes(common))
+
+    # Which prefix shingles several documents have. Marks of their cells keep most others from
+    # being sent; those that are sent all the same find no partner.
+    prefixes = cut_lineage(_prefixes(single, k, percent, classes), "prefixes")
+    again = repeated(prefixes.select(F.explode("tokens").alias("token")), 2, "repeated-shingles")
+    marks = spark.sparkContext.broadcast(_marks(again))
+    shared = cut_lineage(_postings(prefixes, marks), "shared-postings")
+    heads = shared.groupBy("token").agg(F.min(F.struct("id", "n", "r")).alias("head"), F.count("*").alias("c")).where("c > 1")
+    # A shingle that very many documents have is split; its head goes to the salts in use.
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    salted = shared.withColumn("salt", salt)
+    spread = salted.select(F.col("token").alias("u"), "salt").distinct()
+    heads = heads.join(spread, F.col("token") == F.col("u")).select(
+        F.col("token").alias("t"), F.col("salt").alias("s"), "head")
+    headed = salted.join(heads, (F.col("token") == F.col("t")) & (F.col("salt") == F.col("s")))
     star = headed.where((F.col("id") != F.col("head.id")) & _can_link(F.col("n"), F.col("r"), F.col("head.n"), F.col("head.r"), percent))
     star = cut_lineage(star.select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct(), "star-pairs")
     star = star.withColumn("f", F.col("b"))
@@ -395,7 +459,7 @@ def _groups(narrow: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFra
     several = labelled.groupBy("token").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c")).where("low <> high")
     several = cut_lineage(several.select(F.col("token").alias("t"), "c"), "open-groups")
-    small = labelled.join(several.where(F.col("c") <= SMALL).hint("merge"), F.col("token") == F.col("t"), "left_semi")
+    small = labelled.join(several.where(F.col("c") <= SMALL), F.col("token") == F.col("t"), "left_semi")
     small = cut_lineage(small, "small-groups")
     left = small.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), F.col("label").alias("la"))
     right = small.select(F.col("token").alias("t"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"),
@@ -412,12 +476,12 @@ def _groups(narrow: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFra
     # Of two sets that are similar, the smaller one has the shingle at an early place: common
     # passages of long texts come late and make no family.
     early = _can_link(F.col("n"), F.col("r"), F.col("n"), F.col("r"), percent)
-    large = labelled.join(several.where(F.col("c") > SMALL).select(F.col("t").alias("s")).hint("merge"),
+    large = labelled.join(several.where(F.col("c") > SMALL).select(F.col("t").alias("s")),
                           F.col("token") == F.col("s"), "left_semi")
     large = cut_lineage(large.withColumn("early", early), "large-groups")
     bounds = large.where("early").groupBy(F.col("token").alias("t")).agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min("id").alias("first"))
-    large = large.join(bounds.hint("merge"), F.col("token") == F.col("t")).where(
+    large = large.join(bounds, F.col("token") == F.col("t")).where(
         F.col("early") | (F.col("n") >= F.col("least")) & (percent * F.col("n") <= 100 * F.col("most")))
     large = cut_lineage(large.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "family-edges")
     if large.head(1):

@@ -118,3 +118,44 @@ def test_ids_with_several_texts(spark):
         kept = [rows[0], *rows[2:4], *rows[6:10]]
         one = [x for x in left if x[0] == "6"]
         assert len(one) == 1 and sorted(x for x in left if x[0] != "6") == sorted((str(i), str(t)) for i, t in kept)
+
+
+def test_forests_join_what_links_join():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for count, links in ((1, 0), (40, 30), (200, 4000), (300, 150)):
+        a, b = rng.integers(0, count, links), rng.integers(0, count, links)
+        node, root = ngram_join._forest(a, b, count)
+        assert len(node) < max(count, 1) and (root < node).all()
+        least = list(range(count))
+        for _ in range(count):
+            for x, y in zip(a, b):
+                least[x] = least[y] = min(least[x], least[y])
+        assert dict(zip(node.tolist(), root.tolist())) == {n: r for n, r in enumerate(least) if n != r}
+
+
+def test_a_large_family_of_near_copies(spark):
+    """Near copies of one text, many of them not similar enough to its smallest."""
+    rng = random.Random(9)
+    base = [f"w{n}" for n in range(80)]
+    texts = []
+    for n in range(1_500):
+        words = list(base)
+        for at in rng.sample(range(0, 80), n % 2 + 1):
+            words[at] = f"x{rng.randrange(10 ** 6)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(n, t, "s", 0) for n, t in enumerate(texts)], SCHEMA).repartition(8)
+    got = similar_components(docs, 4, 85).collect()
+    assert len(got) == 1_500
+    sizes = {}
+    for r in got:
+        sizes[r.component_id] = sizes.get(r.component_id, 0) + 1
+    sample = rng.sample(range(1_500), 150)
+    known = {r.doc_id: r.component_id for r in got}
+    sets = {n: shingles(texts[n], 4) for n in sample}
+    for a, b in itertools.combinations(sample, 2):
+        common = len(sets[a] & sets[b])
+        if 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+            assert known[a] == known[b]
+    assert max(sizes.values()) > 600
