@@ -7,7 +7,6 @@ itself: at most one sequence per group is partly filled for want of pieces.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import zlib
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteflow.llm.common import require
+from noteflow.llm.shingles import SLICE, SPACE, span_hashes, utf8
 from noteflow.staging import cut_lineage
 
 CAPACITY = 2048
@@ -29,9 +29,12 @@ END = 0
 #: Pieces that one task packs together, on average.
 GROUP_PIECES = 20_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Python splits words at these, tokenizers do not.
-SEPARATOR = re.compile(r"[\x1c-\x1f]")
+#: A number for each byte, by which words are hashed.
+CASED = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 CACHED_CHARS = 4_000_000
+CACHED_BYTES = 8_000_000
+#: Ids that a task sends on at once, about.
+HELD_IDS = 1 << 20
 #: Signs that are a unit of their own after letters; letters below ``LATIN_END`` are composed, and
 #: have one small form.
 SIGNS = frozenset(".,;:!?")
@@ -57,8 +60,10 @@ class WordEncoder:
     """Token ids of texts, by way of their distinct words and the distinct units of those.
 
     For tokenizers that never join characters across white space. New words are normalised and
-    cut by the tokenizer many at a time, and its model sees each unit once. What is known is kept
-    until ``CACHED_CHARS`` characters of words are held; then the store starts anew.
+    cut by the tokenizer many at a time, and its model sees each unit once. Words are found in the
+    bytes of many texts at once and looked up by their hashes; their bytes are then compared
+    with those of the words found. What is known is kept
+    until ``CACHED_BYTES`` bytes of words are held; then the store starts anew.
     """
 
     def __init__(self, path: str):
@@ -70,11 +75,12 @@ class WordEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.slots: dict[str, int] = {}
         self.units: dict[str, tuple[int, ...]] = {}
         self.at = self.size = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
-        self.chars = 0
+        # Sorted hashes of words and the slots they stand for; the bytes of the word in each slot.
+        self.hashes, self.slot = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.spelled, self.spelled_at = np.empty(0, np.uint8), np.zeros(1, np.int64)
 
     def _unit(self, unit: str) -> tuple[int, ...]:
         ids = self.units.get(unit)
@@ -119,48 +125,90 @@ class WordEncoder:
                 out[n] = ids
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        found = [ids for low in range(0, len(new), 2000) for ids in self._encode_words(new[low:low + 2000])]
-        self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new)), strict=True))
+    def _encode_many(self, words: list[str]) -> list[Sequence[int]]:
+        return [ids for low in range(0, len(words), 2000) for ids in self._encode_words(words[low:low + 2000])]
+
+    def _learn(self, new: list[bytes], hashes: np.ndarray) -> None:
+        """Add words by their hashes, which ascend and are not known yet."""
+        found = self._encode_many([w.decode() for w in new])
+        slots = np.arange(len(self.size), len(self.size) + len(new))
+        places = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.slot = np.insert(self.hashes, places, hashes), np.insert(self.slot, places, slots)
         self.ids = np.concatenate([self.ids, np.array(list(chain.from_iterable(found)), np.uint32)])
         self.size = np.concatenate([self.size, np.fromiter(map(len, found), np.int64, len(found))])
         self.at = np.cumsum(self.size) - self.size
-        self.chars += sum(map(len, new))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. Millions of small objects and no cycles are made here: the search
-        for cycles waits."""
-        if not texts:
-            return []
-        searching = gc.isenabled()
-        gc.disable()
-        try:
-            return self._encode(texts)
-        finally:
-            if searching:
-                gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        # White space of any kind ends words here, and separators that are none to the tokenizer don't.
-        split = [WORD.findall(t) if SEPARATOR.search(t) else t.split() for t in texts]
-        if self.chars > CACHED_CHARS:
-            self._reset()
-        every = list(chain.from_iterable(split))
-        slots = list(map(self.slots.get, every))
-        if None in slots:
-            unknown = [at for at, slot in enumerate(slots) if slot is None]
-            self._learn(list(dict.fromkeys(every[at] for at in unknown)))
-            for at in unknown:
-                slots[at] = self.slots[every[at]]
-        slots = np.array(slots, np.int64)
+        self.spelled = np.concatenate([self.spelled, np.frombuffer(b"".join(new), np.uint8)])
+        ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new))) + self.spelled_at[-1]
+        self.spelled_at = np.concatenate([self.spelled_at, ends])
+
+    def _known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slots of hashes, which of them are known)."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.slot[at], self.hashes[at] == hashes
+
+    def _encode_bytes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts of the words of some bytes, their ids in a row, where the ids of each word end)."""
+        space = SPACE[data]
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
+        start, end = edge[::2], edge[1::2]
+        hashes, again = np.unique(span_hashes(data, start, end, CASED), return_inverse=True)
+        slots, known = self._known(hashes)
+        if not known.all():
+            first = np.empty(len(hashes), np.int64)
+            first[again[::-1]] = np.arange(len(start))[::-1]
+            new = np.flatnonzero(~known)
+            self._learn([data[start[n]:end[n]].tobytes() for n in first[new]], hashes[new])
+            slots, _ = self._known(hashes)
+        slots, lengths = slots[again], end - start
+        low = self.spelled_at[slots]
+        same = np.array_equal(self.spelled_at[slots + 1] - low, lengths)
+        if same:
+            before = np.cumsum(lengths) - lengths
+            same = np.array_equal(self.spelled[np.arange(lengths.sum()) + np.repeat(low - before, lengths)], data[~space])
+        if not same:  # different words share a hash
+            words = [data[x:y].tobytes().decode() for x, y in zip(start, end)]
+            distinct = list(dict.fromkeys(words))
+            ids = dict(zip(distinct, self._encode_many(distinct), strict=True))
+            found = [ids[w] for w in words]
+            return start, np.array(list(chain.from_iterable(found)), np.uint32), np.cumsum([len(x) for x in found])
         sizes = self.size[slots]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        places = np.arange(total) + np.repeat(self.at[slots] - (ends - sizes), sizes)
-        ids = self.ids[places]
-        words = np.cumsum([len(x) for x in split])
-        cuts = np.concatenate(([0], ends))[words]
-        return np.split(ids, cuts[:-1])
+        return start, self.ids[np.arange(total) + np.repeat(self.at[slots] - (ends - sizes), sizes)], ends
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        return list(self.encode_column(pa.array(texts, pa.string())))
+
+    def encode_column(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column, null being empty; memory is bounded by ``SLICE`` and by one text's ids."""
+        data, at = utf8(column)
+        row, rows = 0, len(column)
+        while row < rows:
+            if len(self.spelled) > CACHED_BYTES:
+                self._reset()
+            last = max(row + 1, int(np.searchsorted(at, at[row] + SLICE, "right")) - 1)
+            low, high = int(at[row]), int(at[last])
+            if high - low <= SLICE:
+                lengths = np.diff(at[row:last + 1])
+                apart = np.full(high - low + last - row, 0x20, np.uint8)
+                apart[np.arange(high - low) + np.repeat(np.arange(last - row), lengths)] = data[low:high]
+                start, ids, ends = self._encode_bytes(apart)
+                words = np.searchsorted(start, np.cumsum(lengths + 1))
+                yield from np.split(ids, np.concatenate(([0], ends))[words][:-1])
+            else:
+                found = []
+                while low < high:
+                    cut = min(low + SLICE, high)
+                    while cut < high and not SPACE[data[cut]]:
+                        near = np.flatnonzero(SPACE[data[cut:cut + SLICE]])
+                        cut = cut + int(near[0]) if len(near) else min(cut + SLICE, high)
+                    found.append(self._encode_bytes(data[low:cut])[1])
+                    low = cut
+                yield np.concatenate(found)
+            row = last
 
 
 @lru_cache(maxsize=2)
@@ -198,20 +246,21 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = 0
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            for low, high in _runs(texts):
-                rows, out = [], []
-                for at, ids in enumerate(encoder(path).encode(texts[low:high]), low):
-                    ids = np.append(ids, np.uint32(END)).astype("<u4")
-                    for number, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start:start + capacity]
-                        rows.append(at)
-                        out.append((number, start, len(part), zlib.crc32(part.tobytes()), salt,
-                                    *([part.astype(np.int32)] * keep_ids)))
-                        salt += 1
-                columns = [batch.column(0).take(pa.array(rows)).cast(schema[0].type)]
-                columns += [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            rows, out, held = [], [], 0
+            for at, ids in enumerate(encoder(path).encode_column(batch.column(1))):
+                ids = np.append(ids, np.uint32(END)).astype("<u4")
+                for number, start in enumerate(range(0, len(ids), capacity)):
+                    part = ids[start:start + capacity]
+                    rows.append(at)
+                    out.append((number, start, len(part), zlib.crc32(part.tobytes()), salt,
+                                *([part.astype(np.int32)] * keep_ids)))
+                    salt += 1
+                held += len(ids)
+                if held > HELD_IDS or at == batch.num_rows - 1:
+                    columns = [batch.column(0).take(pa.array(rows)).cast(schema[0].type)]
+                    columns += [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    rows, out, held = [], [], 0
 
     return docs.select(id_col, text).mapInArrow(
         run, f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long, salt long"

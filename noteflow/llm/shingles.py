@@ -50,14 +50,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0]:at[-1]], at - at[0]
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of spans of bytes, none of them empty; A-Z counts as a-z."""
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, letters: np.ndarray = LETTERS) -> np.ndarray:
+    """Hashes of spans of bytes, none of them empty; with these ``letters`` A-Z counts as a-z."""
     if not len(start):
         return np.empty(0, np.uint64)
     size = max(SLICE, 1 << int(len(data)).bit_length())
     power, inverse = _powers(size)
     with np.errstate(over="ignore"):
-        total = np.cumsum(LETTERS[data] * power[:len(data)])
+        total = np.cumsum(letters[data] * power[:len(data)])
         before = np.where(start > 0, total[np.maximum(start, 1) - 1], np.uint64(0))
         return mixed((total[end - 1] - before) * inverse[start])
 

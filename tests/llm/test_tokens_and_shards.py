@@ -85,7 +85,7 @@ def test_store_of_words_starts_anew(monkeypatch):
     rng = random.Random(1)
     texts = [" ".join("".join(rng.choices("abcdé", k=rng.randint(1, 9))) for _ in range(50)) for _ in range(40)]
     want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
-    monkeypatch.setattr(packing, "CACHED_CHARS", 500)
+    monkeypatch.setattr(packing, "CACHED_BYTES", 500)
     encoder = packing.WordEncoder(PATH)
     assert [x.tolist() for t in texts for x in encoder.encode([t])] == want
     assert [x.tolist() for x in encoder.encode(texts)] == want and encoder.encode([]) == []
@@ -159,3 +159,19 @@ def test_same_id_same_slot(spark):
     a = {r.doc_id: r.s for r in ids.select("doc_id", sharding.slot_of(F.col("doc_id")).alias("s")).collect()}
     b = {r.doc_id: r.s for r in ids.repartition(7).select("doc_id", sharding.slot_of(F.col("doc_id")).alias("s")).collect()}
     assert a == b and len(set(a.values())) > 400
+
+
+def test_words_that_share_a_hash_keep_their_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from noteflow.llm import packing
+
+    path = tokenizer_file("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["one two three one", "two  One\x1ctwo été ÉTÉ", "", "three four five　six", "x" * 50 + " one"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in packing.WordEncoder(path).encode(texts)] == want
+    monkeypatch.setattr(packing, "span_hashes", lambda data, start, end, letters: (end - start).astype("uint64") % 3)
+    found = packing.WordEncoder(path)
+    for _ in range(2):
+        assert [x.tolist() for x in found.encode(texts)] == want
