@@ -33,18 +33,18 @@ def media_occurrences(notes: DataFrame, patterns: Sequence[str] = ()) -> DataFra
     return pairs.filter(F.col("pos").isNotNull())
 
 
-def nsfw_url_records(notes: DataFrame, scorer, patterns: Sequence[str] = ()) -> DataFrame:
+def nsfw_url_records(notes: DataFrame, scorer, patterns: Sequence[str] = (), memory=None) -> DataFrame:
     """Per note with media URLs: its records in URL order, without the URLs that failed.
 
     ``notes`` are unique by id, arrival and relay. Each distinct URL is scored once. The narrow
     occurrences are written, so that the texts are read and searched once.
     """
-    return occurrence_records(cut_lineage(media_occurrences(notes, patterns), "occurrences"), scorer)
+    return occurrence_records(cut_lineage(media_occurrences(notes, patterns), "occurrences"), scorer, memory)
 
 
-def occurrence_records(occurrences: DataFrame, scorer) -> DataFrame:
+def occurrence_records(occurrences: DataFrame, scorer, memory=None) -> DataFrame:
     """The same from the written rows of ``media_occurrences``."""
-    scored = score_once(occurrences, "url", scorer, ["id", "arrival_ts"])
+    scored = score_once(occurrences, "url", scorer, ["id", "arrival_ts"], memory=memory)
     flags = rules.nsfw_url_flags(
         F.col("response.data.neutral"), F.col("has_content_warning"), F.col("has_nsfw_hashtag")
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from noteflow.functions import constants as K
 from noteflow.functions.let import let
+from noteflow.staging import cut_lineage
 
 SALTS = 64
 
@@ -140,19 +141,29 @@ def score(df: DataFrame, input_col: str, scorer, out: str = "response") -> DataF
 
 
 def score_once(
-    df: DataFrame, input_col: str, scorer, spread_by: Sequence[str], out: str = "response"
+    df: DataFrame, input_col: str, scorer, spread_by: Sequence[str], out: str = "response", memory=None
 ) -> DataFrame:
     """One call per distinct input, joined back to every row that has it.
 
+    ``memory`` holds responses of earlier calls (``streaming.score_memory``): inputs it knows are not
+    scored again, and it keeps the good responses of the others.
+
     One input may be in a third of all rows. Each row gets a salt from ``spread_by``; the
     distinct inputs remember which salts they have, so a rare input is joined through one
     salt and a hot one through up to ``SALTS`` tasks, and nothing is copied needlessly.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
     once = salted.groupBy(input_col).agg(F.collect_set("_salt").alias("_salts"))
-    scored = score(once, input_col, scorer, out).select(
-        input_col, F.explode("_salts").alias("_salt"), out
-    )
+    if memory is None:
+        scored = score(once, input_col, scorer, out)
+    else:
+        known = memory.known(input_col, out)
+        fresh = once if known is None else once.join(known, input_col, "left_anti")
+        # Written, so that the model is called once for the memory and the result.
+        scored = memory.remember(cut_lineage(score(fresh, input_col, scorer, out), "new-scores"), input_col, out)
+        if known is not None:
+            scored = scored.unionByName(once.join(known, input_col))
+    scored = scored.select(input_col, F.explode("_salts").alias("_salt"), out)
     return salted.join(scored, [input_col, "_salt"]).drop("_salt")
 
 

@@ -58,9 +58,10 @@ def _needed_texts(classified: DataFrame, options: FlowOptions) -> DataFrame:
     )
 
 
-def enrich(fresh: DataFrame, quarantine: DataFrame, options: FlowOptions) -> FlowResult:
+def enrich(fresh: DataFrame, quarantine: DataFrame, options: FlowOptions, memory=None) -> FlowResult:
     """Classify what passed the ingress. ``fresh`` and ``quarantine`` are read several times,
-    so they are files; the costly intermediates are written once as well."""
+    so they are files; the costly intermediates are written once as well. ``memory`` keeps the
+    scores of URLs from one micro-batch to the next."""
     notes, others = ingest.route_by_kind(fresh)
     first = replace(options, sentiment=False, topic=False)
     classified = cut_lineage(_needed_texts(classify.classify_text(notes, first), options), "classified")
@@ -71,7 +72,7 @@ def enrich(fresh: DataFrame, quarantine: DataFrame, options: FlowOptions) -> Flo
         audit = audit.unionByName(records.toxicity_audit(classified, options))
     if options.nsfw:
         scored = cut_lineage(
-            media.nsfw_url_records(notes, options.scorers["nsfw"], options.media_patterns), "media"
+            media.nsfw_url_records(notes, options.scorers["nsfw"], options.media_patterns, memory), "media"
         )
         nsfw_out = records.nsfw_records(scored, options.publisher)
         gating_messages = gating_messages.unionByName(records.nsfw_messages(nsfw_out))

@@ -63,6 +63,14 @@ class FoldStore:
     def parts(self, table: str, versions: Sequence[int]) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.path}/{table}/part={n}" for n in versions])
 
+    def versions(self, table: str) -> list[int]:
+        """The micro-batches whose parts are there."""
+        return self._versions(table)["part"]
+
+    def drop(self, table: str, version: int) -> None:
+        path, files = self._folder(table)
+        files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"part={version}"), True)
+
     def rewrite(self, table: str, version: int, df: DataFrame) -> None:
         """``df`` as all of ``table`` up to ``version``; what an earlier base already replaced is deleted."""
         self.write(table, version, df, "base")
