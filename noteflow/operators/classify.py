@@ -23,12 +23,18 @@ def clean_notes(notes: DataFrame, options: FlowOptions) -> DataFrame:
 
 def _response(df: DataFrame, task: str, input_text: Column, default: Column, run_if: Column,
               options: FlowOptions) -> DataFrame:
-    """Adds column ``task``: the response, the default after a failure, NULL if not run."""
+    """Adds column ``task``: the response, the default after a failure, NULL if not run.
+
+    Where ``df`` has a column ``failed``, it becomes true if a model failed on a text that is not empty.
+    """
     scorer = options.scorers.get(task, DEFAULT_SCORERS[task])
     with_input = add_once(df, "_input", F.when(run_if, input_text))
     scored = score(with_input, "_input", scorer, "_scored")
     ran = F.col("_input").isNotNull()
     response = F.when(ran, F.coalesce(F.col("_scored.data"), default))
+    if "failed" in df.columns:
+        failed = ran & (F.col("_input") != "") & ~F.coalesce(F.col("_scored.ok"), F.lit(False))
+        scored = scored.withColumn("failed", F.col("failed") | F.coalesce(failed, F.lit(False)))
     return add_once(scored, task, response).drop("_input", "_scored")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -106,6 +106,12 @@ class ModelScorer:
         return df.withColumn(out, udf(F.col(input_col)))
 
 
+def without_pause(scorer):
+    """The same scorer, but it never waits: items are told apart at once, and whoever calls it tries those
+    that fail again later."""
+    return replace(scorer, pause_s=0.0) if isinstance(scorer, ModelScorer) else scorer
+
+
 @dataclass(frozen=True)
 class TableScorer:
     """A table of precomputed responses ``(key, ok, data)``.

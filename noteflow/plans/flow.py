@@ -9,8 +9,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noteflow.functions import constants as K
 from noteflow.functions.constants import TASKS
 from noteflow.operators import classify, dedup, ingest, media, records
+from noteflow.operators.scoring import without_pause
 from noteflow.schema import FlowOptions
 from noteflow.staging import cut_lineage
 
@@ -28,6 +30,8 @@ class FlowResult:
     gating_messages: DataFrame
     audit: DataFrame
     quarantine: DataFrame
+    #: Notes put off because a gating model failed on them, with ``attempt``, how often it has.
+    put_off: DataFrame | None = None
 
     @cached_property
     def later(self) -> DataFrame:
@@ -50,7 +54,7 @@ def _needed_texts(classified: DataFrame, options: FlowOptions) -> DataFrame:
     """What records, audit rows and the late tasks need: only English or flagged notes keep texts."""
     flagged = F.col("is_toxic") if "is_toxic" in classified.columns else F.lit(False)
     late = F.col("is_english") if options.sentiment or options.topic else F.lit(False)
-    tasks = [c for c in (*TASKS, "is_toxic") if c in classified.columns]
+    tasks = [c for c in (*TASKS, "is_toxic", "failed", "attempt", "arrival_ts", "relay") if c in classified.columns]
     return classified.select(
         "id", "pubkey", "created_at", *tasks, "is_english",
         F.when(flagged, F.col("content")).alias("content"),
@@ -58,13 +62,35 @@ def _needed_texts(classified: DataFrame, options: FlowOptions) -> DataFrame:
     )
 
 
-def enrich(fresh: DataFrame, quarantine: DataFrame, options: FlowOptions, memory=None) -> FlowResult:
+def enrich(fresh: DataFrame, quarantine: DataFrame, options: FlowOptions, memory=None,
+           again: DataFrame | None = None) -> FlowResult:
     """Classify what passed the ingress. ``fresh`` and ``quarantine`` are read several times,
     so they are files; the costly intermediates are written once as well. ``memory`` keeps the
-    scores of URLs from one micro-batch to the next."""
+    scores of URLs from one micro-batch to the next.
+
+    ``again`` holds notes of earlier micro-batches with ``attempt``, the times a gating model has failed on
+    them. If it is given (it may be empty), nothing waits for a failing model, and notes it fails on before
+    the last micro-batch they may have are ``put_off``: they have no output yet, and hold up no other note.
+    """
     notes, others = ingest.route_by_kind(fresh)
     first = replace(options, sentiment=False, topic=False)
-    classified = cut_lineage(_needed_texts(classify.classify_text(notes, first), options), "classified")
+    put_off = None
+    if again is not None:
+        notes = notes.withColumn("attempt", F.lit(0)).unionByName(again)
+        first = replace(first, scorers={
+            task: without_pause(s) if task in ("language", "toxicity") else s for task, s in first.scorers.items()})
+        tried = classify.classify_text(notes.withColumn("failed", F.lit(False)), first)
+    else:
+        tried = classify.classify_text(notes, first)
+    classified = cut_lineage(_needed_texts(tried, options), "classified")
+    if again is not None:
+        late = F.col("failed") & (F.col("attempt") + 1 < K.SCORE_ATTEMPTS)
+        keys = ["id", "arrival_ts", "relay"]
+        late_keys = classified.filter(late).select(*[F.col(c).alias(f"{c}_") for c in keys])
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in keys]
+        put_off = notes.join(late_keys, same, "left_semi").withColumn("attempt", F.col("attempt") + 1)
+        notes = notes.join(late_keys, same, "left_anti").drop("attempt")
+        classified = classified.filter(~late)
     gating = records.text_records(classified, options.publisher)
     gating_messages = records.text_messages(gating)
     audit = records.invalid_audit(quarantine)
@@ -86,7 +112,8 @@ def enrich(fresh: DataFrame, quarantine: DataFrame, options: FlowOptions, memory
         return records.text_records(classify.late_tasks(english, options), options.publisher)
 
     return FlowResult(
-        notes, others, gating, later, records.event_messages(fresh), gating_messages, audit, quarantine)
+        notes, others, gating, later, records.event_messages(fresh), gating_messages, audit, quarantine,
+        put_off)
 
 
 def run_flow(
