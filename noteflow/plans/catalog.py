@@ -13,7 +13,7 @@ from noteflow import staging
 from noteflow.functions import constants as K
 from noteflow.functions import rules, tags, text, urls
 from noteflow.functions.jsonio import EVENT_MEMBERS, RECORD_MEMBERS, event_json
-from noteflow.operators import classify, dedup, ingest, media, records
+from noteflow.operators import classify, dedup, ingest, media, patterns, records
 from noteflow.operators.scoring import ModelScorer, NativeScorer, TableScorer, score
 from noteflow.plans import flow
 from noteflow.schema import FlowOptions
@@ -221,6 +221,17 @@ def media_url_pattern(spark, sf):
     return all_urls(spark, sf).select("url", hit.alias("is_match"))
 
 
+#: Many patterns: pictures with an even number, besides the few above.
+MANY_PATTERNS = (*MEDIA_PATTERNS, *(rf"com/p*{n}\.jpg" for n in range(0, 20_000, 2)))
+
+
+@query
+def media_url_pattern_index(spark, sf):
+    """Ten thousand patterns, by an index over the literals they require."""
+    found = staging.cut_lineage(all_urls(spark, sf), "urls")
+    return patterns.matching_urls(found, MANY_PATTERNS)
+
+
 @query
 def media_urls(spark, sf):
     found = urls.media_urls(urls.extract_urls(F.col("content")), MEDIA_PATTERNS)

@@ -363,6 +363,8 @@ on_posts("extract_urls", f"""SELECT doc_id, array_to_string(u, ' ') AS urls, len
 on_posts("url_type", f"SELECT url, {url_type('url')} AS url_type FROM urls", ALL_URLS)
 PATTERN_HIT = "regexp_matches({u}, '(?i)^HTTPS://example\\.org') OR regexp_matches({u}, 'example\\.net')"
 on_posts("media_url_pattern", f"SELECT url, {PATTERN_HIT.format(u='url')} AS is_match FROM urls", ALL_URLS)
+on_posts("media_url_pattern_index", f"""SELECT url FROM urls WHERE {PATTERN_HIT.format(u='url')}
+    OR TRY_CAST(regexp_extract(url, 'com/p*(0|[1-9][0-9]*)\\.jpg', 1) AS BIGINT) % 2 = 0""", ALL_URLS)
 _is_media = f"{PATTERN_HIT.format(u='u')} OR ({url_type('u')}) IN ('image', 'video')"
 on_posts("media_urls", f"""SELECT doc_id, array_to_string(list_filter({url_list('content')},
   lambda u: {_is_media}), ' ') AS media FROM posts""")
