@@ -13,7 +13,7 @@ from noteflow import staging
 from noteflow.functions import constants as K
 from noteflow.functions import rules, tags, text, urls
 from noteflow.functions.jsonio import EVENT_MEMBERS, RECORD_MEMBERS, event_json
-from noteflow.operators import classify, dedup, ingest, media, patterns, records
+from noteflow.operators import classify, dedup, ingest, media, patterns, records, trained
 from noteflow.operators.scoring import ModelScorer, NativeScorer, TableScorer, score
 from noteflow.plans import flow
 from noteflow.schema import FlowOptions
@@ -360,6 +360,37 @@ def language_detect(spark, sf):
     return found.select("doc_id", "best.confidence", "best.language")
 
 
+def _trained_posts(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Cleaned posts, and those that the scorers may learn from: the others are held out."""
+    clean = classify.clean_notes(views.posts(spark, sf), FlowOptions()).select(
+        "doc_id", "is_empty", text.language_input(F.col("clean")).alias("language_text"),
+        text.truncate_text(F.col("clean"), K.TEXT_LIMIT).alias("task_text"))
+    clean = staging.cut_lineage(clean, "trained-texts")
+    return clean, clean.filter("doc_id % 5 <> 0")
+
+
+@query
+def trained_language(spark, sf):
+    """Language by trigram weights learned from the languages of the documents."""
+    clean, learn = _trained_posts(spark, sf)
+    known = views.table(spark, sf, "documents").select("doc_id", "lang")
+    model = trained.fit_language(learn.join(known, "doc_id"), "language_text", "lang")
+    found = score(clean.filter("NOT is_empty"), "language_text", trained.language_scorer(model), "_scored")
+    best = F.get(F.coalesce(F.col("_scored.data"), rules.default_languages()), F.lit(0))
+    return found.select("doc_id", best["confidence"].alias("confidence"), best["language"].alias("language"))
+
+
+@query
+def trained_toxicity(spark, sf):
+    """Toxicity by word weights learned from the labels of the documents."""
+    clean, learn = _trained_posts(spark, sf)
+    known = views.table(spark, sf, "labels").select("doc_id", "toxic")
+    model = trained.fit_toxicity(learn.join(known, "doc_id"), "task_text", "toxic")
+    found = score(clean.filter("NOT is_empty"), "task_text", trained.toxicity_scorer(model), "_scored")
+    scores = F.coalesce(F.col("_scored.data"), rules.default_toxicity())
+    return found.select("doc_id", scores["toxicity"].alias("toxicity"), rules.toxicity_flag(scores).alias("is_toxic"))
+
+
 @query
 def english_gate(spark, sf):
     return _classified_posts(spark, sf).select("doc_id", "is_english")

@@ -6,6 +6,7 @@ import string
 
 from noteflow.functions import constants as K
 from noteflow.functions.jsonio import SHORT_ESCAPES
+from noteflow.operators import trained as T
 from noteflow.sources import views
 
 ORACLE: dict[str, str] = {}
@@ -397,6 +398,50 @@ on_notes("nsfw_note_flag", """SELECT id, relay, probable AS probably_nsfw,
 TEXT = text_ctes("posts")
 on_posts("language_input", "SELECT doc_id, language_text AS result FROM classified", TEXT)
 on_posts("language_detect", "SELECT doc_id, confidence, language FROM classified", TEXT)
+_lowered = f"translate({{}}, '{T.UPPER}', '{T.LOWER}')"
+_first, _second, _third = T.TRIGRAM_FACTORS
+on_posts("trained_language", f"""SELECT doc_id,
+    CASE WHEN language_text = '' THEN cast(0 AS double) ELSE floor(1 / odds * cast(100 AS double) * cast(10000 AS double)) / cast(10000 AS double) END AS confidence,
+    CASE WHEN language_text = '' THEN 'en' ELSE lang END AS language
+  FROM ranked WHERE place = 1""", TEXT + f""",
+  codes AS (SELECT doc_id, is_empty, language_text, list_transform(range(1, length(language_text) + 1),
+    lambda i: cast(unicode(substr({_lowered.format('language_text')}, i, 1)) AS BIGINT)) AS c FROM classified),
+  grams AS (SELECT doc_id, is_empty, language_text, list_distinct(list_transform(range(1, len(c) - 1),
+    lambda i: (c[i] * {_first} + c[i + 1] * {_second} + c[i + 2] * {_third}) % {T.TRIGRAM_BUCKETS})) AS f FROM codes),
+  learn AS (SELECT g.doc_id, f, d.lang FROM grams g JOIN documents d USING (doc_id) WHERE g.doc_id % 5 <> 0 AND d.lang IS NOT NULL),
+  label_rows AS (SELECT lang, count(*) AS n, sum(count(*)) OVER () AS total FROM learn GROUP BY lang),
+  seen AS (SELECT lang, b, count(*) AS n FROM (SELECT lang, unnest(f) AS b FROM learn) GROUP BY lang, b),
+  weights AS (SELECT l.lang, r.b, floor(1000 * ln((coalesce(s.n, 0) + cast({T.SMOOTHING} AS double) * l.n / l.total) / l.n)) AS w
+    FROM label_rows l CROSS JOIN (SELECT unnest(range({T.TRIGRAM_BUCKETS})) AS b) r
+    LEFT JOIN seen s ON s.lang = l.lang AND s.b = r.b),
+  told AS (SELECT doc_id, lang, sum(w) AS w FROM (SELECT doc_id, unnest(f) AS b FROM grams) JOIN weights USING (b)
+    GROUP BY doc_id, lang),
+  summed AS (SELECT g.doc_id, g.language_text, l.lang,
+      floor(1000 * ln(cast(l.n AS double) / l.total)) + coalesce(t.w, 0) AS total
+    FROM grams g CROSS JOIN label_rows l LEFT JOIN told t ON t.doc_id = g.doc_id AND t.lang = l.lang WHERE NOT g.is_empty),
+  topped AS (SELECT *, max(total) OVER (PARTITION BY doc_id) AS top,
+    row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, lang) AS place FROM summed),
+  ranked AS (SELECT *, sum(exp((total - top) / 1000)) OVER (PARTITION BY doc_id) AS odds FROM topped)""")
+on_posts("trained_toxicity", f"""SELECT doc_id, toxicity, toxicity >= {K.TOXIC_SCORE} AS is_toxic FROM (
+  SELECT doc_id, CASE WHEN task_text = '' THEN cast(0 AS double) ELSE floor(1 / (1 + exp(-(
+    floor(1000 * ln(cast(tox AS double) / (n - tox))) + coalesce(w, 0)) / 1000)) * cast(10000 AS double)) / cast(10000 AS double)
+    END AS toxicity
+  FROM words LEFT JOIN told USING (doc_id) CROSS JOIN label_rows WHERE NOT is_empty)""", TEXT + f""",
+  words AS (SELECT doc_id, is_empty, task_text, list_distinct(list_filter(
+    string_split_regex({_lowered.format('task_text')}, {q(T.SEPARATORS)}), lambda w: w <> '')) AS f FROM classified),
+  learn AS (SELECT w.doc_id, f, cast(l.toxic = 1 AS int) AS toxic FROM words w JOIN labels l USING (doc_id)
+    WHERE w.doc_id % 5 <> 0 AND l.toxic IS NOT NULL),
+  label_rows AS (SELECT count(*) AS n, sum(toxic) AS tox, sum(toxic) / cast(count(*) AS double) AS share FROM learn),
+  seen AS (SELECT word, count(*) AS n, sum(toxic) AS t FROM (SELECT toxic, unnest(f) AS word FROM learn) GROUP BY word),
+  kept AS (SELECT word, s.n, s.t, l.n AS rows_, l.tox, share,
+      abs(s.t - s.n * share) / sqrt(s.n * (share * (1 - share))) AS deviation
+    FROM seen s CROSS JOIN label_rows l WHERE s.n >= {T.LEAST_ROWS}
+    QUALIFY deviation >= {T.LEAST_DEVIATION} AND row_number() OVER (
+      PARTITION BY deviation >= {T.LEAST_DEVIATION} ORDER BY deviation DESC, word) <= {T.MOST_WORDS}),
+  weights AS (SELECT word, floor(1000 * ln(((t + cast({T.SMOOTHING} AS double) * share) / tox)
+    / ((n - t + cast({T.SMOOTHING} AS double) * (1 - share)) / (rows_ - tox)))) AS w FROM kept),
+  told AS (SELECT doc_id, sum(w) AS w FROM (SELECT doc_id, unnest(f) AS word FROM words) JOIN weights USING (word)
+    GROUP BY doc_id)""")
 on_posts("english_gate", "SELECT doc_id, is_english FROM classified", TEXT)
 _scores = ", ".join(
     f"{ {'insult': 'insult', 'toxicity': 'tox'}.get(k, 'cast(0 AS double)') } AS {k}" for k in K.TOXICITY_LABELS
