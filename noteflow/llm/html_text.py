@@ -57,7 +57,9 @@ KINDS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure "
     "figcaption nav header footer aside form fieldset button address details summary".split())
 
-TAG = re.compile(r"""<(?:!--|[!?]|(/?)([a-zA-Z][^\s/><]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>)""")
+# A quote counts only where a value starts; one that nothing closes ends at the tag's ``>`` like any sign.
+TAG = re.compile(
+    r"""<(?:!--|[!?]|(/?)([a-zA-Z][^\s/><]*+)((?:[^<>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>)""")
 PAIRED = re.compile(rf"<(/?)({'|'.join(sorted(HIDDEN | UNSEEN))})(?=[\s/>])", re.I)
 MARKS = re.compile(r"""(?:^|\s)(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
@@ -130,11 +132,17 @@ def parse(source: str) -> Page:
     options of a select, and what is never shown (template, iframe, desc and metadata of a
     drawing) if it has an end tag. Where that is missing, a select ends at the first element that
     cannot be in it, and the others are read like the page around them. The text of math, svg,
-    noscript, object and canvas belongs to the element around it, and a block ends them.
+    noscript, object and canvas belongs to the element around it, and a block ends them. References
+    are decoded in each piece of text between tags, never across a tag.
     """
     page = Page()
     stack: list[tuple[str, int]] = []  # open elements, inline ones too, and their node
     foreign: list[int] = []  # depths of open drawings and formulas
+    # Depths of the open elements by name, of those that are not inline, and of the fences: no tag
+    # searches the stack.
+    named: dict[str, list[int]] = {}
+    blocks: list[int] = []
+    fences: list[int] = []
     hidden = _hidden_ends(source)
     run: list[str] = []
     links = 0
@@ -143,9 +151,23 @@ def parse(source: str) -> Page:
         nonlocal links
         for old, _ in stack[depth:]:
             links -= old == "a"
+            named[old].pop()
         del stack[depth:]
-        while foreign and foreign[-1] >= depth:
-            foreign.pop()
+        for depths in (foreign, blocks, fences):
+            while depths and depths[-1] >= depth:
+                depths.pop()
+
+    def push(name: str, node: int) -> None:
+        named.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            blocks.append(len(stack))
+        if name in FENCES:
+            fences.append(len(stack))
+        stack.append((name, node))
+
+    def deepest(name: str) -> int:
+        """Depth of the last open element of a name, 0 without any."""
+        return named[name][-1] if named.get(name) else 0
 
     def open_node(kind: str, marks: str) -> int:
         hints, label = set(), 0
@@ -169,13 +191,14 @@ def parse(source: str) -> Page:
     def text(piece: str) -> None:
         if not piece:
             return
+        piece = html.unescape(piece)
         run.append(piece)
         if links and stack:
             page.linked[stack[-1][1]] += len(piece)
 
     def end_block() -> None:
         if run:
-            joined = SPACE.sub(" ", html.unescape("".join(run))).strip()
+            joined = SPACE.sub(" ", "".join(run)).strip()
             run.clear()
             if joined:
                 node = stack[-1][1]
@@ -200,8 +223,8 @@ def parse(source: str) -> Page:
         if tag[1]:
             if name in RAW or name in HIDDEN or name == "select":
                 continue
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == name), 0)
-            if depth and name in INLINE and any(stack[d][0] not in INLINE for d in range(depth, len(stack))):
+            depth = deepest(name)
+            if depth and name in INLINE and blocks and blocks[-1] > depth:
                 continue
             if depth:
                 if name not in INLINE:
@@ -233,20 +256,17 @@ def parse(source: str) -> Page:
                     continue
                 if name in FOREIGN:
                     foreign.append(len(stack))
-            stack.append((name, stack[-1][1]))
+            push(name, stack[-1][1])
             links += name == "a"
         else:
             end_block()
             if foreign:
                 cut(foreign[0])
             closing = CLOSES.get(name, {"p"} if name in KINDS else set())
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in closing:
-                    cut(depth)
-                    break
-                if stack[depth][0] in FENCES:
-                    break
-            stack.append((name, open_node(name, tag[3])))
+            depth = max(map(deepest, closing), default=0)
+            if depth > (fences[-1] if fences else 0):
+                cut(depth)
+            push(name, open_node(name, tag[3]))
     text(source[at:])
     end_block()
     return page

@@ -166,10 +166,31 @@ def test_what_is_shown_in_an_article_is_kept(model):
     assert html_text.main_text(source, model) == "T\nlet x=1 be a film or a plot\nplain words\nsee label here and on"
 
 
-@pytest.mark.parametrize("piece", ["<select>", "<svg>", "<svg><p>", "<iframe>", "<template", "<select><b>", "<svg><desc>", "<math><a>", "<title"])
+@pytest.mark.parametrize("piece", ["<select>", "<svg>", "<svg><p>", "<iframe>", "<template", "<select><b>", "<svg><desc>", "<math><a>", "<title",
+                                   "<h3>x", "<div><i>", "<p title=\"abc>x", "<ul><li>x", "<a b='"])
 def test_hostile_pages_take_linear_time(model, piece):
     import time
 
     start = time.process_time()
     html_text.parse(piece * 20_000)
     assert time.process_time() - start < 5
+
+
+@pytest.mark.parametrize("pieces", [("<i>", "<h2>y</h2>"), ("<i>", "</u>"), ("<div><i>", "</p>"), ("<i>", "</i>"), ("<li>", "<td>")])
+def test_deep_pages_take_linear_time(pieces):
+    import time
+
+    start = time.process_time()
+    html_text.parse("".join(p * 20_000 for p in pieces))
+    assert time.process_time() - start < 5
+
+
+def test_references_and_quotes_end_at_tags():
+    def text(source):
+        return " ".join(t for _, t in html_text.parse(source).blocks)
+
+    assert text("A &<b>amp;</b> B") == "A &amp; B"
+    assert text("&lt;<i>p</i>&gt; &amp;amp;") == "<p> &amp;"
+    assert text('<p title="abc>Broken <b>on</b>') == "Broken on"
+    assert text('<p title="a>b" class=\'c>d\'>T') == "T"
+    assert text("<a title=it's>x</a>y") == "xy"
