@@ -2,9 +2,10 @@
 
 Every pair of neighbouring words of every text is hashed and joined to the places of the same pair
 in a small fixed table of templates. A hit at word p of the text and word q of the template votes
-for the diagonal p - q, where the template would start. Votes are summed per diagonal as a bit set
-of template places, so a vote counts once; neighbouring diagonals of a notice (words put in or
-left out) are merged, and the spans are verified by their words and their share of the template.
+for the diagonal p - q, where the template would start. Votes are summed per diagonal as bit sets
+of template places, one for every 63 places of a template of any length, so a vote counts once;
+neighbouring diagonals of a notice (words put in or left out) are merged, and the spans are
+verified by their words and their share of the template.
 """
 
 from __future__ import annotations
@@ -42,10 +43,13 @@ NOTICES = {
 #: Share of its word pairs that a notice must show, and how far apart diagonals are merged.
 SHARE = 0.8
 NEAR = 2
+#: In long templates the same word pairs come again and again. Of a template of 50 or more pairs, a
+#: diagonal with less than this share of its places is chance, and diagonals are merged farther apart.
+LONG_SHARE = 0.02
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Marks the one row that each text sends through the join without a hit.
 NO_HIT = -1
-MOST_PAIRS = 62
+BITS = 63
 
 
 @dataclass(frozen=True)
@@ -73,9 +77,9 @@ def scan_words(text: Column) -> Column:
 def _template_pairs(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
     rows = [(NO_HIT, NO_HIT, 0, "", "", 0, True, "")]
     for number, t in enumerate(templates):
-        if not 2 <= len(t.words) <= MOST_PAIRS + 1:
-            raise ValueError(f"a template has 2 to {MOST_PAIRS + 1} words: {t.words}")
-        rows += [(number, at, 1 << at, t.words[at], t.words[at + 1], len(t.words) - 1, t.exact, t.label)
+        if len(t.words) < 2:
+            raise ValueError(f"a template has 2 words at least: {t.words}")
+        rows += [(number, at, 1 << at % BITS, t.words[at], t.words[at + 1], len(t.words) - 1, t.exact, t.label)
                  for at in range(len(t.words) - 1)]
     frame = spark.createDataFrame(
         rows, "template int, q int, bit long, w1 string, w2 string, pairs int, exact boolean, label string")
@@ -88,7 +92,8 @@ def license_spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
 
     One row per span that a template covers: words ``first`` to ``last`` of the text (from 0),
     with the share of the template's word pairs found there; and one row with template -1 for
-    every text. ``th`` is a hash of the text; ``copies`` is the number of equal rows.
+    every text. ``th`` is a hash of the text; ``copies`` is the number of equal rows. The templates
+    are a setting, broadcast with a row per word; they have two words or more, up to whole licenses.
     """
     pairs = _template_pairs(docs.sparkSession, templates)
     split = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"),
@@ -102,17 +107,27 @@ def license_spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
         (F.get("ws", F.col("p")) == F.col("w1")) & (F.get("ws", F.col("p") + 1) == F.col("w2")))
     hits = sent.join(F.broadcast(pairs), (F.col("k") == F.col("key")) & same)
     votes = hits.select("id", "th", F.size("ws").cast("long").alias("n_words"), "template", "label", "exact", "pairs",
-                        (F.col("p") - F.col("q")).alias("diagonal"), "bit", "p")
-    lines = votes.groupBy("id", "th", "n_words", "template", "label", "exact", "pairs", "diagonal").agg(
+                        (F.col("p") - F.col("q")).alias("diagonal"), F.floor(F.col("q") / BITS).alias("block"), "bit", "p")
+    # Equal rows meet before the shuffle; all that follows is within an id, text and template, so one
+    # more shuffle of the few lines serves every window and group.
+    span = ["id", "th", "n_words", "template", "label", "exact", "pairs"]
+    lines = votes.groupBy(*span, "diagonal", "block").agg(
         F.bit_or("bit").alias("bits"), F.min("p").alias("first"), F.max("p").alias("last"), F.count("*").alias("copies"))
-    own = Window.partitionBy("id", "th", "template").orderBy("diagonal")
-    far = F.col("exact") | (F.col("pairs") <= NEAR) | F.lag("diagonal").over(own).isNull() | (
-        F.col("diagonal") - F.lag("diagonal").over(own) > NEAR)
+    lines = lines.repartition("id", "th", "template")
+    placed = F.sum(F.bit_count("bits")).over(Window.partitionBy("id", "th", "template", "diagonal"))
+    lines = lines.withColumn("placed", placed).where(F.col("placed") >= LONG_SHARE * F.col("pairs"))
+    own = Window.partitionBy("id", "th", "template").orderBy("diagonal", "block")
+    step = F.col("diagonal") - F.lag("diagonal").over(own)
+    near = F.greatest(F.lit(NEAR), F.floor(LONG_SHARE * F.col("pairs")))
+    far = step.isNull() | (step > near) | (step > 0) & (F.col("exact") | (F.col("pairs") <= NEAR))
     merged = lines.withColumn("new", far.cast("int")).withColumn("span", F.sum("new").over(own))
-    spans = merged.groupBy("id", "th", "n_words", "template", "label", "exact", "pairs", "span").agg(
+    places = merged.groupBy(*span, "span", "block").agg(
         F.bit_or("bits").alias("bits"), F.min("first").alias("first"), F.max("last").alias("last"),
         F.max("copies").alias("copies"))
-    share = F.bit_count("bits") / F.greatest(F.col("pairs"), F.lit(1))
+    spans = places.groupBy(*span, "span").agg(
+        F.sum(F.bit_count("bits")).alias("found"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.max("copies").alias("copies"))
+    share = F.col("found") / F.greatest(F.col("pairs"), F.lit(1))
     good = (F.col("template") == NO_HIT) | F.when(F.col("exact"), share == 1.0).otherwise(
         (share >= SHARE) & (F.col("last") - F.col("first") < 2 * F.col("pairs")))
     return spans.withColumn("share", share).where(good).select(

@@ -57,3 +57,24 @@ def test_repeated_rows_missing_ids_and_empty_tables(spark):
     got = sorted((str(r.doc_id), r.n_words, r.n_base, r.labels) for r in license_scan.scan(docs).collect())
     assert got == [("1", 2, 1, "cc-by"), ("1", 2, 1, "mit"), ("1", 2, 1, "mit"), ("None", 0, 0, ""), ("None", 3, 1, "cc-by")]
     assert license_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_long_templates(spark):
+    rng = random.Random(3)
+    common = "of the in to and or software this any copy".split()
+    words = [rng.choice(common) if rng.random() < 0.6 else f"w{rng.randrange(300)}" for _ in range(700)]
+    template = license_scan.Template(tuple(words), "long", False)
+    short = license_scan.Template(tuple(words[:64]), "short", True)
+    chance = [rng.choice(common) if rng.random() < 0.6 else f"v{rng.randrange(300)}" for _ in range(4000)]
+    put_in = words[:200] + ["copyright", "holder", "name", "here"] + words[200:450] + words[453:]
+    texts = [words, chance + put_in + chance, chance, words[:300], words[:100] + chance + words[100:],
+             chance + words[:64] + chance, words + words]
+    docs = spark.createDataFrame([(i, " ".join(w), 1, 2) for i, w in enumerate(texts)], DOCS)
+    spans = license_scan.license_spans(docs, (template, short)).where("template >= 0").collect()
+    found = sorted((s["id"], s["label"], s["first"], s["last"]) for s in spans)
+    assert [f[:2] for f in found] == [(0, "long"), (0, "short"), (1, "long"), (1, "short"), (3, "short"), (4, "long"),
+                                      (4, "short"), (5, "short"), (6, "long"), (6, "long"), (6, "short"), (6, "short")]
+    ends = {f[:2]: f[2:] for f in found if f[1] == "long"}
+    assert ends[0, "long"] == (0, 699)
+    first, last = ends[1, "long"]
+    assert abs(first - 4000) <= 20 and abs(last - (4000 + len(put_in) - 1)) <= 20
