@@ -59,6 +59,29 @@ def even(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+class Rounds:
+    """Intermediates of a loop, of which each round reads those of the round before it.
+
+    What the last two rounds wrote stays until the scope ends or ``release``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.before, self.now = spark, [], []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """``cut_lineage`` as part of this round."""
+        path = new_path(self.spark, name)
+        df.write.parquet(path)
+        self.now.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def turn(self) -> None:
+        """End this round; nothing may read the round before it from now on."""
+        done, self.before, self.now = self.before, self.now, []
+        _forget(done)
+        _delete(self.spark, done)
+
+
 @contextmanager
 def scope(spark: SparkSession):
     """Delete at the end what this thread staged inside, e.g. for one micro-batch."""
@@ -75,6 +98,11 @@ def release(spark: SparkSession) -> int:
     return _delete(spark, _written)
 
 
+def _forget(paths: list[str]) -> None:
+    for held in (*getattr(_scopes, "stack", ()), _written):
+        held[:] = [path for path in held if path not in paths]
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> int:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()

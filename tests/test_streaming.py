@@ -263,6 +263,18 @@ def test_staged_files_are_released_by_scope(spark):
     assert staging.release(spark) > 0
 
 
+def test_rounds_keep_what_the_next_round_reads(spark):
+    with staging.scope(spark):
+        rounds, frame, paths = staging.Rounds(spark), spark.range(4), []
+        for _ in range(4):
+            frame = rounds.cut(frame.selectExpr("id + 1 AS id"), "round")
+            paths.append(frame.inputFiles()[0].removeprefix("file:").removeprefix("//"))
+            rounds.turn()
+        assert [os.path.exists(path) for path in paths] == [False, False, False, True]
+        assert sorted(r.id for r in frame.collect()) == [4, 5, 6, 7]
+    assert not os.path.exists(paths[-1])
+
+
 @pytest.mark.parametrize("retention_s, late", [(None, []), (3600, ["a", "b"])])
 def test_repeats_later_than_the_retention(spark, tmp_path, retention_s, late):
     """Without a retention a repeat is found however late it comes; with one it passes as new."""
