@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteflow.llm.common import narrow_join
-from noteflow.staging import cut_lineage, new_path
+from noteflow.staging import Rounds, cut_lineage, new_path
 
 MAGIC = "WARC/1.0\r\n"
 BLANK = "\r\n\r\n"
@@ -124,22 +124,25 @@ def reachable(links: DataFrame) -> DataFrame:
     """``file, start`` of the records that the chain from offset 0 of each file reaches.
 
     ``links`` has ``file, start, after`` per candidate. In each round the reached set follows the
-    links once, which doubles it, and the links are joined with themselves.
+    links once, which doubles it, and the links are joined with themselves. What the round before
+    last wrote is deleted.
     """
+    rounds = Rounds(links.sparkSession)
     jumps = links.select("file", "start", "after")
     nodes = links.select(F.col("file").alias("f"), F.col("start").alias("s"))
-    jumps = cut_lineage(jumps.join(nodes, (F.col("file") == F.col("f")) & (F.col("after") == F.col("s"))).select(
+    jumps = rounds.cut(jumps.join(nodes, (F.col("file") == F.col("f")) & (F.col("after") == F.col("s"))).select(
         "file", "start", "after"), "warc-jumps")
     reached = links.where("start = 0").select("file", "start")
     while True:
         step = reached.join(jumps, ["file", "start"]).select("file", F.col("after").alias("start"))
-        grown = cut_lineage(step, "warc-reached")
+        grown = rounds.cut(step, "warc-reached")
         if not grown.head(1):
             return reached
-        reached = cut_lineage(reached.unionByName(grown), "warc-reached")
+        reached = rounds.cut(reached.unionByName(grown), "warc-reached")
         further = jumps.select(F.col("file").alias("f"), F.col("start").alias("s"), F.col("after").alias("to"))
-        jumps = cut_lineage(jumps.join(further, (F.col("file") == F.col("f")) & (F.col("after") == F.col("s"))).select(
+        jumps = rounds.cut(jumps.join(further, (F.col("file") == F.col("f")) & (F.col("after") == F.col("s"))).select(
             "file", "start", F.col("to").alias("after")), "warc-jumps")
+        rounds.turn()
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from noteflow import staging
 from noteflow.llm import html_text, warc
 from noteflow.llm.labelled_pages import labelled_pages
 
@@ -59,6 +60,23 @@ def test_round_trip_with_magic_in_payloads(spark, tmp_path):
             spark.conf.set(key, value)
 
 
+def test_long_payloads_and_rows_without_ids(spark, tmp_path):
+    long = "é<p>" * 700_000
+    rows = [(1, "u", long), (2, "u", long[:-7] + FAKE + "z" * 3_000_000), (3, "u", long), (None, None, long + "!"), (None, "u", None)]
+    got = warc.page_records(spark.createDataFrame(rows, PAGES), str(tmp_path / "w")).collect()
+    assert sorted(str(tuple(r)) for r in got) == expected(rows)
+
+
+def test_chains_of_many_records_keep_two_rounds(spark, tmp_path):
+    rows = [(i, "u", f"page {i}") for i in range(300)]
+    pages = spark.createDataFrame(rows, PAGES).coalesce(1)
+    with staging.scope(spark):
+        got = warc.page_records(pages, str(tmp_path / "w"))
+        assert sorted(str(tuple(r)) for r in got.collect()) == expected(rows)
+        kept = [path for path in staging._scopes.stack[-1] if "warc-jumps" in path]
+        assert 1 <= len(kept) <= 3
+
+
 def test_least_bytes_and_empty_tables(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], PAGES)
     warc.write_warc(pages, str(tmp_path / "w"), least_bytes=3)
