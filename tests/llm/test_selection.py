@@ -125,6 +125,24 @@ def test_mix_meets_targets_and_repeats_itself(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_hot_ids_are_counted_and_listed_again(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    rows = [(i, "w " * (i % 9), "ab"[i % 2]) for i in range(120)]
+    rows += [(None, "w " * (i % 3), "a") for i in range(100)] + [(5, "w w w", "b")] * 40 + [(None, None, None)] * 15
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == 2 * len(rows)
+    for source in ("a", "b", None):
+        ids = [(i, len((t or "").split())) for i, t, s in rows if s == source]
+        queue = sorted(ids, key=lambda x: (hashlib.md5(f"mix{'?' if x[0] is None else x[0]}".encode()).hexdigest(), x[1]))
+        served, want = 0, []
+        for epoch in range(2):
+            for row, (i, size) in enumerate(queue, 1):
+                served += size
+                want.append((i, size, epoch, row, served))
+        have = [(r.doc_id, r["size"], r.epoch, r.row, r.served) for r in got if r.source == source]
+        assert sorted(have, key=lambda x: x[2:]) == want
+
+
 def test_mixed_documents_are_those_taken_whole(spark):
     rng = random.Random(6)
     rows = [(i, "w " * rng.randint(1, 40), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(300)]
