@@ -116,6 +116,7 @@ def assign(docs: DataFrame, slot_map: DataFrame, slots: int = SLOTS, id_col: str
     one: sums of rows give the first number of each part of a slot, and rows are numbered within
     parts, which are cut by a second hash as fine as the number of rows asks for. Rows without an
     id fall into one slot, in parts by their other columns; equal rows are numbered in any order.
+    A column of ``docs`` with one of the three names raises ``ValueError``.
     """
     for name in ("vslot", "shard", "place"):
         if name in {c.lower() for c in docs.columns}:

@@ -64,14 +64,21 @@ def test_odd_rows_and_empty_tables(spark, tmp_path):
     prose = " ".join(f"word{i} other{i}" for i in range(30))
     rows = [(1, prose, "en", "a", 1), (1, prose, "en", "a", 1), (2, None, None, None, None), (None, prose + " x", None, None, None),
             (3, "", "en", "a", 0), (4, prose.replace("word3 ", "wordy "), "en", "b", 1), (5, "tail " + prose[::-1], "en", None, 1)]
+    # Ids after each stage: blank texts go, equal and near copies go to the smallest id, a row without an id stays.
+    want = [[1, 1, 4, 5, None], [1, 4, 5, None], [1, 5, None]]
     for frame in (spark.createDataFrame(rows, COLUMNS), spark.createDataFrame([], COLUMNS)):
         frame = frame.selectExpr("*", "1 AS id", "2 AS token", "3 AS taken", "4 AS epoch")
-        docs = frame
+        docs, ids = frame, []
         for at, (_, stage) in enumerate(corpus_pipeline.STAGES):
             out = str(tmp_path / f"{frame.count()}-{at}")
             stage(spark, docs, SF).write.parquet(out)
             docs = spark.read.parquet(out)
-        assert docs.count() == 0 or frame.count()
+            ids.append(sorted((r.doc_id for r in docs.collect()), key=lambda i: (i is None, i)))
+            assert at == 4 or docs.columns == frame.columns
+        assert ids[:3] == (want if frame.count() else [[]] * 3)
+        assert set(ids[3]) <= set(ids[2]) and all(ids[3].count(i) <= 2 for i in ids[3])
+        assert ids[4] == ids[3]
+        assert bool(ids[3]) == bool(frame.count())
 
 
 def test_registered(spark):
