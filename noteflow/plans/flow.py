@@ -14,7 +14,7 @@ from noteflow.functions.constants import TASKS
 from noteflow.operators import classify, dedup, ingest, media, records
 from noteflow.operators.scoring import without_pause
 from noteflow.schema import FlowOptions
-from noteflow.staging import cut_lineage
+from noteflow.staging import TEXTS, cut_lineage
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,7 @@ def enrich(fresh: DataFrame, quarantine: DataFrame, options: FlowOptions, memory
         tried = classify.classify_text(notes.withColumn("failed", F.lit(False)), first)
     else:
         tried = classify.classify_text(notes, first)
-    classified = cut_lineage(_needed_texts(tried, options), "classified")
+    classified = cut_lineage(_needed_texts(tried, options), "classified", compression=TEXTS)
     if again is not None:
         late = F.col("failed") & (F.col("attempt") + 1 < K.SCORE_ATTEMPTS)
         keys = ["id", "arrival_ts", "relay"]
@@ -121,5 +121,5 @@ def run_flow(
 ) -> FlowResult:
     """Batch: the ingress, its results staged, then every output of the flow."""
     good, quarantine = dedup.ingress_fold(events, options.dedup_ttl_s, sig_ok, row_id)
-    fresh = cut_lineage(ingest.freshness(good, options.fresh_minutes), "fresh")
-    return enrich(fresh, cut_lineage(quarantine, "quarantine"), options)
+    fresh = cut_lineage(ingest.freshness(good, options.fresh_minutes), "fresh", compression=TEXTS)
+    return enrich(fresh, cut_lineage(quarantine, "quarantine", compression=TEXTS), options)
