@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from noteflow.functions import constants as K
 from noteflow.operators import dedup
 from noteflow.operators.ingest import with_arrival
-from noteflow.staging import cut_lineage
+from noteflow.staging import TEXTS, cut_lineage
 
 #: How far one relay may lag behind its own latest arrival before the times it could repeat are freed.
 LAG_S = 86_400
@@ -50,7 +50,7 @@ class FoldStore:
         return {kind: sorted(numbers) for kind, numbers in found.items()}
 
     def write(self, table: str, version: int, df: DataFrame, kind: str = "part") -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{table}/{kind}={version}")
+        df.write.mode("overwrite").option("compression", TEXTS).parquet(f"{self.path}/{table}/{kind}={version}")
 
     def read(self, table: str, before: int) -> DataFrame | None:
         """All rows that micro-batches below ``before`` left; None where there are none."""
@@ -201,4 +201,24 @@ def fold_changes(
     # Rows that are taken back, or pass at last, lie with the micro-batch they came in.
     origins = [r[0] for r in seen.select(F.substring_index("place", "-", 1).cast("int")).distinct().collect()]
     rows = store.parts("rows", sorted(origins)) if origins else store.parts("rows", [batch_id])
-    return rows.join(seen, "place").drop("place")
+    return _changed_rows(rows, seen)
+
+
+def _changed_rows(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """``rows`` at the places that are ``seen``, with their outcome and op: these go to the rows as bits, a word
+    of 64 places for each kind of change, unless there are too many words to send to every task."""
+    def origin(place: str):
+        return F.substring_index(place, "-", 1).cast("int")
+
+    word, bit = dedup.word_and_bit(F.substring_index("place", "-", -1).cast("bigint"))
+    kinds = [(outcome, op) for outcome in ("pass", "quarantine") for op in (1, -1)]
+    words = cut_lineage(seen.groupBy(origin("place").alias("origin"), word.alias("word")).agg(*[
+        F.bit_or(F.when((F.col("outcome") == outcome) & (F.col("op") == op), bit)).alias(f"bits_{n}")
+        for n, (outcome, op) in enumerate(kinds)]), "row-bits")
+    if words.count() > dedup.WORDS // len(kinds):
+        return rows.join(seen, "place").drop("place")
+    found = F.array_compact(F.array(*[
+        F.when(bit.bitwiseAND(F.col(f"bits_{n}")) != 0, F.struct(F.lit(outcome).alias("outcome"), F.lit(op).alias("op")))
+        for n, (outcome, op) in enumerate(kinds)]))
+    here = (origin("place") == F.col("origin")) & (word == F.col("word"))
+    return rows.join(F.broadcast(words), here).select(*[c for c in rows.columns if c != "place"], F.inline(found))
