@@ -68,6 +68,9 @@ SLURS = [
 # first character or where the last match ended.
 SLURS_LINEAR = [(SLURS[0][0].replace(r"(\w+)?", r"(?:(?<!\w)|\G)(\w+)?", 1), SLURS[0][1]), *SLURS[1:]]
 
+# What a text that a family matches has in it, in lower case.
+SLUR_PARTS = [("nigg", "n1gg", "nlgg", "n|gg", "n!gg"), ("fag",), ("cunt",)]
+
 GREETINGS = [
     ("gm", "good morning"),
     ("gn", "good night"),

@@ -26,8 +26,8 @@ def _replace_all(text: Column, pairs) -> Column:
 def json_string(text: Column) -> Column:
     """``to_json`` escapes in one pass and alike, but for the case of ``\\u00xx``."""
 
-    def member(obj: Column) -> Column:  # {"a":"..."} without the frame
-        return F.substr(obj, F.lit(6), F.length(obj) - 6)
+    def member(obj: Column) -> Column:  # {"a":"..."} without the frame, cut by bytes
+        return F.substring(obj.cast("binary"), F.lit(6), F.octet_length(obj) - 6).cast("string")
 
     def escaped(value: Column) -> Column:
         by_hand = _replace_all(_replace_all(text, SHORT_ESCAPES), LONG_ESCAPES)

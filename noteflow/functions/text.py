@@ -45,8 +45,10 @@ def split_camel_hashtags(text: Column) -> Column:
 
 
 def normalize_slurs(text: Column) -> Column:
-    for pattern, canonical in K.SLURS_LINEAR:
-        text = F.regexp_replace(text, pattern, canonical)
+    for (pattern, canonical), parts in zip(K.SLURS_LINEAR, K.SLUR_PARTS, strict=True):
+        # A pattern that tries every word is worth running on few texts only.
+        text = _when(text, lambda t, p=parts: _mentions_any(t, *p),
+                     lambda t, p=pattern, c=canonical: F.regexp_replace(t, p, c))
     return text
 
 
@@ -159,6 +161,21 @@ def _clean_table() -> tuple[str, str]:
 
 def _break_fold_strip(text: Column) -> Column:
     """``strip_punct``, ``tokenize_join``, ``normalize_text`` and ``strip_punct_full``."""
+    return let(text, lambda t: F.when(_is_ascii(t), _break_strip_ascii(t)).otherwise(_break_fold_strip_any(t)))
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def _break_strip_ascii(text: Column) -> Column:
+    """ASCII has no accents to fold: its breaks are one small class."""
+    breaks = "".join(rf"\x{ord(c):02X}" for c in K.BREAKS if c < "\x80")
+    x = F.trim(F.regexp_replace(text, f"[{breaks}]+", " "))
+    return F.lower(F.replace(x, F.lit("`"), F.lit("")))
+
+
+def _break_fold_strip_any(text: Column) -> Column:
     source, target = _clean_table()
     x = _single_blanks(F.translate(text, source, target))
     return F.lower(
@@ -213,4 +230,5 @@ def chain_steps(text: Column, compat: bool = True) -> Column:
 def language_input(clean: Column, limit: int = K.TEXT_LIMIT) -> Column:
     """Input of language detection: cleaned text, emoji out, blanks collapsed, cut."""
     # A cleaned text has no other white space than single blanks.
-    return truncate_text(F.trim(_single_blanks(strip_emoji(clean))), limit)
+    plain = _when(clean, lambda t: ~_is_ascii(t) | t.rlike("[#*0-9]"), strip_emoji)
+    return truncate_text(F.trim(_single_blanks(plain)), limit)
