@@ -182,3 +182,28 @@ def test_repeated_rows_are_rows_of_the_query(spark, tmp_path):
         assert 0 <= r.taken <= 2 * r["size"]
         by.setdefault(r.source, [0, r.target])[0] += r.taken
     assert all(taken == int(target) for taken, target in by.values())
+
+
+def test_order_of_finish_times_cuts_the_mix(spark, monkeypatch):
+    """The running sum over all sources decides what is whole: with other positions the mix misses its targets."""
+    monkeypatch.setattr(mixing, "ORDER_ROWS", 37)
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.randint(0, 30), rng.choice(["a", "a", "b", "c", None])) for i in range(300)]
+    rows += [(i, "w", "d") for i in range(300, 900)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(docs).collect()
+    end = min(r.position for r in got if r.served > int(r.target))
+    left = {}
+    for r in sorted(got, key=lambda r: (r.position, r["size"] > 0)):
+        if r.position + r["size"] <= end:
+            assert r.taken == r["size"]
+        elif r.taken:
+            left.setdefault(r.source, []).append(r)
+    assert sum(r["size"] for r in got if r.position + r["size"] <= end) == end
+    assert len(left) > 1 and all(len(parts) == 1 for parts in left.values())
+    assert end + sum(r.taken for parts in left.values() for r in parts) == sum({r.source: int(r.target) for r in got}.values())
+
+    right = mixing.in_order
+    monkeypatch.setattr(mixing, "in_order", lambda entries: right(entries).withColumn("position", F.lit(0)))
+    with pytest.raises(RuntimeError, match="target"):
+        mixing.mix(docs)
