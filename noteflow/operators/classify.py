@@ -12,13 +12,13 @@ from noteflow.operators.scoring import DEFAULT_SCORERS, score
 from noteflow.schema import FlowOptions
 
 
-def clean_notes(notes: DataFrame, options: FlowOptions) -> DataFrame:
-    """Adds ``clean`` and ``is_empty``."""
+def clean_notes(notes: DataFrame, options: FlowOptions, read: bool = True) -> DataFrame:
+    """Adds ``clean`` and ``is_empty``. Where no task reads the text, the optimizer may leave it out."""
     with_urls = notes.withColumn("urls", extract_urls(F.col("content")))
     clean = text.preprocess_text(F.col("content"), F.col("urls"), options.compat_greetings)
     is_empty = text.is_empty_text(F.col("content"), F.col("urls"))
     with_empty = with_urls.withColumn("is_empty", is_empty)
-    return add_once(with_empty, "clean", clean).drop("urls")
+    return (add_once(with_empty, "clean", clean) if read else with_empty.withColumn("clean", clean)).drop("urls")
 
 
 def _response(df: DataFrame, task: str, input_text: Column, default: Column, run_if: Column,
@@ -70,7 +70,7 @@ def score_topic(df: DataFrame, options: FlowOptions) -> DataFrame:
 
 def classify_text(notes: DataFrame, options: FlowOptions) -> DataFrame:
     """All enabled text tasks; English-only tasks never run without language detection."""
-    df = clean_notes(notes, options)
+    df = clean_notes(notes, options, read=options.language)
     if not options.language:
         return df.withColumn("is_english", F.lit(False))
     df = detect_language(df, options)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteflow.functions import constants as K
@@ -14,7 +14,7 @@ from noteflow.functions.constants import TASKS
 from noteflow.operators import classify, dedup, ingest, media, records
 from noteflow.operators.scoring import without_pause
 from noteflow.schema import FlowOptions
-from noteflow.staging import TEXTS, cut_lineage
+from noteflow.staging import TEXTS, cut_lineage, scope
 
 
 @dataclass(frozen=True)
@@ -116,10 +116,23 @@ def enrich(fresh: DataFrame, quarantine: DataFrame, options: FlowOptions, memory
         put_off)
 
 
+def settle(fold: Callable[[], tuple[DataFrame, DataFrame]], spark: SparkSession, options: FlowOptions) -> tuple[DataFrame, DataFrame]:
+    """(fresh, quarantine) of the ingress that ``fold`` makes, staged; what the fold staged goes."""
+    with scope(spark):
+        good, quarantine = fold()
+        fresh = cut_lineage(ingest.freshness(good, options.fresh_minutes), "fresh", compression=TEXTS, outlives=True)
+        return fresh, cut_lineage(quarantine, "quarantine", compression=TEXTS, outlives=True)
+
+
+def run_ingress(
+    events: DataFrame, options: FlowOptions, sig_ok: str | None = None, row_id: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(fresh, quarantine) of a batch, for ``enrich`` under any switches."""
+    return settle(lambda: dedup.ingress_fold(events, options.dedup_ttl_s, sig_ok, row_id), events.sparkSession, options)
+
+
 def run_flow(
     events: DataFrame, options: FlowOptions, sig_ok: str | None = None, row_id: str | None = None
 ) -> FlowResult:
     """Batch: the ingress, its results staged, then every output of the flow."""
-    good, quarantine = dedup.ingress_fold(events, options.dedup_ttl_s, sig_ok, row_id)
-    fresh = cut_lineage(ingest.freshness(good, options.fresh_minutes), "fresh", compression=TEXTS)
-    return enrich(fresh, cut_lineage(quarantine, "quarantine", compression=TEXTS), options)
+    return enrich(*run_ingress(events, options, sig_ok, row_id), options)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from noteflow.functions import constants as K
 from noteflow.operators import dedup
 from noteflow.operators.ingest import with_arrival
-from noteflow.staging import TEXTS, cut_lineage
+from noteflow.staging import TEXTS, cut_lineage, unsorted_writes
 
 #: How far one relay may lag behind its own latest arrival before the times it could repeat are freed.
 LAG_S = 86_400
@@ -50,7 +50,8 @@ class FoldStore:
         return {kind: sorted(numbers) for kind, numbers in found.items()}
 
     def write(self, table: str, version: int, df: DataFrame, kind: str = "part") -> None:
-        df.write.mode("overwrite").option("compression", TEXTS).parquet(f"{self.path}/{table}/{kind}={version}")
+        with unsorted_writes(self.spark):
+            df.write.mode("overwrite").option("compression", TEXTS).parquet(f"{self.path}/{table}/{kind}={version}")
 
     def read(self, table: str, before: int) -> DataFrame | None:
         """All rows that micro-batches below ``before`` left; None where there are none."""
