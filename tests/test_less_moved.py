@@ -75,3 +75,31 @@ def test_writes_delete_what_they_shuffled(spark, tmp_path):
     with staging.unsorted_writes(spark):
         assert conf() == "true"
     assert conf() == was
+
+
+@pytest.mark.parametrize("words", [dedup.WORDS, 0])
+def test_places_give_the_rows_of_the_keyed_stream(spark, tables, tmp_path, monkeypatch, words):
+    """Over two micro-batches, with exact copies, forged ones and rows without an id."""
+    monkeypatch.setattr(dedup, "WORDS", words)
+    notes = cut_lineage(views.notes(spark, tables), "notes")
+    notes = notes.unionByName(notes.limit(7)).unionByName(notes.limit(9).withColumn("id", F.lit(None).cast("string")))
+    source, folder = str(tmp_path / "in"), str(tmp_path / "rows")
+    late = F.unix_millis("arrival_ts") > 1704067200000 + 45 * 40000
+    run.use_rocksdb(spark)
+    for check in (True, False):
+        out = str(tmp_path / f"out_{check}")
+        found = {}
+        for part in (~late, late):
+            notes.filter(part).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(notes.schema).parquet(source)
+            run.stage_stream(stream, folder, str(tmp_path / "staged"), available_now=True).awaitTermination()
+            run.repeats_stream(
+                spark, folder, notes.schema, str(tmp_path / f"state_{check}"), [sinks.file_target(out)], check=check,
+                available_now=True).awaitTermination()
+            run.dedup_stream(stream, check=check).writeStream.format("parquet").trigger(availableNow=True).start(
+                f"{out}_whole", checkpointLocation=str(tmp_path / f"whole_{check}")).awaitTermination()
+        found = [sorted(map(str, spark.read.parquet(p).select("outcome", *notes.columns).collect()))
+                 for p in (f"{out}/accepted", f"{out}_whole")]
+        assert found[0] == found[1] and len(found[0]) > 20
+        outcomes = {r.outcome for r in spark.read.parquet(f"{out}/accepted").select("outcome").distinct().collect()}
+        assert outcomes == ({"pass", "quarantine"} if check else {"pass"})
