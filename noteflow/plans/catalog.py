@@ -592,15 +592,19 @@ def _ingress_columns(found: DataFrame, *more: str) -> DataFrame:
 
 def _in_files(spark, rows: DataFrame, part: Column, parts: int, state: str, out: str, **how) -> None:
     """``ingress_stream`` over JSON files, run each time a part of the rows has come: a micro-batch for each part,
-    of as many files as its rows need."""
-    folder = new_path(spark, "arrivals")
-    staged = staging.cut_lineage(rows.withColumn("_part", part), "notes", ("_part",), staging.TEXTS)
+    of as many files as its rows need. A part is held once: what was written on, or taken, is deleted."""
+    folder, parted = new_path(spark, "arrivals"), new_path(spark, "notes")
+    with staging.unsorted_writes(spark):
+        rows.withColumn("_part", part).write.partitionBy("_part").option("compression", staging.TEXTS).parquet(parted)
     for n in range(parts):
-        _write_json(staged.filter(F.col("_part") == n).drop("_part"), folder)
+        left = spark.read.schema(rows.withColumn("_part", part).schema).parquet(parted)
+        _write_json(left.filter(F.col("_part") == n).drop("_part"), folder)
+        staging.drop(spark, os.path.join(parted, f"_part={n}"))
         streams.ingress_stream(
             sources.stream_events(spark, folder, kinds=None, max_files_per_trigger=ALL_FILES), state,
             [sinks.file_target(out)], available_now=True, **how,
         ).awaitTermination()
+        staging.drop(spark, folder)
 
 
 def _third(rows: DataFrame) -> Column:

@@ -77,6 +77,15 @@ def test_writes_delete_what_they_shuffled(spark, tmp_path):
     assert conf() == was
 
 
+def test_parts_of_a_stream_are_held_once(spark, tables):
+    before = names(spark, "arrivals", "notes")
+    got = QUERIES["ingress_late_arrivals"](spark, tables).collect()
+    want = QUERIES["ingress_fold"](spark, tables).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and got
+    left = {f for f in names(spark, "arrivals", "notes") - before if not os.path.basename(f).startswith(("_", "."))}
+    assert not [f for f in left if ".json" in f or "_part=" in f]
+
+
 @pytest.mark.parametrize("words", [dedup.WORDS, 0])
 def test_places_give_the_rows_of_the_keyed_stream(spark, tables, tmp_path, monkeypatch, words):
     """Over two micro-batches, with exact copies, forged ones and rows without an id."""
