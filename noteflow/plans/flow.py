@@ -17,6 +17,10 @@ from noteflow.schema import FlowOptions
 from noteflow.staging import TEXTS, cut_lineage, scope
 
 
+#: Notes put off that may be named to every task: some 20 MB.
+LATE_KEYS = 100_000
+
+
 @dataclass(frozen=True)
 class FlowResult:
     """``gating`` records come before the notes. ``later`` records are made when first asked for,
@@ -87,6 +91,8 @@ def enrich(fresh: DataFrame, quarantine: DataFrame, options: FlowOptions, memory
         late = F.col("failed") & (F.col("attempt") + 1 < K.SCORE_ATTEMPTS)
         keys = ["id", "arrival_ts", "relay"]
         late_keys = classified.filter(late).select(*[F.col(c).alias(f"{c}_") for c in keys])
+        if late_keys.count() <= LATE_KEYS:  # else whole texts are shuffled to find them
+            late_keys = F.broadcast(late_keys)
         same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in keys]
         put_off = notes.join(late_keys, same, "left_semi").withColumn("attempt", F.col("attempt") + 1)
         notes = notes.join(late_keys, same, "left_anti").drop("attempt")

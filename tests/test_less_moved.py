@@ -112,3 +112,13 @@ def test_places_give_the_rows_of_the_keyed_stream(spark, tables, tmp_path, monke
         assert found[0] == found[1] and len(found[0]) > 20
         outcomes = {r.outcome for r in spark.read.parquet(f"{out}/accepted").select("outcome").distinct().collect()}
         assert outcomes == ({"pass", "quarantine"} if check else {"pass"})
+
+
+def test_late_notes_are_named_to_the_texts(spark, tables):
+    fresh, quarantine = flow.run_ingress(views.notes(spark, tables), FlowOptions())
+    again = fresh.limit(0).withColumn("attempt", F.lit(0))
+    result = flow.enrich(fresh, quarantine, FlowOptions(language=True), None, again)
+    for df in (result.notes, result.put_off):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert result.notes.count() > 0 and result.put_off.count() == 0
